@@ -8,12 +8,12 @@ from functools import reduce
 from pyspark.sql import Column, functions as F
 
 
-def pad_cell(text: Column, width: int, align: str = "<") -> Column:
-    """Blank-pad to ``width``: ``<`` left, ``>`` right, ``^`` centre with the smaller
-    half on the left. Longer text is kept whole, unlike ``rpad`` and ``lpad``."""
+def pad_cell(text: Column, width: int, align: str = "<", fill: str = " ") -> Column:
+    """Pad to ``width``: ``<`` left, ``>`` right, ``^`` centre with the smaller half on
+    the left. Longer text is kept whole, unlike ``rpad`` and ``lpad``."""
     text = F.coalesce(text, F.lit(""))
     missing = F.greatest(F.lit(width) - F.length(text), F.lit(0))
-    blank = F.lit(" ")
+    blank = F.lit(fill)
     if align == "<":
         return F.concat(text, F.repeat(blank, missing))
     if align == ">":

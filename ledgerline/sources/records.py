@@ -14,8 +14,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 UNIT_SEPARATOR = "␟"
 
 # Stand-ins inside a line while it is split; both are Unicode noncharacters.
-_HELD = "﷐"
-_QUOTE = "﷑"
+_HELD = "\ufdd0"
+_QUOTE = "\ufdd1"
 
 
 def _one_unit(mark: str) -> bool:

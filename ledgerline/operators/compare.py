@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.lines import any_of
 from ledgerline.functions.rowtext import cell_text, key_text
+from ledgerline.operators.quality import side_by_side
 from ledgerline.operators.skew import key_presence_join
 
 ABSENT = "Does_Not_Exists"
@@ -317,37 +318,58 @@ def first_rows(df: DataFrame, keys: Sequence[str], rows: int = 10) -> DataFrame:
 
 # --- summary ---------------------------------------------------------------
 
-def summarise(aligned: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
-    """Per column: ``matched_left, matched_right, mismatched, extra_in_left,
-    extra_in_right, total_left, total_right``, all counted in one aggregate."""
+def _counts(aligned: DataFrame, columns: Sequence[str]) -> list[Column]:
     values = _values(aligned)
-    columns = list(columns or [*keys, *values])
     both = (F.col("left_rows") > 0) & (F.col("right_rows") > 0)
 
     def rows(column: str, when: Column) -> Column:
         return F.coalesce(F.sum(F.when(when, F.col(column)).otherwise(0)), F.lit(0))
 
-    changed = {c: F.count_if(both & _differs(c)) if c in values else F.sum(F.lit(0)) for c in columns}
-    counted = aligned.agg(
-        rows("left_rows", F.lit(True)).alias("total_left"), rows("right_rows", F.lit(True)).alias("total_right"),
+    changed = [F.count_if(both & _differs(c)) if c in values else F.max(F.lit(0).cast("bigint")) for c in columns]
+    return [
         rows("left_rows", F.col("right_rows") == 0).alias("extra_in_left"),
         rows("right_rows", F.col("left_rows") == 0).alias("extra_in_right"),
-        *[F.coalesce(changed[c], F.lit(0)).alias(f"_changed_{i}") for i, c in enumerate(columns)],
-    )
+        *[F.coalesce(c, F.lit(0)).alias(f"_changed_{i}") for i, c in enumerate(changed)],
+    ]
+
+
+def _summary(counted: DataFrame, columns: Sequence[str]) -> DataFrame:
     entries = F.array(*[
         F.struct(F.lit(c).alias("column_name"), F.col(f"_changed_{i}").alias("changed"))
         for i, c in enumerate(columns)
     ])
-    extras = F.col("extra_in_left") + F.col("extra_in_right")
+    changed = F.col("entry.changed")
     return counted.withColumn("entry", F.explode(entries)).select(
         F.col("entry.column_name").alias("column_name"),
-        (F.col("total_left") - F.col("extra_in_left") - F.col("entry.changed")).alias("matched_left"),
-        (F.col("total_right") - F.col("extra_in_right") - F.col("entry.changed")).alias("matched_right"),
-        (F.col("entry.changed") + extras).alias("mismatched"),
+        (F.col("total_left") - F.col("extra_in_left") - changed).alias("matched_left"),
+        (F.col("total_right") - F.col("extra_in_right") - changed).alias("matched_right"),
+        (changed + F.col("extra_in_left") + F.col("extra_in_right")).alias("mismatched"),
         "extra_in_left", "extra_in_right", "total_left", "total_right",
     )
 
 
+def summarise(aligned: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None) -> DataFrame:
+    """Per column: ``matched_left, matched_right, mismatched, extra_in_left,
+    extra_in_right, total_left, total_right``, all counted in one aggregate."""
+    columns = list(columns or [*keys, *_values(aligned)])
+    totals = [F.coalesce(F.sum(f"{side}_rows"), F.lit(0)).alias(f"total_{side}") for side in ("left", "right")]
+    return _summary(aligned.agg(*totals, *_counts(aligned, columns)), columns)
+
+
+def summarise_differences(differing: DataFrame, left: DataFrame, right: DataFrame, keys: Sequence[str],
+                          columns: Sequence[str] | None = None) -> DataFrame:
+    """The summary from rows that are not the same on both sides (usually few and
+    staged); the totals are plain row counts of the two tables."""
+    columns = list(columns or [*keys, *_values(differing)])
+    counted = differing.agg(*_counts(differing, columns))
+    totals = {
+        "total_left": left.agg(F.count(F.lit(1))), "total_right": right.agg(F.count(F.lit(1))),
+        **{c: counted.select(c) for c in ("extra_in_left", "extra_in_right")},
+        **{f"_changed_{i}": counted.select(f"_changed_{i}") for i in range(len(columns))},
+    }
+    return _summary(side_by_side(**totals), columns)
+
+
 def column_mismatch_counts(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
     return summarise(aligned, keys).select("column_name", "mismatched")
 

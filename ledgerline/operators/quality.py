@@ -6,12 +6,13 @@ error for a job that must stop.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline.functions.lines import any_of, mask_line
+from ledgerline.functions.tokens import render
 from ledgerline.sources.framed import DATA, HEADER, TRAILER
 
 
@@ -26,21 +27,42 @@ def require(checks: DataFrame, what: str) -> None:
         raise CheckFailed(f"{what}: " + "; ".join(str(row.asDict()) for row in failed))
 
 
-def expected_lines(spark: SparkSession, headers: Sequence[str], trailers: Sequence[str]) -> DataFrame:
-    rows = [(HEADER, i + 1, line) for i, line in enumerate(headers)]
-    rows += [(TRAILER, i + 1, line) for i, line in enumerate(trailers)]
-    return spark.createDataFrame(rows, "section string, ordinal long, expected string")
-
-
-def validate_frame(framed: DataFrame, expected: DataFrame, ignore: str | None = None) -> DataFrame:
-    """Expected and actual header and trailer lines: ``section, ordinal, expected,
-    actual, passed``. Empty expected lines are not checked; where the expected line
-    holds ``ignore``, the actual character does not matter. A missing line fails."""
-    wanted = F.broadcast(expected.filter(F.col("expected") != ""))  # a few lines of configuration
+def side_by_side(**counts: DataFrame) -> DataFrame:
+    """One row with one named column for each input of one row and one number."""
+    tagged = None
+    for name, one in counts.items():
+        row = one.toDF("value").select(F.lit(name).alias("name"), F.col("value").cast("bigint").alias("value"))
+        tagged = row if tagged is None else tagged.unionByName(row)
+    return tagged.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in counts])
+
+
+def validate_frame(framed: DataFrame, headers: Sequence[str], trailers: Sequence[str],
+                   ignore: str | None = None, values: Mapping[str, object] | None = None) -> DataFrame:
+    """Expected and actual header and trailer lines of each unit: ``section, ordinal,
+    expected, actual, passed``.
+
+    Empty expected lines are not checked; where the expected line holds ``ignore``
+    the actual character does not matter; a missing line fails. The expected lines
+    may use the tokens ``FILENAME``, ``FILELINECOUNT`` and ``EXPECTEDDATALINECOUNT``
+    of the file that is checked, besides ``values``.
+    """
+    frame_size = len(headers) + len(trailers)
+    known = {
+        "FILENAME": F.element_at(F.split("unit", "/"), -1),
+        "FILELINECOUNT": F.col("total_lines"),
+        "EXPECTEDDATALINECOUNT": F.col("total_lines") - frame_size,
+        **(values or {}),
+    }
+    slots = [(HEADER, i, t) for i, t in enumerate(headers, 1) if t]
+    slots += [(TRAILER, i, t) for i, t in enumerate(trailers, 1) if t]
+    wanted = F.array(*[
+        F.struct(F.lit(s).alias("section"), F.lit(i).cast("bigint").alias("ordinal"), render(t, known).alias("expected"))
+        for s, i, t in slots
+    ])
+    units = framed.filter(F.col("line_no") == 1)
+    expected = units.select("unit", F.explode(wanted).alias("slot")).select("unit", "slot.*")
     frame = framed.filter(F.col("section") != DATA).select("unit", "section", "ordinal", "value")
-    units = framed.filter(F.col("line_no") == 1).select("unit")
-    slots = units.join(wanted, F.lit(True))
-    found = slots.join(frame, ["unit", "section", "ordinal"], "left")
+    found = expected.join(frame, ["unit", "section", "ordinal"], "left")
     actual = mask_line(F.col("expected"), F.col("value"), ignore) if ignore else F.col("value")
     return found.select(
         "unit", "section", "ordinal", "expected", F.col("value").alias("actual"),
@@ -67,28 +89,24 @@ def reconcile_input(framed: DataFrame, n_head: int, n_tail: int) -> DataFrame:
 
 
 def reconcile_output(framed: DataFrame, processed: DataFrame, n_head: int, n_tail: int) -> DataFrame:
-    """One written file against the rows that went into it: lines = data + frame and
-    processed rows = data lines."""
-    counts = line_counts(framed).agg(F.sum("file_lines").alias("file_lines"), F.sum("data_lines").alias("data_lines"))
-    rows = processed.agg(F.count(F.lit(1)).alias("processed_rows"))
-    both = counts.join(rows, F.lit(True))  # one row each
-    expected = F.col("data_lines") + n_head + n_tail
-    return both.select(
-        "file_lines", "data_lines", "processed_rows", expected.alias("expected_file_lines"),
-        ((F.col("file_lines") == expected) & (F.col("processed_rows") == F.col("data_lines"))).alias("passed"),
+    """A written file against the rows that went into it: lines = data + frame and
+    processed rows = data lines. ``processed`` is a count of one row."""
+    counts = line_counts(framed)
+    whole = side_by_side(
+        file_lines=counts.agg(F.sum("file_lines")), data_lines=counts.agg(F.sum("data_lines")),
+        processed_rows=processed,
     )
+    expected = F.col("data_lines") + n_head + n_tail
+    passed = (F.col("file_lines") == expected) & (F.col("processed_rows") == F.col("data_lines"))
+    return whole.select("*", expected.alias("expected_file_lines"), passed.alias("passed"))
 
 
 def reconcile_load(rows_before: DataFrame, rows_after: DataFrame, processed: DataFrame,
                    expected_data_lines: DataFrame) -> DataFrame:
-    """Rows added to a table = processed rows = data lines of the file. Each input
-    has one row and one column."""
-    sides = [("rows_before", rows_before), ("rows_after", rows_after),
-             ("processed_rows", processed), ("expected_rows", expected_data_lines)]
-    whole = None
-    for name, side in sides:
-        one = side.toDF(name)
-        whole = one if whole is None else whole.join(one, F.lit(True))
+    """Rows added to a table = processed rows = data lines of the file. Each input is
+    a count of one row."""
+    whole = side_by_side(rows_before=rows_before, rows_after=rows_after, processed_rows=processed,
+                         expected_rows=expected_data_lines)
     added = F.col("rows_after") - F.col("rows_before")
     passed = (added == F.col("processed_rows")) & (F.col("processed_rows") == F.col("expected_rows"))
     return whole.select(added.alias("added_rows"), "processed_rows", "expected_rows", passed.alias("passed"))

@@ -19,17 +19,17 @@ from ledgerline.sinks.framed import fill_column_names, frame_output, write_lines
 from ledgerline.sinks.records import delimited_lines, fixed_width_lines
 from ledgerline.sinks.report import compare_report, write_report
 from ledgerline.sinks.tables import DuplicateKeyError, load_table
-from ledgerline.sources.framed import data_lines, data_only, frame_lines
+from ledgerline.sources.framed import data_lines, frame_lines
 from ledgerline.sources.records import read_delimited, read_fixed_width
 from ledgerline.sources.tables import posts, row_count
 
 
 # --- files -----------------------------------------------------------------
 
-def parse(lines: DataFrame, layout: FileLayout) -> DataFrame:
+def parse(lines: DataFrame, layout: FileLayout, keep: Sequence[str] = ()) -> DataFrame:
     if layout.kind == DELIMITED:
-        return read_delimited(lines, layout.columns, layout.delimiter, layout.quote, layout.escape)
-    return read_fixed_width(lines, layout.columns, layout.widths)
+        return read_delimited(lines, layout.columns, layout.delimiter, layout.quote, layout.escape, keep)
+    return read_fixed_width(lines, layout.columns, layout.widths, keep)
 
 
 def render_lines(rows: DataFrame, layout: FileLayout) -> DataFrame:
@@ -38,50 +38,58 @@ def render_lines(rows: DataFrame, layout: FileLayout) -> DataFrame:
     return fixed_width_lines(rows, layout.columns, layout.widths, layout.alignments)
 
 
-def read_file(spark: SparkSession, path: str, layout: FileLayout,
-              values: Mapping[str, object] | None = None) -> DataFrame:
+def read_file(spark: SparkSession, path: str, layout: FileLayout, values: Mapping[str, object] | None = None,
+              keep: Sequence[str] = ()) -> DataFrame:
     """Records of a framed file. With ``layout.validate`` its header and trailer
-    lines are checked first."""
+    lines are checked first. ``keep`` may name ``unit`` and ``line_no``."""
     n_head, n_tail = layout.frame
-    if not layout.validate:
-        return parse(data_only(spark, path, n_head, n_tail, layout.unit), layout)
+    if not (n_head or n_tail or keep):
+        return parse(spark.read.text(path, lineSep="\n"), layout)  # nothing to count
     framed = frame_lines(spark, path, n_head, n_tail, layout.unit)
-    if n_head or n_tail:
+    if layout.validate and (n_head or n_tail):
         quality.require(
             quality.validate_frame(framed, layout.headers, layout.trailers, layout.ignore, values), f"frame of {path}"
         )
-    return parse(data_lines(framed), layout)
+    return parse(data_lines(framed, *keep), layout, keep)
 
 
 def write_file(rows: DataFrame, path: str, layout: FileLayout, values: Mapping[str, object] | None = None,
-               costly: bool = False, single_file: bool = False) -> str:
+               order: Sequence[str] = (), costly: bool = False, single_file: bool = False) -> str:
     """Write rows as a framed file and, with ``layout.validate``, count it again.
 
-    Rows are read twice (once for the counts in the frame); ``costly`` stages them
-    in between, for rows that come out of a join.
+    Lines come in the order of ``order``, else as the rows come. Rows are read
+    twice, once for the counts in the frame; ``costly`` stages them in between, for
+    rows that come out of a join.
     """
     spark = rows.sparkSession
-    chosen = rows.select(*layout.columns)
     if costly:
-        chosen = stage(chosen, "rows")
+        rows = stage(rows.select(*order, *[c for c in layout.columns if c not in order]), "rows")
+    placed = rows.orderBy(*order) if order else rows
     headers = [
         fill_column_names(h, layout.columns, layout.delimiter if layout.kind == DELIMITED else None,
                           layout.header_delimiter, layout.header_quote)
         for h in layout.headers
     ]
-    framed = frame_output(render_lines(chosen, layout), headers, layout.trailers, values)
+    framed = frame_output(render_lines(placed, layout), headers, layout.trailers, values)
     write_lines(framed, path, single_file)
     if layout.validate:
         n_head, n_tail = layout.frame
         written = frame_lines(spark, path, n_head, n_tail, "folder")
-        quality.require(quality.reconcile_output(written, row_count(chosen), n_head, n_tail), f"counts of {path}")
+        quality.require(quality.reconcile_output(written, row_count(rows), n_head, n_tail), f"counts of {path}")
     return path
 
 
 def convert_file(spark: SparkSession, source: str, source_layout: FileLayout, target: str,
-                 target_layout: FileLayout, values: Mapping[str, object] | None = None) -> str:
-    """Fixed width to delimited, delimited to fixed width, or a change of frame."""
-    return write_file(read_file(spark, source, source_layout, values), target, target_layout, values)
+                 target_layout: FileLayout, values: Mapping[str, object] | None = None,
+                 keep_order: bool = True) -> str:
+    """Fixed width to delimited, delimited to fixed width, or a change of frame.
+
+    Lines keep their order, which takes a range sort by line number; switch it off
+    where the receiver does not care.
+    """
+    place = ("unit", "line_no") if keep_order else ()
+    rows = read_file(spark, source, source_layout, values, place)
+    return write_file(rows, target, target_layout, values, order=place)
 
 
 def combine_files(spark: SparkSession, left: str, left_layout: FileLayout, right: str, right_layout: FileLayout,
@@ -100,7 +108,7 @@ def posts_to_file(json_text: DataFrame, target: str, layout: FileLayout,
 def extract_to_file(rows: DataFrame, target: str, layout: FileLayout,
                     values: Mapping[str, object] | None = None, costly: bool = False) -> str:
     """A table or the result of a query as a framed file."""
-    return write_file(rows, target, layout, values, costly)
+    return write_file(rows, target, layout, values, costly=costly)
 
 
 def load_file(spark: SparkSession, source: str, layout: FileLayout, table: str, load_type: str,

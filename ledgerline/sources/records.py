@@ -23,9 +23,10 @@ def _one_unit(mark: str) -> bool:
     return len(mark.encode("utf-16-le")) == 2
 
 
-def read_delimited(lines: DataFrame, columns: Sequence[str], sep: str = ",",
-                   quote: str | None = None, escape: str = "\\") -> DataFrame:
-    """Delimited lines (column ``value``) to text columns.
+def read_delimited(lines: DataFrame, columns: Sequence[str], sep: str = ",", quote: str | None = None,
+                   escape: str = "\\", keep: Sequence[str] = ()) -> DataFrame:
+    """Delimited lines (column ``value``) to text columns; ``keep`` names columns of
+    ``lines`` to carry along.
 
     With ``quote`` the fields are quoted, an inner quote is doubled and an inner
     escape character is escaped. Without it nothing is quoted and the escape
@@ -37,14 +38,14 @@ def read_delimited(lines: DataFrame, columns: Sequence[str], sep: str = ",",
             value, quote = F.replace(value, F.lit(quote), F.lit(_QUOTE)), _QUOTE
         schema = ", ".join(f"`{c}` STRING" for c in columns)
         options = {"sep": sep, "quote": quote, "escape": quote, "mode": "PERMISSIVE"}
-        row = lines.select(F.from_csv(value, schema, options).alias("row"))
+        row = lines.select(*keep, F.from_csv(value, schema, options).alias("row"))
         fields = [F.col("row").getField(c) for c in columns]
     else:
         held = F.replace(value, F.lit(escape + escape), F.lit(_HELD)) if escape else value
         guard = f"(?<!{re.escape(escape)})" if escape else ""
-        row = lines.select(F.split(held, guard + re.escape(sep), -1).alias("row"))
+        row = lines.select(*keep, F.split(held, guard + re.escape(sep), -1).alias("row"))
         fields = [F.get(F.col("row"), F.lit(i)) for i in range(len(columns))]
-    return row.select(*[_plain(f, escape, bool(quote)).alias(c) for f, c in zip(fields, columns)])
+    return row.select(*keep, *[_plain(f, escape, bool(quote)).alias(c) for f, c in zip(fields, columns)])
 
 
 def _plain(field: Column, escape: str, quoted: bool) -> Column:
@@ -55,14 +56,15 @@ def _plain(field: Column, escape: str, quoted: bool) -> Column:
     return F.nullif(field, F.lit(""))
 
 
-def read_fixed_width(lines: DataFrame, columns: Sequence[str], widths: Sequence[int]) -> DataFrame:
+def read_fixed_width(lines: DataFrame, columns: Sequence[str], widths: Sequence[int],
+                     keep: Sequence[str] = ()) -> DataFrame:
     """Cut each line at the cumulative widths and strip blanks."""
     fields, start = [], 1
     for name, width in zip(columns, widths, strict=True):
         text = F.trim(F.substring("value", start, width))
         fields.append(F.nullif(text, F.lit("")).alias(name))
         start += width
-    return lines.select(*fields)
+    return lines.select(*keep, *fields)
 
 
 def normalise_delimiters(lines: DataFrame, sep: str = ",", quote: str | None = None,

@@ -94,5 +94,5 @@ def load_table(spark: SparkSession, path: str, rows: DataFrame, load_type: str,
 
 def status_update(df: DataFrame, status: str, new_value: str, **equal: object) -> DataFrame:
     """Set ``status`` for the rows whose columns equal the given values."""
-    chosen = all_of([F.col(name) == F.lit(value) for name, value in equal.items()])
+    chosen = all_of([F.col(name) == F.lit(value) for name, value in equal.items()])  # lit keeps a column as it is
     return df.withColumn(status, F.when(chosen, F.lit(new_value)).otherwise(F.col(status)))

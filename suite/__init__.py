@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("comparing",)
+MODULES = ("comparing", "files", "loading")
 
 
 def _load():

@@ -47,10 +47,10 @@ def order_pairs(flat: Sequence[int | str]) -> list[tuple[int, int]]:
 
 
 def order_by_ordinals(df: DataFrame, flat: Sequence[int | str]) -> DataFrame:
-    return df.orderBy(*_ordering(df, flat))
+    return df.orderBy(*ordering(df, flat))
 
 
-def _ordering(df: DataFrame, flat: Sequence[int | str]) -> list[Column]:
+def ordering(df: DataFrame, flat: Sequence[int | str]) -> list[Column]:
     by = {ASCENDING: lambda c: c.asc(), DESCENDING: lambda c: c.desc()}
     return [by[way](F.col(df.columns[position])) for position, way in order_pairs(flat)]
 

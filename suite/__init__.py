@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("comparing", "files", "loading")
+MODULES = ("comparing", "files", "loading", "searching")
 
 
 def _load():

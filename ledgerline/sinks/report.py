@@ -15,6 +15,8 @@ META, SUMMARY, PASSED, MISMATCHES, DUPLICATES = (
     "meta_info", "summary", "pass_record_summary", "mismatches", "duplicate_keys"
 )
 
+MISMATCH_COLUMNS = "column_name string, concatenated_keys string, left_value string, right_value string, absent_flag boolean"
+
 
 def passed_sample(left: DataFrame, differing: DataFrame, keys: Sequence[str], rows: int = 10) -> DataFrame:
     """The first rows of ``left`` without a difference, one line per cell; both sides
@@ -77,4 +79,7 @@ def write_report(sections: Mapping[str, DataFrame], path: str) -> str:
 
 
 def read_report(spark: SparkSession, path: str, section: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{section}")
+    """One section; without any difference the mismatches have no file to take the
+    columns from, so those are named."""
+    reader = spark.read.schema(MISMATCH_COLUMNS) if section == MISMATCHES else spark.read
+    return reader.parquet(f"{path}/{section}")

@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 def arriving_rows(spark: SparkSession, folder: str, schema: T.StructType, name_glob: str = "*",
                   files_per_batch: int | None = None) -> DataFrame:
-    """Rows of Parquet files as they arrive in ``folder``."""
+    """Rows of Parquet files as they arrive in ``folder`` (or folders: a glob)."""
     reader = spark.readStream.schema(schema).option("pathGlobFilter", name_glob)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)

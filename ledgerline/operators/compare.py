@@ -1,10 +1,14 @@
 """Comparison of two tables by key.
 
-Every operator rests on one of two folds. Both put the rows of the two sides in
-one grouped aggregate instead of a join: one shuffle, rows combined before it,
-NULL keys equal to each other, and no pairs where a key repeats. A key is meant
-to name one row; where it does not, the fold keeps the smallest row, the number
-of rows and a digest of all of them, so that a difference in any copy shows.
+Every operator rests on one of three folds. Each puts the rows of the two sides
+in one grouped aggregate instead of a join: one shuffle, rows combined before it,
+NULL keys equal to each other, and no pairs where a key repeats.
+
+``presence`` counts equal values. ``key_status`` shuffles a key with a few numbers
+made from hashes of its rows and says what happened to the key. ``align`` carries
+the rows themselves. A key is meant to name one row; where it does not, ``align``
+keeps the smallest row and the number of rows, and a difference in any copy shows
+in the status.
 """
 
 from __future__ import annotations
@@ -13,15 +17,16 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ledgerline.functions.lines import any_of
+from ledgerline.functions.lines import all_of, any_of
 from ledgerline.functions.rowtext import cell_text, key_text
 from ledgerline.operators.quality import side_by_side
-from ledgerline.operators.skew import key_presence_join
+from ledgerline.operators.skew import fits_broadcast, key_presence_join
+from ledgerline.session import stage
 
 ABSENT = "Does_Not_Exists"
 LEFT_ONLY, RIGHT_ONLY, CHANGED, SAME = "left_only", "right_only", "changed", "same"
 
-_DIGEST = 1 << 24  # small enough that a sum over 10^11 rows stays in a bigint
+_PIECE_BITS = 24  # a sum of such numbers over 10^11 rows stays in a bigint
 
 
 # --- columns ---------------------------------------------------------------
@@ -49,7 +54,7 @@ def same_types(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> tup
     return cells(left), cells(right)
 
 
-# --- the two folds ---------------------------------------------------------
+# --- the folds -------------------------------------------------------------
 
 def presence(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distinct values of ``columns`` with ``left_rows`` and ``right_rows``."""
@@ -60,6 +65,48 @@ def presence(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataF
     return both.groupBy(*columns).agg(F.sum("_l").alias("left_rows"), F.sum("_r").alias("right_rows"))
 
 
+def _hash_pieces(columns: Sequence[str]) -> list[Column]:
+    """Four numbers of 24 bits from two hashes of a row. NULL flags are hashed too,
+    because a hash passes over NULL values."""
+    parts = [p for c in columns for p in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    hashes = [F.xxhash64(F.lit(salt), *parts) for salt in (1, 2)]
+    mask = F.lit((1 << _PIECE_BITS) - 1)
+    return [F.shiftright(h, shift).bitwiseAND(mask) for h in hashes for shift in (0, _PIECE_BITS)]
+
+
+def _status(equal: Column) -> Column:
+    return (
+        F.when(F.col("right_rows") == 0, F.lit(LEFT_ONLY))
+        .when(F.col("left_rows") == 0, F.lit(RIGHT_ONLY))
+        .when(equal, F.lit(SAME)).otherwise(F.lit(CHANGED))
+    )
+
+
+def key_status(left: DataFrame, right: DataFrame, keys: Sequence[str],
+               columns: Sequence[str] | None = None) -> DataFrame:
+    """Keys with ``left_rows``, ``right_rows`` and ``status``, without the rows.
+
+    Row hashes count up for the left side and down for the right one; a key whose
+    numbers all end at zero has the same rows on both sides, however many there
+    are. The buffers have a fixed size, so Spark aggregates by hash without a sort.
+    """
+    keys = list(keys)
+    columns = columns or common_columns(left, right)
+    values = [c for c in columns if c not in keys]
+    left, right = same_types(left, right, [*keys, *values])
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        pieces = [(p * sign).alias(f"_p{i}") for i, p in enumerate(_hash_pieces(values or keys))]
+        return df.select(*[F.col(f"`{k}`") for k in keys], F.lit(sign).alias("_sign"), *pieces)
+
+    sums = [F.sum(f"_p{i}").alias(f"_p{i}") for i in range(4)]
+    folded = side(left, 1).unionByName(side(right, -1)).groupBy(*keys).agg(
+        F.count_if(F.col("_sign") == 1).alias("left_rows"), F.count_if(F.col("_sign") == -1).alias("right_rows"), *sums
+    )
+    equal = all_of([F.col("left_rows") == F.col("right_rows"), *[F.col(f"_p{i}") == 0 for i in range(4)]])
+    return folded.select(*keys, "left_rows", "right_rows", _status(equal).alias("status"))
+
+
 def align(left: DataFrame, right: DataFrame, keys: Sequence[str],
           columns: Sequence[str] | None = None, unique_keys: bool = False) -> DataFrame:
     """One row per key: the keys, ``l`` and ``r`` (structs of the other columns),
@@ -75,44 +122,51 @@ def align(left: DataFrame, right: DataFrame, keys: Sequence[str],
     row = F.struct(*values) if values else F.struct(F.lit(True).alias("_"))
     if unique_keys:
         return _joined(left.select(*keys, row.alias("l")), right.select(*keys, row.alias("r")), keys)
-    digest = F.pmod(F.xxhash64(*(values or keys)), F.lit(_DIGEST))
-    nothing = F.lit(0)
-
-    def side(df: DataFrame, is_left: bool) -> DataFrame:
-        mine, other = (("l", "r") if is_left else ("r", "l"))
-        tagged = df.select(
-            *keys, row.alias(f"{mine}"),
-            F.lit(1).alias(f"_{mine}n"), digest.alias(f"_{mine}d"),
-            nothing.alias(f"_{other}n"), nothing.cast("bigint").alias(f"_{other}d"),
-        )
+
+    def side(df: DataFrame, sign: int) -> DataFrame:
+        mine, other = ("l", "r") if sign == 1 else ("r", "l")
+        pieces = [(p * sign).alias(f"_p{i}") for i, p in enumerate(_hash_pieces(values or keys)[:2])]
+        tagged = df.select(*keys, row.alias(mine), F.lit(sign).alias("_sign"), *pieces)
         return tagged.withColumn(other, F.lit(None).cast(tagged.schema[mine].dataType))
 
-    folded = side(left, True).unionByName(side(right, False)).groupBy(*keys).agg(
+    sums = [F.sum(f"_p{i}").alias(f"_p{i}") for i in range(2)]
+    folded = side(left, 1).unionByName(side(right, -1)).groupBy(*keys).agg(
         F.min("l").alias("l"), F.min("r").alias("r"),
-        F.sum("_ln").alias("left_rows"), F.sum("_rn").alias("right_rows"),
-        F.sum("_ld").alias("_ld"), F.sum("_rd").alias("_rd"),
+        F.count_if(F.col("_sign") == 1).alias("left_rows"), F.count_if(F.col("_sign") == -1).alias("right_rows"), *sums
     )
-    equal = (
-        F.col("l").eqNullSafe(F.col("r"))
-        & (F.col("left_rows") == F.col("right_rows")) & (F.col("_ld") == F.col("_rd"))
-    )
-    status = (
-        F.when(F.col("right_rows") == 0, F.lit(LEFT_ONLY))
-        .when(F.col("left_rows") == 0, F.lit(RIGHT_ONLY))
-        .when(equal, F.lit(SAME)).otherwise(F.lit(CHANGED))
+    equal = all_of([
+        F.col("l").eqNullSafe(F.col("r")), F.col("left_rows") == F.col("right_rows"),
+        *[F.col(f"_p{i}") == 0 for i in range(2)],
+    ])
+    return folded.withColumn("status", _status(equal)).drop("_p0", "_p1")
+
+
+def align_differing(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                    columns: Sequence[str] | None = None) -> DataFrame:
+    """:func:`align` for the keys that are not the same on both sides or that repeat;
+    the result is staged.
+
+    First the status of every key, which shuffles no row; then the rows of the keys
+    found, by a broadcast of those keys when their counted size allows it. Two scans
+    of each side, but the rows that are equal, nearly all as a rule, stay in place.
+    """
+    keys = list(keys)
+    columns = columns or common_columns(left, right)
+    columns = [*keys, *[c for c in columns if c not in keys]]
+    left, right = same_types(left, right, columns)
+    repeated = (F.col("left_rows") > 1) | (F.col("right_rows") > 1)
+    found = stage(
+        key_status(left, right, keys, columns).filter((F.col("status") != SAME) | repeated).select(*keys), "keys"
     )
-    return folded.withColumn("status", status).drop("_ld", "_rd")
+    small = fits_broadcast(found, found.count())
+    rows = [key_presence_join(side, found, keys, "left_semi", small) for side in (left, right)]
+    return stage(align(*rows, keys, columns), "differing")
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    there = {side: F.col(side).isNotNull().cast("bigint") for side in ("l", "r")}
-    status = (
-        F.when(F.col("r").isNull(), F.lit(LEFT_ONLY)).when(F.col("l").isNull(), F.lit(RIGHT_ONLY))
-        .when(F.col("l").eqNullSafe(F.col("r")), F.lit(SAME)).otherwise(F.lit(CHANGED))
-    )
-    return left.join(right, list(keys), "full").select(
-        *keys, "l", "r", there["l"].alias("left_rows"), there["r"].alias("right_rows"), status.alias("status")
-    )
+    there = [F.col(side).isNotNull().cast("bigint").alias(f"{name}_rows") for side, name in (("l", "left"), ("r", "right"))]
+    joined = left.join(right, list(keys), "full").select(*keys, "l", "r", *there)
+    return joined.withColumn("status", _status(F.col("l").eqNullSafe(F.col("r"))))
 
 
 # --- keys on one or both sides ---------------------------------------------
@@ -362,12 +416,8 @@ def summarise_differences(differing: DataFrame, left: DataFrame, right: DataFram
     staged); the totals are plain row counts of the two tables."""
     columns = list(columns or [*keys, *_values(differing)])
     counted = differing.agg(*_counts(differing, columns))
-    totals = {
-        "total_left": left.agg(F.count(F.lit(1))), "total_right": right.agg(F.count(F.lit(1))),
-        **{c: counted.select(c) for c in ("extra_in_left", "extra_in_right")},
-        **{f"_changed_{i}": counted.select(f"_changed_{i}") for i in range(len(columns))},
-    }
-    return _summary(side_by_side(**totals), columns)
+    totals = [side.agg(F.count(F.lit(1)).alias(name)) for name, side in (("total_left", left), ("total_right", right))]
+    return _summary(side_by_side(*totals, counted), columns)
 
 
 def column_mismatch_counts(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:

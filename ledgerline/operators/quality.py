@@ -27,19 +27,21 @@ def require(checks: DataFrame, what: str) -> None:
         raise CheckFailed(f"{what}: " + "; ".join(str(row.asDict()) for row in failed))
 
 
-def side_by_side(**counts: DataFrame) -> DataFrame:
-    """One row with one named column for each input of one row and one number."""
+def side_by_side(*rows: DataFrame) -> DataFrame:
+    """One row with the number columns of all inputs, each of which has one row."""
     tagged = None
-    for name, one in counts.items():
-        row = one.toDF("value").select(F.lit(name).alias("name"), F.col("value").cast("bigint").alias("value"))
-        tagged = row if tagged is None else tagged.unionByName(row)
-    return tagged.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in counts])
+    for row in rows:
+        entries = F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("value")) for c in row.columns])
+        long = row.select(F.explode(entries).alias("entry")).select("entry.*")
+        tagged = long if tagged is None else tagged.unionByName(long)
+    names = [c for row in rows for c in row.columns]
+    return tagged.agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(n) for n in names])
 
 
-def validate_frame(framed: DataFrame, headers: Sequence[str], trailers: Sequence[str],
+def validate_frame(frame: DataFrame, counts: DataFrame, headers: Sequence[str], trailers: Sequence[str],
                    ignore: str | None = None, values: Mapping[str, object] | None = None) -> DataFrame:
     """Expected and actual header and trailer lines of each unit: ``section, ordinal,
-    expected, actual, passed``.
+    expected, actual, passed``. ``frame`` and ``counts`` come from the opened files.
 
     Empty expected lines are not checked; where the expected line holds ``ignore``
     the actual character does not matter; a missing line fails. The expected lines
@@ -49,8 +51,8 @@ def validate_frame(framed: DataFrame, headers: Sequence[str], trailers: Sequence
     frame_size = len(headers) + len(trailers)
     known = {
         "FILENAME": F.element_at(F.split("unit", "/"), -1),
-        "FILELINECOUNT": F.col("total_lines"),
-        "EXPECTEDDATALINECOUNT": F.col("total_lines") - frame_size,
+        "FILELINECOUNT": F.col("file_lines"),
+        "EXPECTEDDATALINECOUNT": F.col("file_lines") - frame_size,
         **(values or {}),
     }
     slots = [(HEADER, i, t) for i, t in enumerate(headers, 1) if t]
@@ -59,10 +61,9 @@ def validate_frame(framed: DataFrame, headers: Sequence[str], trailers: Sequence
         F.struct(F.lit(s).alias("section"), F.lit(i).cast("bigint").alias("ordinal"), render(t, known).alias("expected"))
         for s, i, t in slots
     ])
-    units = framed.filter(F.col("line_no") == 1)
-    expected = units.select("unit", F.explode(wanted).alias("slot")).select("unit", "slot.*")
-    frame = framed.filter(F.col("section") != DATA).select("unit", "section", "ordinal", "value")
-    found = expected.join(frame, ["unit", "section", "ordinal"], "left")
+    expected = counts.select("unit", F.explode(wanted).alias("slot")).select("unit", "slot.*")
+    actual_lines = frame.filter(F.col("section") != DATA).select("unit", "section", "ordinal", "value")
+    found = expected.join(actual_lines, ["unit", "section", "ordinal"], "left")
     actual = mask_line(F.col("expected"), F.col("value"), ignore) if ignore else F.col("value")
     return found.select(
         "unit", "section", "ordinal", "expected", F.col("value").alias("actual"),
@@ -70,32 +71,18 @@ def validate_frame(framed: DataFrame, headers: Sequence[str], trailers: Sequence
     )
 
 
-def line_counts(framed: DataFrame) -> DataFrame:
-    """Lines of each unit: ``unit, header_lines, data_lines, trailer_lines, file_lines``."""
-    def lines(section: str) -> Column:
-        return F.count_if(F.col("section") == section)
-
-    return framed.groupBy("unit").agg(
-        lines(HEADER).alias("header_lines"), lines(DATA).alias("data_lines"),
-        lines(TRAILER).alias("trailer_lines"), F.count(F.lit(1)).alias("file_lines"),
-    )
-
-
-def reconcile_input(framed: DataFrame, n_head: int, n_tail: int) -> DataFrame:
+def reconcile_input(counts: DataFrame, n_head: int, n_tail: int) -> DataFrame:
     """Expected data lines of each unit: all lines without the frame."""
-    return line_counts(framed).select(
+    return counts.select(
         "unit", "file_lines", (F.col("file_lines") - n_head - n_tail).alias("expected_data_lines")
     )
 
 
-def reconcile_output(framed: DataFrame, processed: DataFrame, n_head: int, n_tail: int) -> DataFrame:
+def reconcile_output(counts: DataFrame, processed: DataFrame, n_head: int, n_tail: int) -> DataFrame:
     """A written file against the rows that went into it: lines = data + frame and
     processed rows = data lines. ``processed`` is a count of one row."""
-    counts = line_counts(framed)
-    whole = side_by_side(
-        file_lines=counts.agg(F.sum("file_lines")), data_lines=counts.agg(F.sum("data_lines")),
-        processed_rows=processed,
-    )
+    written = counts.agg(F.sum("file_lines").alias("file_lines"), F.sum("data_lines").alias("data_lines"))
+    whole = side_by_side(written, processed.toDF("processed_rows"))
     expected = F.col("data_lines") + n_head + n_tail
     passed = (F.col("file_lines") == expected) & (F.col("processed_rows") == F.col("data_lines"))
     return whole.select("*", expected.alias("expected_file_lines"), passed.alias("passed"))
@@ -105,17 +92,17 @@ def reconcile_load(rows_before: DataFrame, rows_after: DataFrame, processed: Dat
                    expected_data_lines: DataFrame) -> DataFrame:
     """Rows added to a table = processed rows = data lines of the file. Each input is
     a count of one row."""
-    whole = side_by_side(rows_before=rows_before, rows_after=rows_after, processed_rows=processed,
-                         expected_rows=expected_data_lines)
+    whole = side_by_side(rows_before.toDF("rows_before"), rows_after.toDF("rows_after"),
+                         processed.toDF("processed_rows"), expected_data_lines.toDF("expected_rows"))
     added = F.col("rows_after") - F.col("rows_before")
     passed = (added == F.col("processed_rows")) & (F.col("processed_rows") == F.col("expected_rows"))
     return whole.select(added.alias("added_rows"), "processed_rows", "expected_rows", passed.alias("passed"))
 
 
-def trailer_count_check(framed: DataFrame, label: str, n_head: int, n_tail: int) -> DataFrame:
+def trailer_count_check(frame: DataFrame, label: str, n_head: int, n_tail: int) -> DataFrame:
     """The number in the last line (label and ``=`` removed) against the lines without
     the frame: ``Y``, ``N``, or blank when it is no number."""
-    last = framed.filter(F.col("line_no") == F.col("total_lines"))
+    last = frame.filter(F.col("line_no") == F.col("total_lines"))
     text = F.trim(F.replace("value", F.lit(label), F.lit(""))) if label else F.trim("value")
     number = F.replace(text, F.lit("="), F.lit("")).try_cast("bigint")
     expected = F.col("total_lines") - n_head - n_tail

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
+from ledgerline.functions.lines import all_of
+
 # Largest side that may be broadcast, by row count times declared row width.
 BROADCAST_BYTES = 64 * 1024 * 1024
 
@@ -50,20 +52,31 @@ def hot_hashes(df: DataFrame, on: Sequence[str]) -> list[int]:
     return [entry["item"] for entry in top["top"] or [] if entry["count"] > floor]
 
 
-def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """``left_semi`` or ``left_anti`` of ``df`` against the keys of ``keys_df``.
+def _same_keys(df: DataFrame, on: Sequence[str]) -> Column:
+    """Join condition with ``_k_`` prefixed keys; NULL keys equal each other."""
+    return all_of([df[c].eqNullSafe(F.col(f"_k_{c}")) for c in on])
+
 
-    ``keys_df`` is reduced to one row per key, combined before its shuffle. Rows of
-    ``df`` with a frequent key stay where they are and meet a broadcast of at most
-    ``HOT_KEYS`` keys; the other rows take the ordinary shuffle join.
+def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how: str,
+                      small: bool | None = None) -> DataFrame:
+    """``left_semi`` or ``left_anti`` of ``df`` against the keys of ``keys_df``; NULL
+    keys equal each other.
+
+    ``keys_df`` is reduced to one row per key, combined before its shuffle. ``small``
+    states that it was counted and fits a broadcast; ``df`` then stays in place.
+    Otherwise rows of ``df`` with a frequent key stay where they are and meet a
+    broadcast of at most ``HOT_KEYS`` keys; the others take the shuffle join.
     """
-    keys = keys_df.select(*[F.col(c).cast(df.schema[c].dataType).alias(c) for c in on]).distinct()
+    keys = keys_df.select(*[F.col(c).cast(df.schema[c].dataType).alias(f"_k_{c}") for c in on]).distinct()
+    if small:
+        return df.join(F.broadcast(keys), _same_keys(df, on), how)
     hot = hot_hashes(df, on)
     if not hot:
-        return df.join(keys, list(on), how)
-    is_hot = F.xxhash64(*on).isin(hot)
-    cold_part = df.filter(~is_hot).join(keys.filter(~is_hot), list(on), how)
-    hot_part = df.filter(is_hot).join(F.broadcast(keys.filter(is_hot)), list(on), how)
+        return df.join(keys, _same_keys(df, on), how)
+    is_hot, key_is_hot = F.xxhash64(*on).isin(hot), F.xxhash64(*keys.columns).isin(hot)
+    cold, warm = df.filter(~is_hot), df.filter(is_hot)
+    cold_part = cold.join(keys.filter(~key_is_hot), _same_keys(cold, on), how)
+    hot_part = warm.join(F.broadcast(keys.filter(key_is_hot)), _same_keys(warm, on), how)
     return cold_part.unionByName(hot_part)
 
 

@@ -19,7 +19,7 @@ from ledgerline.sinks.framed import fill_column_names, frame_output, write_lines
 from ledgerline.sinks.records import delimited_lines, fixed_width_lines
 from ledgerline.sinks.report import compare_report, write_report
 from ledgerline.sinks.tables import DuplicateKeyError, load_table
-from ledgerline.sources.framed import data_lines, frame_lines
+from ledgerline.sources.framed import FramedFiles, data_lines, open_framed
 from ledgerline.sources.records import read_delimited, read_fixed_width
 from ledgerline.sources.tables import posts, row_count
 
@@ -45,12 +45,17 @@ def read_file(spark: SparkSession, path: str, layout: FileLayout, values: Mappin
     n_head, n_tail = layout.frame
     if not (n_head or n_tail or keep):
         return parse(spark.read.text(path, lineSep="\n"), layout)  # nothing to count
-    framed = frame_lines(spark, path, n_head, n_tail, layout.unit)
-    if layout.validate and (n_head or n_tail):
-        quality.require(
-            quality.validate_frame(framed, layout.headers, layout.trailers, layout.ignore, values), f"frame of {path}"
+    return _records(open_framed(spark, path, n_head, n_tail, layout.unit), layout, values, keep)
+
+
+def _records(files: FramedFiles, layout: FileLayout, values: Mapping[str, object] | None = None,
+             keep: Sequence[str] = ()) -> DataFrame:
+    if layout.validate and any(layout.frame):
+        checks = quality.validate_frame(
+            files.frame(), files.counts(), layout.headers, layout.trailers, layout.ignore, values
         )
-    return parse(data_lines(framed, *keep), layout, keep)
+        quality.require(checks, f"frame of {files.path}")
+    return parse(data_lines(files.lines(), *keep), layout, keep)
 
 
 def write_file(rows: DataFrame, path: str, layout: FileLayout, values: Mapping[str, object] | None = None,
@@ -74,8 +79,8 @@ def write_file(rows: DataFrame, path: str, layout: FileLayout, values: Mapping[s
     write_lines(framed, path, single_file)
     if layout.validate:
         n_head, n_tail = layout.frame
-        written = frame_lines(spark, path, n_head, n_tail, "folder")
-        quality.require(quality.reconcile_output(written, row_count(rows), n_head, n_tail), f"counts of {path}")
+        counts = open_framed(spark, path, n_head, n_tail, "folder").counts()
+        quality.require(quality.reconcile_output(counts, row_count(rows), n_head, n_tail), f"counts of {path}")
     return path
 
 
@@ -119,9 +124,9 @@ def load_file(spark: SparkSession, source: str, layout: FileLayout, table: str,
     updates add no rows.
     """
     n_head, n_tail = layout.frame
-    framed = frame_lines(spark, source, n_head, n_tail, layout.unit)
-    rows = stage(read_file(spark, source, layout, values), "load")
-    expected = quality.reconcile_input(framed, n_head, n_tail).agg(F.sum("expected_data_lines"))
+    files = open_framed(spark, source, n_head, n_tail, layout.unit)
+    rows = stage(_records(files, layout, values), "load")
+    expected = quality.reconcile_input(files.counts(), n_head, n_tail).agg(F.sum("expected_data_lines"))
     nothing = spark.range(1).select(F.lit(0).cast("bigint"))
     before = nothing
     if load_type == "append_load":
@@ -158,22 +163,18 @@ def _chosen_rows(df: DataFrame, side: Side, spec: CompareSpec) -> DataFrame:
 def compare_tables(left: DataFrame, right: DataFrame, spec: CompareSpec, path: str) -> str:
     """Compare two tables (or query results) and write the report to ``path``.
 
-    The keys are checked first: unique keys let the rows be joined, repeated ones
-    are folded and reported, or raise when the definition is strict.
+    Keys that repeat are reported; a strict definition raises on them before the
+    comparison starts.
     """
     left, right = _chosen_rows(left, spec.left, spec), _chosen_rows(right, spec.right, spec)
     keys = cmp.chosen_keys(spec.keys, spec.left.keys, spec.right.keys)
     columns = cmp.common_columns(left, right, spec.exclude)
-    columns = [*keys, *[c for c in columns if c not in keys]]
-    checks = [quality.key_check(side, keys).first() for side in (left, right)]
-    unique = all(check["is_key"] for check in checks)
-    if spec.strict and any(check["duplicate_keys"] for check in checks):
-        raise DuplicateKeyError(f"{spec.name}: the keys {keys} repeat")
-    meta = {
-        **spec.meta, "UniqueColumns": ",".join(keys), "ExcludedColumns": ",".join(spec.exclude),
-        "LeftDuplicateKeys": checks[0]["duplicate_keys"], "RightDuplicateKeys": checks[1]["duplicate_keys"],
-    }
-    return write_report(compare_report(left, right, keys, columns, meta, unique), path)
+    if spec.strict:
+        for side in (left, right):
+            if quality.key_check(side, keys).first()["duplicate_keys"]:
+                raise DuplicateKeyError(f"{spec.name}: the keys {keys} repeat")
+    meta = {**spec.meta, "UniqueColumns": ",".join(keys), "ExcludedColumns": ",".join(spec.exclude)}
+    return write_report(compare_report(left, right, keys, columns, meta), path)
 
 
 def compare_files(spark: SparkSession, left: str, left_layout: FileLayout, right: str, right_layout: FileLayout,
@@ -183,10 +184,10 @@ def compare_files(spark: SparkSession, left: str, left_layout: FileLayout, right
     for name, source, layout, side in (("Left", left, left_layout, spec.left),
                                        ("Right", right, right_layout, spec.right)):
         n_head, n_tail = layout.frame
-        framed = frame_lines(spark, source, n_head, n_tail, layout.unit)
-        sides.append(stage(parse(data_lines(framed), layout), "side"))
+        files = open_framed(spark, source, n_head, n_tail, layout.unit)
+        sides.append(stage(_records(files, layout), "side"))
         if side.trailer_label:
-            check = quality.trailer_count_check(framed, side.trailer_label, n_head, n_tail).agg(
+            check = quality.trailer_count_check(files.frame(), side.trailer_label, n_head, n_tail).agg(
                 F.min("matching").alias("matching")
             )
             meta[f"TrailerValidationSuccessFor{name}"] = check.first()["matching"]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.functions.rowtext import cell_text, key_text
 from ledgerline.operators import compare as cmp
-from ledgerline.operators.skew import key_presence_join
+from ledgerline.operators.quality import side_by_side
+from ledgerline.operators.skew import fits_broadcast, key_presence_join
 from ledgerline.session import stage
 
 META, SUMMARY, PASSED, MISMATCHES, DUPLICATES = (
@@ -21,7 +22,8 @@ MISMATCH_COLUMNS = "column_name string, concatenated_keys string, left_value str
 def passed_sample(left: DataFrame, differing: DataFrame, keys: Sequence[str], rows: int = 10) -> DataFrame:
     """The first rows of ``left`` without a difference, one line per cell; both sides
     hold the same values there."""
-    passed = key_presence_join(left, differing.select(*keys), keys, "left_anti").orderBy(*keys).limit(rows)
+    small = fits_broadcast(differing.select(*keys), differing.count())
+    passed = key_presence_join(left, differing, keys, "left_anti", small).orderBy(*keys).limit(rows)
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), cell_text(left, c).alias("value")) for c in left.columns])
     return passed.select(key_text(left, keys).alias("concatenated_keys"), F.explode(cells).alias("cell")).select(
         "cell.column_name", "concatenated_keys",
@@ -30,43 +32,38 @@ def passed_sample(left: DataFrame, differing: DataFrame, keys: Sequence[str], ro
 
 
 def compare_report(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None,
-                   meta: Mapping[str, str] | None = None, unique_keys: bool = False) -> dict[str, DataFrame]:
+                   meta: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
     """Sections of the report.
 
-    The two tables meet once, in the alignment; only the rows that differ are
-    staged, and every section is made from those and from plain row counts.
+    Every section is made from the rows that differ, which are staged, and from
+    plain row counts of the two tables.
     """
     keys = list(keys)
     columns = list(columns or cmp.common_columns(left, right))
     columns = [*keys, *[c for c in columns if c not in keys]]
     left, right = cmp.same_types(left, right, columns)
-    aligned = cmp.align(left, right, keys, columns, unique_keys)
-    repeated = (F.col("left_rows") > 1) | (F.col("right_rows") > 1)
-    noted = stage(aligned.filter((F.col("status") != cmp.SAME) | repeated), "differing")
+    noted = cmp.align_differing(left, right, keys, columns)
     differing = noted.filter(F.col("status") != cmp.SAME)
-
-    summary = cmp.summarise_differences(differing, left, right, keys, columns)
-    counts = differing.agg(F.count_if(F.col("status") == cmp.CHANGED).alias("n"))
-    spark = left.sparkSession
-    given = spark.createDataFrame(
+    repeated = noted.filter((F.col("left_rows") > 1) | (F.col("right_rows") > 1))
+
+    changed = differing.agg(F.count_if(F.col("status") == cmp.CHANGED).alias("changed"))
+    summary = stage(cmp.summarise_differences(differing, left, right, keys, columns), "summary")
+    shared = summary.agg((F.max("total_left") - F.max("extra_in_left")).alias("shared"))
+    overall = [("OverallCommonCount", F.col("shared") - F.col("changed")),
+               ("OverallCombinedMismatchCount", F.col("changed"))]
+    counted = side_by_side(changed, shared).select(F.explode(F.array(*[
+        F.struct(F.lit(name).alias("config_name"), value.cast("string").alias("config_value"))
+        for name, value in overall
+    ])).alias("row")).select("row.*")
+    given = left.sparkSession.createDataFrame(
         [(str(k), str(v)) for k, v in (meta or {}).items()], "config_name string, config_value string"
     )
-    common = summary.agg(F.max("total_left") - F.max("extra_in_left")).toDF("shared")
-    overall = cmp.side_by_side(mismatched=counts, shared=common).select(F.explode(F.array(
-        F.struct(F.lit("OverallCommonCount").alias("config_name"),
-                 (F.col("shared") - F.col("mismatched")).cast("string").alias("config_value")),
-        F.struct(F.lit("OverallCombinedMismatchCount").alias("config_name"),
-                 F.col("mismatched").cast("string").alias("config_value")),
-    )).alias("row")).select("row.*")
-    duplicates = noted.filter(repeated).select(
-        key_text(noted, keys).alias("concatenated_keys"), "left_rows", "right_rows"
-    )
     return {
-        META: given.unionByName(overall),
+        META: given.unionByName(counted),
         SUMMARY: cmp.flagged_summary(summary),
         PASSED: passed_sample(left, differing, keys),
         MISMATCHES: cmp.flagged_cells(cmp.difference_union(differing, keys)),
-        DUPLICATES: duplicates,
+        DUPLICATES: repeated.select(key_text(noted, keys).alias("concatenated_keys"), "left_rows", "right_rows"),
     }
 
 

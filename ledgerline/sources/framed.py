@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from dataclasses import dataclass
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ledgerline.operators.numbering import number_rows
 from ledgerline.operators.skew import broadcast_if_small
@@ -10,6 +13,9 @@ from ledgerline.session import stage
 
 HEADER, DATA, TRAILER = "header", "data", "trailer"
 
+# Most files that are opened by name to read nothing but frame lines.
+NAMED_FILES = 1000
+
 
 def _read_blocks(spark: SparkSession, path: str | list[str], unit: str) -> DataFrame:
     owner = F.col("_metadata.file_path")
@@ -28,59 +34,116 @@ def _read_blocks(spark: SparkSession, path: str | list[str], unit: str) -> DataF
     )
 
 
-def frame_lines(spark: SparkSession, path: str | list[str], n_head: int = 0, n_tail: int = 0,
-                unit: str = "file", drop_blank_last: bool = False) -> DataFrame:
-    """Lines with ``unit, line_no, total_lines, section, ordinal, value``.
+@dataclass(frozen=True)
+class FramedFiles:
+    """Files with a frame after one pass that counted the lines of each read block.
+
+    ``blocks`` has a row per block with its offset in the unit. It is staged, so its
+    real size decides whether it is broadcast.
+    """
+
+    spark: SparkSession
+    path: str | list[str]
+    n_head: int
+    n_tail: int
+    unit: str
+    blocks: DataFrame
+
+    def lines(self) -> DataFrame:
+        """All lines: ``unit, line_no, total_lines, section, ordinal, value``."""
+        placed = _read_blocks(self.spark, self.path, self.unit).join(
+            broadcast_if_small(self.blocks), ["unit", "_file", "_block"]
+        )
+        line_no = F.col("_offset") + F.col("_id") - F.col("_first") + 1
+        return self._named(placed, line_no)
+
+    def frame(self) -> DataFrame:
+        """Header lines, trailer lines and the last line, in the form of :meth:`lines`.
+
+        Where few of the files hold frame lines, as in a folder of part files, only
+        those are opened.
+        """
+        tail = max(self.n_tail, 1)
+        files = self.blocks.groupBy("unit", "_file", "total_lines").agg(
+            F.min("_offset").alias("_file_offset"), F.sum("_lines").alias("_file_lines")
+        )
+        holds_frame = (F.col("_file_offset") < self.n_head) | (
+            F.col("_file_offset") + F.col("_file_lines") > F.col("total_lines") - tail
+        )
+        size = files.agg(F.count(F.lit(1)).alias("all"), F.count_if(holds_frame).alias("some")).first()
+        is_frame = (F.col("section") != DATA) | (F.col("line_no") == F.col("total_lines"))
+        if size["some"] > NAMED_FILES or size["some"] * 4 > size["all"]:
+            return self.lines().filter(is_frame)
+        chosen = files.filter(holds_frame)
+        names = [unquote(row["_file"]) for row in chosen.select("_file").collect()]
+        within = open_framed(self.spark, names).lines().select(
+            F.col("unit").alias("_file"), F.col("line_no").alias("_line"), "value"
+        )
+        placed = within.join(F.broadcast(chosen), "_file")
+        return self._named(placed, F.col("_file_offset") + F.col("_line")).filter(is_frame)
+
+    def counts(self) -> DataFrame:
+        """``unit, file_lines, header_lines, data_lines, trailer_lines``, from the
+        blocks alone."""
+        whole = self.blocks.groupBy("unit").agg(F.max("total_lines").alias("file_lines"))
+        header = F.least(F.lit(self.n_head), "file_lines")
+        trailer = F.least(F.lit(self.n_tail), F.col("file_lines") - F.col("header_lines"))
+        return whole.withColumn("header_lines", header).withColumn("trailer_lines", trailer).withColumn(
+            "data_lines", F.col("file_lines") - F.col("header_lines") - F.col("trailer_lines")
+        )
+
+    def _named(self, placed: DataFrame, line_no: Column) -> DataFrame:
+        numbered = placed.select("unit", line_no.alias("line_no"), "total_lines", "value").filter(
+            F.col("line_no") <= F.col("total_lines")
+        )
+        first_of_tail = F.col("total_lines") - self.n_tail
+        section = (
+            F.when(F.col("line_no") <= self.n_head, F.lit(HEADER))
+            .when(F.col("line_no") > first_of_tail, F.lit(TRAILER)).otherwise(F.lit(DATA))
+        )
+        ordinal = (
+            F.when(F.col("section") == HEADER, F.col("line_no"))
+            .when(F.col("section") == TRAILER, F.col("line_no") - first_of_tail)
+            .otherwise(F.col("line_no") - self.n_head)
+        )
+        return numbered.withColumn("section", section).withColumn("ordinal", ordinal).select(
+            "unit", "line_no", "total_lines", "section", "ordinal", "value"
+        )
+
+
+def open_framed(spark: SparkSession, path: str | list[str], n_head: int = 0, n_tail: int = 0,
+                unit: str = "file", drop_blank_last: bool = False) -> FramedFiles:
+    """Count the lines of framed files, so that each line can be placed.
 
     ``unit`` says what carries one frame: each file, or each folder of part files
-    taken in name order (how Spark writes a large file). ``line_no`` counts from 1
-    in the unit, ``ordinal`` from 1 in the section. ``drop_blank_last`` removes an
-    empty last line before the trailer is counted.
-
-    No task sees a whole file: a first pass counts the lines of each read block, a
-    running sum over that small table gives every block its offset, and a second
-    pass adds the offset to the position in the block. The block table is staged,
-    so its real size decides whether it is broadcast.
+    taken in name order (how Spark writes a large file). ``drop_blank_last`` leaves
+    out an empty last line before the trailer is counted.
+
+    No task sees a whole file: lines are counted by block, and a running sum over
+    that small table gives every block its offset in the unit.
     """
-    lines = _read_blocks(spark, path, unit)
-    per_block = lines.groupBy("unit", "_file", "_block").agg(
+    per_block = _read_blocks(spark, path, unit).groupBy("unit", "_file", "_block").agg(
         F.min("_id").alias("_first"),
         F.count(F.lit(1)).alias("_lines"),
         F.max_by(F.col("value") == "", F.col("_id")).alias("_blank_last"),
     )
-    in_order = Window.partitionBy("unit").orderBy("_file", "_block")
     whole = Window.partitionBy("unit")
+    before = whole.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    total = F.sum("_lines").over(whole)
+    if drop_blank_last:
+        total = total - F.max_by("_blank_last", F.struct("_file", "_block")).over(whole).cast("int")
     blocks = per_block.select(
-        "unit", "_file", "_block", "_first",
-        F.coalesce(F.sum("_lines").over(in_order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        .alias("_offset"),
-        F.sum("_lines").over(whole).alias("_all"),
-        F.max_by("_blank_last", F.struct("_file", "_block")).over(whole).alias("_unit_blank_last"),
+        "unit", "_file", "_block", "_first", "_lines",
+        F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset"), total.alias("total_lines"),
     )
-    blocks = broadcast_if_small(stage(blocks, "blocks"))
+    return FramedFiles(spark, path, n_head, n_tail, unit, stage(blocks, "blocks"))
 
-    total = F.col("_all")
-    if drop_blank_last:
-        total = total - F.col("_unit_blank_last").cast("int")
-    line_no = F.col("_offset") + F.col("_id") - F.col("_first") + 1
-    numbered = lines.join(blocks, ["unit", "_file", "_block"]).select(
-        "unit", line_no.alias("line_no"), total.alias("total_lines"), "value",
-    )
-    if drop_blank_last:
-        numbered = numbered.filter(F.col("line_no") <= F.col("total_lines"))
-    section = (
-        F.when(F.col("line_no") <= n_head, F.lit(HEADER))
-        .when(F.col("line_no") > F.col("total_lines") - n_tail, F.lit(TRAILER))
-        .otherwise(F.lit(DATA))
-    )
-    ordinal = (
-        F.when(F.col("section") == HEADER, F.col("line_no"))
-        .when(F.col("section") == TRAILER, F.col("line_no") - F.col("total_lines") + n_tail)
-        .otherwise(F.col("line_no") - n_head)
-    )
-    return numbered.withColumn("section", section).withColumn("ordinal", ordinal).select(
-        "unit", "line_no", "total_lines", "section", "ordinal", "value"
-    )
+
+def frame_lines(spark: SparkSession, path: str | list[str], n_head: int = 0, n_tail: int = 0,
+                unit: str = "file", drop_blank_last: bool = False) -> DataFrame:
+    """Lines with ``unit, line_no, total_lines, section, ordinal, value``: ``line_no``
+    counts from 1 in the unit, ``ordinal`` from 1 in the section."""
+    return open_framed(spark, path, n_head, n_tail, unit, drop_blank_last).lines()
 
 
 def data_lines(framed: DataFrame, *keep: str) -> DataFrame:

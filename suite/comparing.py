@@ -41,6 +41,22 @@ def compare_summary_unique_keys(spark, folder):
     return cmp.summarise(aligned, KEYS)
 
 
+@query("compare_summary_differing_rows", f"WITH {pair.SUMMARY} SELECT * FROM summary")
+def compare_summary_differing_rows(spark, folder):
+    """The same from row hashes first and the rows of differing keys after."""
+    left, right = both_sides(spark, folder)
+    return cmp.summarise_differences(cmp.align_differing(left, right, KEYS), left, right, KEYS)
+
+
+@query("key_status", f"""WITH {pair.SKETCHES}
+SELECT CAST(concatenated_keys AS BIGINT) AS o_orderkey,
+  CASE WHEN rk.hash_value IS NULL THEN 'left_only' WHEN lk.hash_value IS NULL THEN 'right_only'
+    WHEN lk.hash_value = rk.hash_value THEN 'same' ELSE 'changed' END AS status
+FROM lk FULL JOIN rk USING (concatenated_keys)""")
+def key_status(spark, folder):
+    return cmp.key_status(*both_sides(spark, folder), KEYS).select(*KEYS, "status")
+
+
 @query("column_mismatch_counts", f"WITH {pair.SUMMARY} SELECT column_name, mismatched FROM summary")
 def column_mismatch_counts(spark, folder):
     return cmp.column_mismatch_counts(_aligned(spark, folder), KEYS)

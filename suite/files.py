@@ -13,7 +13,7 @@ from ledgerline.operators import quality
 from ledgerline.session import scratch_path
 from ledgerline.sinks.framed import fill_column_names, frame_output, write_lines
 from ledgerline.sinks.records import delimited_lines, fixed_width_lines
-from ledgerline.sources.framed import frame_lines, sorted_data_lines
+from ledgerline.sources.framed import open_framed, sorted_data_lines
 from ledgerline.sources.records import (
     normalise_delimiters, read_delimited, read_fixed_width, split_normalised,
 )
@@ -76,14 +76,14 @@ def order_file(spark, folder):
 
 
 def framed_orders(spark, folder):
-    return frame_lines(spark, order_file(spark, folder), 2, 2, unit="folder")
+    return open_framed(spark, order_file(spark, folder), 2, 2, unit="folder")
 
 
 # --- frames ----------------------------------------------------------------
 
 @query("framed_split", f"WITH {ORDER_FRAME} SELECT section, ordinal, line_no, total_lines, value FROM placed")
 def framed_split(spark, folder):
-    return framed_orders(spark, folder).drop("unit")
+    return framed_orders(spark, folder).lines().drop("unit")
 
 
 @query("framed_output", f"WITH {ORDER_FRAME} SELECT value FROM framed")
@@ -104,7 +104,7 @@ def header_from_schema(spark, folder):
 @query("file_to_file_key_sort", f"""
 SELECT row_number() OVER (ORDER BY value) AS place, value FROM (SELECT {ORDER_LINE} AS value FROM orders)""")
 def file_to_file_key_sort(spark, folder):
-    return sorted_data_lines(framed_orders(spark, folder))
+    return sorted_data_lines(framed_orders(spark, folder).lines())
 
 
 # --- records ---------------------------------------------------------------
@@ -268,7 +268,8 @@ wanted AS (
   UNION ALL SELECT 'trailer', 2, printf('LINECOUNT=%08d', count(*) + 4), true FROM orders)
 SELECT section, placed.ordinal, expected, value AS actual, passed FROM wanted JOIN placed USING (section, ordinal)""")
 def validate_frame(spark, folder):
-    checks = quality.validate_frame(framed_orders(spark, folder), _EXPECTED_HEADERS, _EXPECTED_TRAILERS, "🧹")
+    files = framed_orders(spark, folder)
+    checks = quality.validate_frame(files.frame(), files.counts(), _EXPECTED_HEADERS, _EXPECTED_TRAILERS, "🧹")
     return checks.drop("unit")
 
 
@@ -277,12 +278,12 @@ SELECT count(*) + 4 AS file_lines, count(*) AS data_lines, count(*) AS processed
   count(*) + 4 AS expected_file_lines, true AS passed FROM orders""")
 def reconcile_output(spark, folder):
     processed = row_count(table(spark, folder, "orders"))
-    return quality.reconcile_output(framed_orders(spark, folder), processed, 2, 2)
+    return quality.reconcile_output(framed_orders(spark, folder).counts(), processed, 2, 2)
 
 
 @query("reconcile_input", "SELECT count(*) + 4 AS file_lines, count(*) AS expected_data_lines FROM orders")
 def reconcile_input(spark, folder):
-    return quality.reconcile_input(framed_orders(spark, folder), 2, 2).drop("unit")
+    return quality.reconcile_input(framed_orders(spark, folder).counts(), 2, 2).drop("unit")
 
 
 @query("trailer_count_check", """
@@ -296,10 +297,10 @@ def trailer_count_check(spark, folder):
     customers = delimited_lines(table(spark, folder, "customer"), CUSTOMER)
     path = write_lines(frame_output(customers, ["customers"], ["RECORDS=¶DATALINECOUNT•int•d¶"]),
                        scratch_path(spark, "customer-file"))
-    framed = frame_lines(spark, path, 1, 1, unit="folder")
-    checks = [("total", quality.trailer_count_check(framed_orders(spark, folder), "LINECOUNT", 2, 2)),
-              ("count", quality.trailer_count_check(framed, "RECORDS", 1, 1)),
-              ("other", quality.trailer_count_check(framed, "ROWS", 1, 1))]
+    frame = open_framed(spark, path, 1, 1, unit="folder").frame()
+    checks = [("total", quality.trailer_count_check(framed_orders(spark, folder).frame(), "LINECOUNT", 2, 2)),
+              ("count", quality.trailer_count_check(frame, "RECORDS", 1, 1)),
+              ("other", quality.trailer_count_check(frame, "ROWS", 1, 1))]
     rows = None
     for label, check in checks:
         check = check.select(F.lit(label).alias("label"), "last_line", "stated_rows", "expected_rows", "matching")

@@ -48,7 +48,8 @@ def mask_line(expected: Column, actual: Column, ignore: str) -> Column:
         given,
         lambda ch, i: F.when(F.try_element_at(wanted, i + 1) == F.lit(ignore), F.lit(ignore)).otherwise(ch),
     )
-    return F.when(F.instr(expected, ignore) > 0, F.array_join(marked, "")).otherwise(actual)
+    needed = (F.instr(expected, ignore) > 0) & (actual != "")
+    return F.when(needed, F.array_join(marked, "")).otherwise(actual)
 
 
 def cut_spans(text: Column, spans: Sequence[tuple[int, int]] | str) -> Column:

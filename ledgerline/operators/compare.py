@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerline.functions.lines import all_of, any_of
 from ledgerline.functions.rowtext import cell_text, key_text
 from ledgerline.operators.quality import side_by_side
-from ledgerline.operators.skew import fits_broadcast, key_presence_join
+from ledgerline.operators.skew import fits_broadcast, key_presence_join, row_width
 from ledgerline.session import stage
 
 ABSENT = "Does_Not_Exists"
 LEFT_ONLY, RIGHT_ONLY, CHANGED, SAME = "left_only", "right_only", "changed", "same"
 
+WIDE_ROW = 400  # declared bytes; several times what key_status shuffles for a row
+
 _PIECE_BITS = 24  # a sum of such numbers over 10^11 rows stays in a bigint
 
 
@@ -141,26 +143,30 @@ def align(left: DataFrame, right: DataFrame, keys: Sequence[str],
     return folded.withColumn("status", _status(equal)).drop("_p0", "_p1")
 
 
-def align_differing(left: DataFrame, right: DataFrame, keys: Sequence[str],
-                    columns: Sequence[str] | None = None) -> DataFrame:
+def align_differing(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None,
+                    unique_keys: bool = False, wide: bool | None = None) -> DataFrame:
     """:func:`align` for the keys that are not the same on both sides or that repeat;
     the result is staged.
 
-    First the status of every key, which shuffles no row; then the rows of the keys
-    found, by a broadcast of those keys when their counted size allows it. Two scans
-    of each side, but the rows that are equal, nearly all as a rule, stay in place.
+    Narrow rows are aligned and filtered. Wide rows (``wide``, else by their declared
+    width) are not shuffled: the status of every key comes first, then the rows of
+    the keys found, by a broadcast of those keys when their counted size allows it.
+    That takes two scans of each side, but the rows that are equal, nearly all as a
+    rule, stay in place.
     """
     keys = list(keys)
     columns = columns or common_columns(left, right)
     columns = [*keys, *[c for c in columns if c not in keys]]
     left, right = same_types(left, right, columns)
-    repeated = (F.col("left_rows") > 1) | (F.col("right_rows") > 1)
-    found = stage(
-        key_status(left, right, keys, columns).filter((F.col("status") != SAME) | repeated).select(*keys), "keys"
-    )
+    noteworthy = (F.col("status") != SAME) | (F.col("left_rows") > 1) | (F.col("right_rows") > 1)
+    if wide is None:
+        wide = row_width(left) > WIDE_ROW
+    if not wide:
+        return stage(align(left, right, keys, columns, unique_keys).filter(noteworthy), "differing")
+    found = stage(key_status(left, right, keys, columns).filter(noteworthy).select(*keys), "keys")
     small = fits_broadcast(found, found.count())
     rows = [key_presence_join(side, found, keys, "left_semi", small) for side in (left, right)]
-    return stage(align(*rows, keys, columns), "differing")
+    return stage(align(*rows, keys, columns, unique_keys), "differing")
 
 
 def _joined(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -163,18 +163,20 @@ def _chosen_rows(df: DataFrame, side: Side, spec: CompareSpec) -> DataFrame:
 def compare_tables(left: DataFrame, right: DataFrame, spec: CompareSpec, path: str) -> str:
     """Compare two tables (or query results) and write the report to ``path``.
 
-    Keys that repeat are reported; a strict definition raises on them before the
-    comparison starts.
+    Keys that repeat are reported. A strict definition checks them before the
+    comparison starts and raises; keys that pass let the rows be joined.
     """
     left, right = _chosen_rows(left, spec.left, spec), _chosen_rows(right, spec.right, spec)
     keys = cmp.chosen_keys(spec.keys, spec.left.keys, spec.right.keys)
     columns = cmp.common_columns(left, right, spec.exclude)
+    unique = False
     if spec.strict:
-        for side in (left, right):
-            if quality.key_check(side, keys).first()["duplicate_keys"]:
-                raise DuplicateKeyError(f"{spec.name}: the keys {keys} repeat")
+        checks = [quality.key_check(side, keys).first() for side in (left, right)]
+        if any(check["duplicate_keys"] for check in checks):
+            raise DuplicateKeyError(f"{spec.name}: the keys {keys} repeat")
+        unique = all(check["is_key"] for check in checks)
     meta = {**spec.meta, "UniqueColumns": ",".join(keys), "ExcludedColumns": ",".join(spec.exclude)}
-    return write_report(compare_report(left, right, keys, columns, meta), path)
+    return write_report(compare_report(left, right, keys, columns, meta, unique), path)
 
 
 def compare_files(spark: SparkSession, left: str, left_layout: FileLayout, right: str, right_layout: FileLayout,

@@ -32,7 +32,7 @@ def passed_sample(left: DataFrame, differing: DataFrame, keys: Sequence[str], ro
 
 
 def compare_report(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None,
-                   meta: Mapping[str, str] | None = None) -> dict[str, DataFrame]:
+                   meta: Mapping[str, str] | None = None, unique_keys: bool = False) -> dict[str, DataFrame]:
     """Sections of the report.
 
     Every section is made from the rows that differ, which are staged, and from
@@ -42,7 +42,7 @@ def compare_report(left: DataFrame, right: DataFrame, keys: Sequence[str], colum
     columns = list(columns or cmp.common_columns(left, right))
     columns = [*keys, *[c for c in columns if c not in keys]]
     left, right = cmp.same_types(left, right, columns)
-    noted = cmp.align_differing(left, right, keys, columns)
+    noted = cmp.align_differing(left, right, keys, columns, unique_keys)
     differing = noted.filter(F.col("status") != cmp.SAME)
     repeated = noted.filter((F.col("left_rows") > 1) | (F.col("right_rows") > 1))
 

@@ -32,14 +32,17 @@ def read_delimited(lines: DataFrame, columns: Sequence[str], sep: str = ",", quo
     escape character is escaped. Without it nothing is quoted and the escape
     character protects the separator.
     """
-    value = F.col("value")
+    value, stand_in = F.col("value"), None
     if quote:
         if not _one_unit(quote):
+            stand_in = quote
             value, quote = F.replace(value, F.lit(quote), F.lit(_QUOTE)), _QUOTE
         schema = ", ".join(f"`{c}` STRING" for c in columns)
         options = {"sep": sep, "quote": quote, "escape": quote, "mode": "PERMISSIVE"}
         row = lines.select(*keep, F.from_csv(value, schema, options).alias("row"))
         fields = [F.col("row").getField(c) for c in columns]
+        if stand_in:
+            fields = [F.replace(f, F.lit(_QUOTE), F.lit(stand_in)) for f in fields]
     else:
         held = F.replace(value, F.lit(escape + escape), F.lit(_HELD)) if escape else value
         guard = f"(?<!{re.escape(escape)})" if escape else ""

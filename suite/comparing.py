@@ -45,7 +45,7 @@ def compare_summary_unique_keys(spark, folder):
 def compare_summary_differing_rows(spark, folder):
     """The same from row hashes first and the rows of differing keys after."""
     left, right = both_sides(spark, folder)
-    return cmp.summarise_differences(cmp.align_differing(left, right, KEYS), left, right, KEYS)
+    return cmp.summarise_differences(cmp.align_differing(left, right, KEYS, wide=True), left, right, KEYS)
 
 
 @query("key_status", f"""WITH {pair.SKETCHES}

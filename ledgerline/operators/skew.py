@@ -81,9 +81,15 @@ def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how:
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join many rows to a lookup that holds one row per key, split like
-    :func:`key_presence_join`. The broadcast part has at most one lookup row for
-    each frequent key, so its size does not grow with the data."""
+    """Join many rows to a lookup that holds one row per key.
+
+    A lookup that is counted and fits is broadcast. For a larger one the rows of
+    ``df`` with a frequent key are split off and meet a broadcast of their lookup
+    rows, at most one for each frequent key, so its size does not grow with the
+    data; the other rows take the shuffle join. ``how`` is ``inner`` or ``left``.
+    """
+    if fits_broadcast(lookup, lookup.count()):
+        return df.join(F.broadcast(lookup), list(on), how)
     hot = hot_hashes(df, on)
     if not hot:
         return df.join(lookup, list(on), how)

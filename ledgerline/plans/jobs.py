@@ -19,7 +19,7 @@ from ledgerline.sinks.framed import fill_column_names, frame_output, write_lines
 from ledgerline.sinks.records import delimited_lines, fixed_width_lines
 from ledgerline.sinks.report import compare_report, write_report
 from ledgerline.sinks.tables import DuplicateKeyError, load_table
-from ledgerline.sources.framed import FramedFiles, data_lines, open_framed
+from ledgerline.sources.framed import FramedFiles, data_lines, open_framed, plain_line
 from ledgerline.sources.records import read_delimited, read_fixed_width
 from ledgerline.sources.tables import posts, row_count
 
@@ -44,7 +44,8 @@ def read_file(spark: SparkSession, path: str, layout: FileLayout, values: Mappin
     lines are checked first. ``keep`` may name ``unit`` and ``line_no``."""
     n_head, n_tail = layout.frame
     if not (n_head or n_tail or keep):
-        return parse(spark.read.text(path, lineSep="\n"), layout)  # nothing to count
+        lines = spark.read.text(path, lineSep="\n")  # nothing to count
+        return parse(lines.select(plain_line(F.col("value")).alias("value")), layout)
     return _records(open_framed(spark, path, n_head, n_tail, layout.unit), layout, values, keep)
 
 

@@ -13,6 +13,9 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # Else each Column call notes its place in the Python source, which makes the
+    # plans of wide tables slow to build.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 

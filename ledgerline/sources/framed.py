@@ -17,16 +17,20 @@ HEADER, DATA, TRAILER = "header", "data", "trailer"
 NAMED_FILES = 1000
 
 
+def plain_line(value: Column) -> Column:
+    """A line without the carriage return of a Windows line end. Lines are split at
+    newlines only, so a carriage return elsewhere stays inside its line."""
+    return F.when(value.endswith("\r"), F.left(value, F.length(value) - 1)).otherwise(value)
+
+
 def _read_blocks(spark: SparkSession, path: str | list[str], unit: str) -> DataFrame:
     owner = F.col("_metadata.file_path")
     if unit == "folder":
         owner = F.regexp_replace(owner, "/[^/]*$", "")
     elif unit != "file":
         raise ValueError(f"unit must be 'file' or 'folder', not {unit!r}")
-    # Lines end at a newline only, so a lone carriage return stays inside its line;
-    # the one of a Windows line end is dropped.
     return spark.read.text(path, lineSep="\n").select(
-        F.regexp_replace("value", "\r$", "").alias("value"),
+        plain_line(F.col("value")).alias("value"),
         owner.alias("unit"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -122,11 +126,10 @@ def open_framed(spark: SparkSession, path: str | list[str], n_head: int = 0, n_t
     No task sees a whole file: lines are counted by block, and a running sum over
     that small table gives every block its offset in the unit.
     """
-    per_block = _read_blocks(spark, path, unit).groupBy("unit", "_file", "_block").agg(
-        F.min("_id").alias("_first"),
-        F.count(F.lit(1)).alias("_lines"),
-        F.max_by(F.col("value") == "", F.col("_id")).alias("_blank_last"),
-    )
+    found = [F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")]
+    if drop_blank_last:
+        found.append(F.max_by(F.col("value") == "", F.col("_id")).alias("_blank_last"))
+    per_block = _read_blocks(spark, path, unit).groupBy("unit", "_file", "_block").agg(*found)
     whole = Window.partitionBy("unit")
     before = whole.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("_lines").over(whole)

@@ -133,7 +133,8 @@ def test_keep_last_renumber(spark):
 
 # --- skew ------------------------------------------------------------------
 
-def test_hot_keys_are_found_and_split(spark):
+def test_hot_keys_are_found_and_split(spark, monkeypatch):
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 1000)  # the lookup does not fit
     hot = [(7, f"r{i}") for i in range(3000)]
     df = pairs(spark, hot + [(i, "c") for i in range(1000, 7000)]).repartition(6)
     found = skew.hot_hashes(df, ["k"])
@@ -142,6 +143,12 @@ def test_hot_keys_are_found_and_split(spark):
     joined = skew.lookup_join(df, lookup, ["k"])
     assert joined.count() == 3000 + 5000
     assert joined.filter("name = 'hot'").count() == 3000
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "Union" in plan
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 1_000_000)
+    whole = skew.lookup_join(df, lookup, ["k"])
+    assert "Union" not in whole._jdf.queryExecution().executedPlan().toString()
+    assert Counter(map(tuple, whole.collect())) == Counter(map(tuple, joined.collect()))
     anti = skew.key_presence_join(df, lookup.filter("k <> 7"), ["k"], "left_anti")
     assert anti.count() == 3000 + 1000
 

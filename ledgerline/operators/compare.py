@@ -357,7 +357,7 @@ def merge_on_keys(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def three_way_pairs(aligned: DataFrame, keys: Sequence[str], key_list: DataFrame) -> DataFrame:
     """Left row and right row side by side for the listed keys on both sides."""
-    listed = key_presence_join(aligned, key_list, keys, "left_semi")
+    listed = key_presence_join(aligned, key_list, keys, "left_semi", unique=True)
     shared = listed.filter((F.col("left_rows") > 0) & (F.col("right_rows") > 0))
     return shared.select(
         key_text(aligned, keys).alias("concatenated_keys"),

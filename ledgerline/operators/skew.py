@@ -58,7 +58,7 @@ def _same_keys(df: DataFrame, on: Sequence[str]) -> Column:
 
 
 def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how: str,
-                      small: bool | None = None) -> DataFrame:
+                      small: bool | None = None, unique: bool = False) -> DataFrame:
     """``left_semi`` or ``left_anti`` of ``df`` against the keys of ``keys_df``; NULL
     keys equal each other.
 
@@ -66,11 +66,12 @@ def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how:
     states that it was counted and fits a broadcast; ``df`` then stays in place.
     Otherwise rows of ``df`` with a frequent key stay where they are and meet a
     broadcast of at most ``HOT_KEYS`` keys; the others take the shuffle join.
+    ``unique`` states that ``df`` has no frequent key.
     """
     keys = keys_df.select(*[F.col(c).cast(df.schema[c].dataType).alias(f"_k_{c}") for c in on]).distinct()
     if small:
         return df.join(F.broadcast(keys), _same_keys(df, on), how)
-    hot = hot_hashes(df, on)
+    hot = [] if unique else hot_hashes(df, on)
     if not hot:
         return df.join(keys, _same_keys(df, on), how)
     is_hot, key_is_hot = F.xxhash64(*on).isin(hot), F.xxhash64(*keys.columns).isin(hot)
@@ -81,15 +82,20 @@ def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how:
 
 
 def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join many rows to a lookup that holds one row per key.
-
-    A lookup that is counted and fits is broadcast. For a larger one the rows of
-    ``df`` with a frequent key are split off and meet a broadcast of their lookup
-    rows, at most one for each frequent key, so its size does not grow with the
-    data; the other rows take the shuffle join. ``how`` is ``inner`` or ``left``.
-    """
+    """Join many rows to a lookup that holds one row per key: by a broadcast when the
+    lookup is counted and fits, else by :func:`split_join`."""
     if fits_broadcast(lookup, lookup.count()):
         return df.join(F.broadcast(lookup), list(on), how)
+    return split_join(df, lookup, on, how)
+
+
+def split_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join many rows to a large lookup that holds one row per key.
+
+    Rows of ``df`` with a frequent key stay in place and meet a broadcast of their
+    lookup rows, at most one for each frequent key, so its size does not grow with
+    the data; the other rows take the shuffle join. ``how`` is ``inner`` or ``left``.
+    """
     hot = hot_hashes(df, on)
     if not hot:
         return df.join(lookup, list(on), how)

@@ -21,9 +21,16 @@ MISMATCH_COLUMNS = "column_name string, concatenated_keys string, left_value str
 
 def passed_sample(left: DataFrame, differing: DataFrame, keys: Sequence[str], rows: int = 10) -> DataFrame:
     """The first rows of ``left`` without a difference, one line per cell; both sides
-    hold the same values there."""
-    small = fits_broadcast(differing.select(*keys), differing.count())
-    passed = key_presence_join(left, differing, keys, "left_anti", small).orderBy(*keys).limit(rows)
+    hold the same values there. Against many differences the first keys are found
+    alone, and only their rows are fetched."""
+    differing = differing.select(*keys)
+    small = fits_broadcast(differing, differing.count())
+    if small:
+        passed = key_presence_join(left, differing, keys, "left_anti", small)
+    else:
+        free = key_presence_join(left.select(*keys).distinct(), differing, keys, "left_anti", unique=True)
+        passed = key_presence_join(left, free.orderBy(*keys).limit(rows), keys, "left_semi", small=True)
+    passed = passed.orderBy(*keys).limit(rows)
     cells = F.array(*[F.struct(F.lit(c).alias("column_name"), cell_text(left, c).alias("value")) for c in left.columns])
     return passed.select(key_text(left, keys).alias("concatenated_keys"), F.explode(cells).alias("cell")).select(
         "cell.column_name", "concatenated_keys",

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.functions.lines import all_of
-from ledgerline.operators.skew import fits_broadcast
+from ledgerline.operators.skew import fits_broadcast, split_join
 from ledgerline.session import stage
 
 LOAD_TYPES = ("truncate_and_load", "append_load", "merge_and_load")
@@ -41,8 +41,8 @@ def merge_and_load(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> D
 
     One aggregate checks that ``rows`` has one row per key and counts it. A small
     batch is broadcast and the target is not shuffled at all. For a large one the
-    left join is split by AQE where the target repeats a key, and the keys of the
-    target are combined to one row each before the anti join.
+    join is split where the target repeats a key often, and the keys of the target
+    are combined to one row each before the anti join.
     """
     keys = list(keys)
     rows = aligned(target, rows)
@@ -52,12 +52,11 @@ def merge_and_load(target: DataFrame, rows: DataFrame, keys: Sequence[str]) -> D
     if (shape["most"] or 0) > 1:
         raise DuplicateKeyError(f"the merged rows repeat a key of {keys} up to {shape['most']} times")
     small = fits_broadcast(rows, shape["rows"] or 0)
-    source = F.broadcast(rows) if small else rows
-
     others = [c for c in target.columns if c not in keys]
     if others:
-        incoming = source.select(*keys, F.struct(*others).alias("_new"), F.lit(True).alias("_hit"))
-        updated = target.join(incoming, keys, "left").select(*[
+        incoming = rows.select(*keys, F.struct(*others).alias("_new"), F.lit(True).alias("_hit"))
+        joined = target.join(F.broadcast(incoming), keys, "left") if small else split_join(target, incoming, keys, "left")
+        updated = joined.select(*[
             F.col(c) if c in keys
             else F.when(F.col("_hit"), F.col("_new").getField(c)).otherwise(F.col(c)).alias(c)
             for c in target.columns

@@ -13,6 +13,11 @@ from ledgerline.session import stage
 
 HEADER, DATA, TRAILER = "header", "data", "trailer"
 
+MOVED_BLOCKS = (
+    "the files were cut into other blocks than when their lines were counted; "
+    "set spark.sql.files.minPartitionNum when executors come and go"
+)
+
 # Most files that are opened by name to read nothing but frame lines.
 NAMED_FILES = 1000
 
@@ -23,7 +28,7 @@ def plain_line(value: Column) -> Column:
     return F.when(value.endswith("\r"), F.left(value, F.length(value) - 1)).otherwise(value)
 
 
-def _read_blocks(spark: SparkSession, path: str | list[str], unit: str) -> DataFrame:
+def _placed_lines(spark: SparkSession, path: str | list[str], unit: str) -> DataFrame:
     owner = F.col("_metadata.file_path")
     if unit == "folder":
         owner = F.regexp_replace(owner, "/[^/]*$", "")
@@ -42,6 +47,7 @@ def _read_blocks(spark: SparkSession, path: str | list[str], unit: str) -> DataF
 class FramedFiles:
     """Files with a frame after one pass that counted the lines of each read block.
 
+    ``source`` is the scan itself, so that later passes see the same files.
     ``blocks`` has a row per block with its offset in the unit. It is staged, so its
     real size decides whether it is broadcast.
     """
@@ -50,16 +56,21 @@ class FramedFiles:
     path: str | list[str]
     n_head: int
     n_tail: int
-    unit: str
+    source: DataFrame
     blocks: DataFrame
 
     def lines(self) -> DataFrame:
-        """All lines: ``unit, line_no, total_lines, section, ordinal, value``."""
-        placed = _read_blocks(self.spark, self.path, self.unit).join(
-            broadcast_if_small(self.blocks), ["unit", "_file", "_block"]
-        )
-        line_no = F.col("_offset") + F.col("_id") - F.col("_first") + 1
-        return self._named(placed, line_no)
+        """All lines: ``unit, line_no, total_lines, section, ordinal, value``.
+
+        Spark must cut the files into the same blocks as in the counting pass. If it
+        does not, some line falls outside its block, and the job fails rather than
+        number lines wrongly or lose them.
+        """
+        placed = self.source.join(broadcast_if_small(self.blocks), ["unit", "_file", "_block"], "left")
+        place = F.col("_id") - F.col("_first") + 1
+        inside = F.coalesce(place.between(1, F.col("_lines")), F.lit(False))
+        moved = F.raise_error(F.lit(MOVED_BLOCKS)).cast("bigint")
+        return self._named(placed, F.when(inside, F.col("_offset") + place).otherwise(moved))
 
     def frame(self) -> DataFrame:
         """Header lines, trailer lines and the last line, in the form of :meth:`lines`.
@@ -129,7 +140,8 @@ def open_framed(spark: SparkSession, path: str | list[str], n_head: int = 0, n_t
     found = [F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_lines")]
     if drop_blank_last:
         found.append(F.max_by(F.col("value") == "", F.col("_id")).alias("_blank_last"))
-    per_block = _read_blocks(spark, path, unit).groupBy("unit", "_file", "_block").agg(*found)
+    source = _placed_lines(spark, path, unit)
+    per_block = source.groupBy("unit", "_file", "_block").agg(*found)
     whole = Window.partitionBy("unit")
     before = whole.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("_lines").over(whole)
@@ -139,7 +151,7 @@ def open_framed(spark: SparkSession, path: str | list[str], n_head: int = 0, n_t
         "unit", "_file", "_block", "_first", "_lines",
         F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset"), total.alias("total_lines"),
     )
-    return FramedFiles(spark, path, n_head, n_tail, unit, stage(blocks, "blocks"))
+    return FramedFiles(spark, path, n_head, n_tail, source, stage(blocks, "blocks"))
 
 
 def frame_lines(spark: SparkSession, path: str | list[str], n_head: int = 0, n_tail: int = 0,

@@ -16,7 +16,7 @@ FIRST_NAMES = ("Ada", "Ben", "Cora", "Dev", "Eli", "Fay", "Gus", "Hana")
 LAST_NAMES = ("Archer", "Brook", "Castle", "Dale", "Ember", "Frost", "Grove", "Hill")
 CATEGORY_NAMES = ("Books", "Garden", "Kitchen", "Music", "Office", "Sport", "Tools", "Toys")
 
-DAY_SECONDS = 86_400
+DAY_SECONDS, EPOCH = 86_400, "1970-01-01 00:00:00"
 
 
 def draw(row: Column, name: str, size: int | Column, seed: int = 0) -> Column:
@@ -66,7 +66,8 @@ def fixed_records(numbered: DataFrame, columns: Sequence[FixedColumn], last_day:
             last = _pick(row, column.name + "/last", LAST_NAMES, seed)
             cell = blank_pad(F.concat_ws(" ", first, last), column.length)
         elif column.kind in ("date", "datetime"):
-            moment = F.timestamp_seconds(draw(row, column.name, days.cast("bigint") * DAY_SECONDS, seed))
+            seconds = draw(row, column.name, days.cast("bigint") * DAY_SECONDS, seed)
+            moment = F.lit(EPOCH).cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
             pattern = "yyyy-MM-dd" if column.kind == "date" else "yyyy-MM-dd HH:mm:ss"
             cell = F.date_format(moment, pattern)
         else:

@@ -12,6 +12,7 @@ from ledgerline.functions.rowtext import safe_hash, sketch, typed_hash, typed_ke
 from ledgerline.operators import compare as cmp
 from ledgerline.plans import jobs
 from ledgerline.plans.layouts import CompareSpec, FileLayout, Side, Slice
+from ledgerline.sinks import report
 from ledgerline.sinks.report import (
     DUPLICATES, META, MISMATCHES, PASSED, SUMMARY, compare_report, read_report, write_report,
 )
@@ -209,6 +210,15 @@ def test_report_without_differences(spark, folder):
     assert {r["mismatched"] for r in read_report(spark, folder, SUMMARY).collect()} == {0}
 
 
+def test_passed_sample_against_many_differences(spark, monkeypatch):
+    left, right = sides(spark)
+    differing = cmp.align(left, right, ["k"]).filter("status <> 'same'")
+    expected = rows(report.passed_sample(left, differing, ["k"], 2))
+    assert {r[1] for r in expected} == {"", "2"}
+    monkeypatch.setattr(report, "fits_broadcast", lambda df, n: False)
+    assert rows(report.passed_sample(left, differing, ["k"], 2)) == expected
+
+
 def test_strict_job_stops_on_repeated_keys(spark, folder):
     left, right = sides(spark, LEFT + [(1, "again", 0.0)])
     with pytest.raises(DuplicateKeyError):

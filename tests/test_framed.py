@@ -62,6 +62,26 @@ def test_folder_is_one_unit_in_name_order(spark, folder, small_blocks):
     assert len(frame.select("value").inputFiles()) < 6
 
 
+def test_other_blocks_than_counted_fail(spark, folder, small_blocks):
+    """A change of the split size between the passes must not go unnoticed."""
+    write(f"{folder}/a.txt", [f"line {i + 1}" for i in range(3000)])
+    files = open_framed(spark, folder)
+    assert files.blocks.count() > 3
+    for size in ("2500", "4000", "20000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        with pytest.raises(Exception, match="other blocks"):
+            files.lines().collect()
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000")
+    assert files.lines().filter(F.concat(F.lit("line "), "line_no") != F.col("value")).count() == 0
+
+
+def test_files_that_arrive_later_are_not_read(spark, folder):
+    write(f"{folder}/b.txt", ["1", "2"])
+    files = open_framed(spark, folder)
+    write(f"{folder}/a.txt", ["3"] * 50)
+    assert rows(files.lines().select("line_no", "value")) == [(1, "1"), (2, "2")]
+
+
 def test_frame_over_several_files(spark, folder):
     """A header and trailer that are longer than their part files."""
     for part, lines in enumerate([["h1"], ["h2", "d1"], ["d2"], ["t1"], ["t2"]]):

@@ -18,37 +18,40 @@ _TIMES = (T.TimestampType, T.TimestampNTZType)
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def cell_text(df: DataFrame, name: str, scale: int = 2) -> Column:
-    """One value as text; NULL stays NULL.
+def value_text(column: Column, kind: T.DataType, scale: int = 2) -> Column:
+    """A value as text; NULL stays NULL.
 
     Floating point goes through a decimal of ``scale`` digits, so that the text
     does not depend on how an engine prints a double.
     """
-    column, kind = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(kind, T.StringType):
         return column
-    if isinstance(kind, T.DateType):
-        return F.date_format(column, "yyyy-MM-dd")
-    if isinstance(kind, _TIMES):
+    if isinstance(kind, T.TimestampNTZType):
+        return F.substring(column.cast("string"), 1, 19)
+    if isinstance(kind, T.TimestampType):
         return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
     if isinstance(kind, _FLOATS):
         return F.coalesce(column.try_cast(f"decimal(38,{scale})").cast("string"), column.cast("string"))
     return column.cast("string")
 
 
+def cell_text(df: DataFrame, name: str, scale: int = 2) -> Column:
+    return value_text(F.col(f"`{name}`"), df.schema[name].dataType, scale)
+
+
 def typed_text(df: DataFrame, name: str, scale: int = 2) -> Column:
     """Type-aware text with the fixed stand-ins for missing values."""
     column, kind = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(kind, T.DateType):
-        return F.coalesce(F.date_format(column, "yyyy-MM-dd"), F.lit(EMPTY_DATE))
+        return F.coalesce(column.cast("string"), F.lit(EMPTY_DATE))
     if isinstance(kind, _TIMES):
-        return F.coalesce(F.date_format(column, "yyyy-MM-dd'T'HH:mm:ss"), F.lit(EMPTY_DATETIME))
+        return F.coalesce(F.replace(value_text(column, kind), F.lit(" "), F.lit("T")), F.lit(EMPTY_DATETIME))
     if isinstance(kind, T.StringType):
         return F.coalesce(F.replace(column, F.lit(DROPPED_TEXT), F.lit("")), F.lit(""))
     if isinstance(kind, T.BooleanType):
         return F.coalesce(column.cast("int").cast("string"), F.lit("0"))
     if isinstance(kind, (*_FLOATS, *_INTEGERS, T.DecimalType)):
-        return F.coalesce(cell_text(df, name, scale), F.lit("0"))
+        return F.coalesce(value_text(column, kind, scale), F.lit("0"))
     return column.cast("string")
 
 

@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerline.functions.lines import all_of, any_of
-from ledgerline.functions.rowtext import cell_text, key_text
+from ledgerline.functions.rowtext import cell_text, key_text, value_text
 from ledgerline.operators.quality import side_by_side
 from ledgerline.operators.skew import fits_broadcast, key_presence_join, row_width
 from ledgerline.session import stage
@@ -256,19 +256,8 @@ def _values(aligned: DataFrame) -> list[str]:
 
 def _side_texts(aligned: DataFrame, side: str) -> dict[str, Column]:
     """Text of each value of one side."""
-    fields = aligned.select(f"{side}.*")
-    prefix = aligned.select(*[F.col(f"{side}.{c}").alias(c) for c in fields.columns])
-    texts = {}
-    for name in fields.columns:
-        kind = prefix.schema[name].dataType.simpleString()
-        cell = F.col(f"{side}.`{name}`")
-        if kind in ("float", "double"):
-            texts[name] = F.coalesce(cell.try_cast("decimal(38,2)").cast("string"), cell.cast("string"))
-        elif kind.startswith("timestamp"):
-            texts[name] = F.date_format(cell, "yyyy-MM-dd HH:mm:ss")
-        else:
-            texts[name] = cell.cast("string")
-    return texts
+    fields = aligned.schema[side].dataType.fields
+    return {f.name: value_text(F.col(side).getField(f.name), f.dataType) for f in fields}
 
 
 def cell_diff(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:

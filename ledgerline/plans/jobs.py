@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import importlib
 from collections.abc import Callable, Mapping, Sequence
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -194,4 +195,4 @@ def compare_files(spark: SparkSession, left: str, left_layout: FileLayout, right
                 F.min("matching").alias("matching")
             )
             meta[f"TrailerValidationSuccessFor{name}"] = check.first()["matching"]
-    return compare_tables(*sides, CompareSpec(**{**spec.__dict__, "meta": meta}), path)
+    return compare_tables(*sides, replace(spec, meta=meta), path)

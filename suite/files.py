@@ -7,9 +7,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from ledgerline.functions import lines as ln
-from ledgerline.functions.rowtext import cell_text
 from ledgerline.functions.tokens import render
-from ledgerline.operators import quality
+from ledgerline.operators import quality, search
 from ledgerline.session import scratch_path
 from ledgerline.sinks.framed import fill_column_names, frame_output, write_lines
 from ledgerline.sinks.records import delimited_lines, fixed_width_lines
@@ -176,8 +175,7 @@ def split_normalised_query(spark, folder):
 
 @query("history_export", f"SELECT {', '.join(CUSTOMER[1:])} FROM customer")
 def history_export(spark, folder):
-    from ledgerline.operators.search import history_export as export
-    return export(table(spark, folder, "customer"))
+    return search.history_export(table(spark, folder, "customer"))
 
 
 # --- expressions on lines --------------------------------------------------

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from conftest import rows
 from ledgerline.operators import dedupe, quality, reports, search, skew
 from ledgerline.plans import jobs
-from ledgerline.plans.layouts import FIXED_WIDTH, FileLayout
+from ledgerline.plans.layouts import FileLayout
 from ledgerline.session import scratch_root, stage
 from ledgerline.sinks import tables as load
 from ledgerline.sources import synthetic as syn
-from ledgerline.sources.tables import extract_query, extract_table, row_count
+from ledgerline.sources.tables import extract_query, extract_table
 from ledgerline.streaming import arrivals
 
 

@@ -67,13 +67,19 @@ def presence(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataF
     return both.groupBy(*columns).agg(F.sum("_l").alias("left_rows"), F.sum("_r").alias("right_rows"))
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def _hash_pieces(columns: Sequence[str]) -> list[Column]:
     """Four numbers of 24 bits from two hashes of a row. NULL flags are hashed too,
     because a hash passes over NULL values."""
-    parts = [p for c in columns for p in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
-    hashes = [F.xxhash64(F.lit(salt), *parts) for salt in (1, 2)]
-    mask = F.lit((1 << _PIECE_BITS) - 1)
-    return [F.shiftright(h, shift).bitwiseAND(mask) for h in hashes for shift in (0, _PIECE_BITS)]
+    parts = ", ".join(f"{_quoted(c)} IS NULL, {_quoted(c)}" for c in columns)
+    mask = (1 << _PIECE_BITS) - 1
+    return [
+        F.expr(f"shiftright(xxhash64({salt}, {parts}), {shift}) & {mask}L")
+        for salt in (1, 2) for shift in (0, _PIECE_BITS)
+    ]
 
 
 def _status(equal: Column) -> Column:
@@ -247,81 +253,76 @@ def row_counts(pairs: DataFrame) -> DataFrame:
 # --- cells -----------------------------------------------------------------
 
 def _differs(column: str) -> Column:
-    return ~F.col("l").getField(column).eqNullSafe(F.col("r").getField(column))
+    return F.expr(f"NOT (l.{_quoted(column)} <=> r.{_quoted(column)})")
 
 
 def _values(aligned: DataFrame) -> list[str]:
     return [f.name for f in aligned.schema["l"].dataType.fields]
 
 
-def _side_texts(aligned: DataFrame, side: str) -> dict[str, Column]:
-    """Text of each value of one side."""
+def _side_texts(aligned: DataFrame, side: str, keys: Sequence[str] = ()) -> dict[str, Column]:
+    """Text of each key and of each value of one side."""
     fields = aligned.schema[side].dataType.fields
-    return {f.name: value_text(F.col(side).getField(f.name), f.dataType) for f in fields}
+    return {k: cell_text(aligned, k) for k in keys} | {
+        f.name: value_text(F.col(side).getField(f.name), f.dataType) for f in fields
+    }
 
 
-def cell_diff(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Differing cells of changed rows: ``column_name, concatenated_keys,
-    left_value, right_value``."""
-    left, right = _side_texts(aligned, "l"), _side_texts(aligned, "r")
-    cells = [
-        F.when(_differs(c), F.struct(F.lit(c).alias("column_name"), left[c].alias("left_value"),
-                                     right[c].alias("right_value")))
-        for c in _values(aligned)
-    ]
-    changed = aligned.filter(F.col("status") == CHANGED)
-    return changed.select(
-        key_text(aligned, keys).alias("concatenated_keys"),
-        F.explode(F.array_compact(F.array(*cells))).alias("cell"),
+def _cell(name: str, left: Column, right: Column) -> Column:
+    return F.struct(F.lit(name).alias("column_name"), left.alias("left_value"), right.alias("right_value"))
+
+
+def _long(rows: DataFrame, keys: Sequence[str], cells: Sequence[Column]) -> DataFrame:
+    """One line per cell; a NULL cell gives none."""
+    return rows.select(
+        key_text(rows, keys).alias("concatenated_keys"), F.explode(F.array_compact(F.array(*cells))).alias("cell")
     ).select("cell.column_name", "concatenated_keys", "cell.left_value", "cell.right_value")
 
 
-def mismatched_fields(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Names of the differing columns of each changed row."""
-    names = F.array_compact(F.array(*[F.when(_differs(c), F.lit(c)) for c in _values(aligned)]))
-    return aligned.filter(F.col("status") == CHANGED).select(
-        key_text(aligned, keys).alias("concatenated_keys"), names.alias("fields")
-    )
+def _differences(aligned: DataFrame, keys: Sequence[str], statuses: Sequence[str]) -> DataFrame:
+    values, absent, status = _values(aligned), F.lit(ABSENT), F.col("status")
+    left, right = _side_texts(aligned, "l", keys), _side_texts(aligned, "r", keys)
+    names = values if list(statuses) == [CHANGED] else [*keys, *values]
+    cells = []
+    for name in names:
+        cell = F.when(status == LEFT_ONLY, _cell(name, left[name], absent)).when(
+            status == RIGHT_ONLY, _cell(name, absent, right[name])
+        )
+        if name in values:
+            cell = cell.when((status == CHANGED) & _differs(name), _cell(name, left[name], right[name]))
+        cells.append(cell)
+    return _long(aligned.filter(status.isin(*statuses)), keys, cells)
+
+
+def cell_diff(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Differing cells of changed rows: ``column_name, concatenated_keys,
+    left_value, right_value``."""
+    return _differences(aligned, keys, [CHANGED])
 
 
 def absent_cells(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All cells of one-sided rows, the other side shown as ``Does_Not_Exists``."""
-    left, right = _side_texts(aligned, "l"), _side_texts(aligned, "r")
-    on_left = F.col("status") == LEFT_ONLY
-    absent = F.lit(ABSENT)
-    cells = []
-    for name in [*keys, *_values(aligned)]:
-        l_text = cell_text(aligned, name) if name in keys else left[name]
-        r_text = cell_text(aligned, name) if name in keys else right[name]
-        cells.append(F.struct(
-            F.lit(name).alias("column_name"),
-            F.when(on_left, l_text).otherwise(absent).alias("left_value"),
-            F.when(on_left, absent).otherwise(r_text).alias("right_value"),
-        ))
-    one_sided = aligned.filter(F.col("status").isin(LEFT_ONLY, RIGHT_ONLY))
-    return one_sided.select(
-        key_text(aligned, keys).alias("concatenated_keys"), F.explode(F.array(*cells)).alias("cell")
-    ).select("cell.column_name", "concatenated_keys", "cell.left_value", "cell.right_value")
+    return _differences(aligned, keys, [LEFT_ONLY, RIGHT_ONLY])
 
 
 def difference_union(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every cell that differs: extras of both sides and changed cells."""
-    return absent_cells(aligned, keys).unionByName(cell_diff(aligned, keys))
+    return _differences(aligned, keys, [LEFT_ONLY, RIGHT_ONLY, CHANGED])
+
+
+def mismatched_fields(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Names of the differing columns of each changed row."""
+    names = F.array_compact(F.array(*[F.when(_differs(c), F.lit(c)) for c in _values(aligned)]))
+    return aligned.filter(F.col("status") == CHANGED).select(
+        key_text(aligned, keys).alias("concatenated_keys"), names.alias("fields")
+    )
 
 
 def passed_cells(aligned: DataFrame, keys: Sequence[str], rows: int = 10) -> DataFrame:
     """The first equal rows by key, one line per column."""
     passed = aligned.filter(F.col("status") == SAME).orderBy(*keys).limit(rows)
-    left, right = _side_texts(aligned, "l"), _side_texts(aligned, "r")
-    cells = [
-        F.struct(F.lit(name).alias("column_name"),
-                 (cell_text(aligned, name) if name in keys else left[name]).alias("left_value"),
-                 (cell_text(aligned, name) if name in keys else right[name]).alias("right_value"))
-        for name in [*keys, *_values(aligned)]
-    ]
-    return passed.select(
-        key_text(aligned, keys).alias("concatenated_keys"), F.explode(F.array(*cells)).alias("cell")
-    ).select("cell.column_name", "concatenated_keys", "cell.left_value", "cell.right_value")
+    left, right = _side_texts(aligned, "l", keys), _side_texts(aligned, "r", keys)
+    return _long(passed, keys, [_cell(name, left[name], right[name]) for name in left])
 
 
 def limit_differences(differences: DataFrame, rows: int) -> DataFrame:
@@ -368,18 +369,17 @@ def first_rows(df: DataFrame, keys: Sequence[str], rows: int = 10) -> DataFrame:
 # --- summary ---------------------------------------------------------------
 
 def _counts(aligned: DataFrame, columns: Sequence[str]) -> list[Column]:
-    values = _values(aligned)
-    both = (F.col("left_rows") > 0) & (F.col("right_rows") > 0)
-
-    def rows(column: str, when: Column) -> Column:
-        return F.coalesce(F.sum(F.when(when, F.col(column)).otherwise(0)), F.lit(0))
-
-    changed = [F.count_if(both & _differs(c)) if c in values else F.max(F.lit(0).cast("bigint")) for c in columns]
-    return [
-        rows("left_rows", F.col("right_rows") == 0).alias("extra_in_left"),
-        rows("right_rows", F.col("left_rows") == 0).alias("extra_in_right"),
-        *[F.coalesce(c, F.lit(0)).alias(f"_changed_{i}") for i, c in enumerate(changed)],
+    both = "left_rows > 0 AND right_rows > 0"
+    counts = [
+        "coalesce(sum(if(right_rows = 0, left_rows, 0L)), 0L) AS extra_in_left",
+        "coalesce(sum(if(left_rows = 0, right_rows, 0L)), 0L) AS extra_in_right",
     ]
+    values = _values(aligned)
+    for i, name in enumerate(columns):
+        cell = _quoted(name)
+        changed = f"count_if({both} AND NOT (l.{cell} <=> r.{cell}))" if name in values else "count_if(false)"
+        counts.append(f"{changed} AS _changed_{i}")
+    return [F.expr(c) for c in counts]
 
 
 def _summary(counted: DataFrame, columns: Sequence[str]) -> DataFrame:

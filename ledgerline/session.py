@@ -23,7 +23,7 @@ def build_session(app: str = "ledgerline", master: str | None = None, **settings
     """A session with the settings the jobs rely on.
 
     ``settings`` uses ``__`` for dots: ``spark__sql__shuffle__partitions="8"``.
-    On a cluster leave the shuffle partitions to the submit command and AQE.
+    On a cluster pass those of :func:`sized_for` for the largest shuffle.
     """
     builder = SparkSession.builder.appName(app)
     if master:
@@ -35,6 +35,20 @@ def build_session(app: str = "ledgerline", master: str | None = None, **settings
     return builder.getOrCreate()
 
 
+def sized_for(shuffled_bytes: int, partition_bytes: int = 256 * 1024 * 1024) -> dict[str, str]:
+    """Settings for ``build_session`` when about ``shuffled_bytes`` go through one shuffle.
+
+    AQE joins small shuffle partitions but cannot split large ones outside a join,
+    so the first number must fit the largest shuffle; the advisory size then sets
+    how much a task takes.
+    """
+    partitions = min(max(-(-shuffled_bytes // partition_bytes), 200), 100_000)
+    return {
+        "spark__sql__adaptive__coalescePartitions__initialPartitionNum": str(partitions),
+        "spark__sql__adaptive__advisoryPartitionSizeInBytes": str(partition_bytes),
+    }
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for checkpoints and staged tables.
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.functions.lines import all_of
 from ledgerline.operators.skew import fits_broadcast, split_join
 from ledgerline.session import stage
+from ledgerline.sources.tables import JdbcTable
 
 LOAD_TYPES = ("truncate_and_load", "append_load", "merge_and_load")
 
@@ -91,6 +93,33 @@ def load_table(spark: SparkSession, path: str, rows: DataFrame, load_type: str,
     return spark.read.parquet(path)
 
 
+@dataclass(frozen=True)
+class JdbcTarget:
+    """A database table to load, written in parallel by ``connections`` tasks."""
+
+    url: str
+    table: str
+    connections: int = 8
+    batch_rows: int = 20_000
+    properties: Mapping[str, str] = field(default_factory=dict)
+
+    def options(self, load_type: str) -> dict[str, str]:
+        options = {"url": self.url, "dbtable": self.table, "numPartitions": str(self.connections),
+                   "batchsize": str(self.batch_rows), **self.properties}
+        return options if load_type == "append_load" else {**options, "truncate": "true"}
+
+    def load(self, rows: DataFrame, load_type: str, keys: Sequence[str] = ()) -> None:
+        """Truncate keeps the table and its keys. A merge is made in Spark and staged,
+        and then replaces the rows of the table."""
+        if load_type not in LOAD_TYPES:
+            raise ValueError(f"load type must be one of {LOAD_TYPES}, not {load_type!r}")
+        if load_type == "merge_and_load":
+            target = JdbcTable(self.url, self.table, properties=self.properties).read(rows.sparkSession)
+            rows = stage(merge_and_load(target, rows, keys), "merge")
+        mode = "append" if load_type == "append_load" else "overwrite"
+        rows.write.format("jdbc").options(**self.options(load_type)).mode(mode).save()
+
+
 def status_update(df: DataFrame, status: str, new_value: str, **equal: object) -> DataFrame:
     """Set ``status`` for the rows whose columns equal the given values."""
     chosen = all_of([F.col(name) == F.lit(value) for name, value in equal.items()])  # lit keeps a column as it is

@@ -66,7 +66,8 @@ class FramedFiles:
         does not, some line falls outside its block, and the job fails rather than
         number lines wrongly or lose them.
         """
-        placed = self.source.join(broadcast_if_small(self.blocks), ["unit", "_file", "_block"], "left")
+        blocks = broadcast_if_small(self.blocks.drop("unit"))  # a file has one unit
+        placed = self.source.join(blocks, ["_file", "_block"], "left")
         place = F.col("_id") - F.col("_first") + 1
         inside = F.coalesce(place.between(1, F.col("_lines")), F.lit(False))
         moved = F.raise_error(F.lit(MOVED_BLOCKS)).cast("bigint")

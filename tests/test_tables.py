@@ -10,7 +10,7 @@ from conftest import rows
 from ledgerline.operators import dedupe, quality, reports, search, skew
 from ledgerline.plans import jobs
 from ledgerline.plans.layouts import FileLayout
-from ledgerline.session import scratch_root, stage
+from ledgerline.session import scratch_root, sized_for, stage
 from ledgerline.sinks import tables as load
 from ledgerline.sources import synthetic as syn
 from ledgerline.sources.tables import extract_query, extract_table
@@ -153,6 +153,27 @@ def test_hot_keys_are_found_and_split(spark, monkeypatch):
     assert anti.count() == 3000 + 1000
 
 
+def test_split_left_join_keeps_unmatched_rows(spark):
+    df = pairs(spark, [(7, f"r{i}") for i in range(2000)] + [(8, "x")] * 1500 + [(i, "c") for i in range(100, 600)])
+    lookup = pairs(spark, [(7, "seven")] + [(i, "name") for i in range(100, 300)], "k long, name string")
+    joined = skew.split_join(df.repartition(5), lookup, ["k"], "left")
+    assert Counter(r["name"] for r in joined.collect()) == {"seven": 2000, "name": 200, None: 1800}
+
+
+def test_jdbc_target_options():
+    target = load.JdbcTarget("jdbc:x:y", "dbo.part", properties={"user": "u"})
+    assert target.options("append_load") == {
+        "url": "jdbc:x:y", "dbtable": "dbo.part", "numPartitions": "8", "batchsize": "20000", "user": "u"}
+    assert target.options("truncate_and_load")["truncate"] == "true"
+    with pytest.raises(ValueError):
+        target.load(None, "other")
+
+
+def test_shuffle_sizes():
+    assert sized_for(1)["spark__sql__adaptive__coalescePartitions__initialPartitionNum"] == "200"
+    assert sized_for(10 * 2**40)["spark__sql__adaptive__coalescePartitions__initialPartitionNum"] == "40960"
+
+
 def test_broadcast_needs_a_size(spark):
     df = pairs(spark, [(1, "a")])
     assert skew.row_width(df) == 72

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import containment, robust_rules, segment_bpe, simhash
+from ledgerline.llm import containment, pii_crf, robust_rules, segment_bpe, simhash
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +58,9 @@ def op9_segment_bpe(spark: SparkSession, folder: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, folder, "documents")).select(
         "doc_id", simhash.fingerprint_text("fp").alias("fingerprint"), "component_id")
+
+
+@_query
+def op4_pii_crf(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    return pii_crf.found_spans(documents, pii_crf.train(documents))

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import containment, pii_crf, robust_rules, segment_bpe, simhash
+from ledgerline.llm import containment, hyperlang, line_crf, pii_crf, robust_rules, segment_bpe, simhash
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -64,3 +64,13 @@ def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
 def op4_pii_crf(spark: SparkSession, folder: str) -> DataFrame:
     documents = _table(spark, folder, "documents")
     return pii_crf.found_spans(documents, pii_crf.train(documents))
+
+
+@_query
+def op3_hyperlang(spark: SparkSession, folder: str) -> DataFrame:
+    return hyperlang.languages(_table(spark, folder, "documents"))
+
+
+@_query
+def op2_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    return line_crf.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))

@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from ledgerline.llm import containment, pii_crf, robust_rules, segment_bpe, simhash
+from ledgerline.llm.shipping import ship
 from ledgerline.session import stage
 
 
@@ -16,6 +17,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component stays."""
+    ship(spark)
     return simhash.keep_first(docs)
 
 
@@ -26,11 +28,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by the names of its kinds."""
+    ship(spark)
     return pii_crf.masked(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded text."""
+    ship(spark)
     return segment_bpe.token_digests(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 

@@ -2,17 +2,26 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import containment, hyperlang, line_crf, pii_crf, robust_rules, segment_bpe, simhash
+from ledgerline.llm import chat_template, containment, hyperlang, line_crf, pii_crf, robust_rules, segment_bpe, simhash, warc
+from ledgerline.llm.shipping import ship
+from ledgerline.session import scratch_path
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
 
 
 def _query(function):
-    QUERIES[function.__name__] = function
+    @wraps(function)
+    def shipped(spark: SparkSession, folder: str) -> DataFrame:
+        ship(spark)
+        return function(spark, folder)
+
+    QUERIES[function.__name__] = shipped
     return function
 
 
@@ -74,3 +83,22 @@ def op3_hyperlang(spark: SparkSession, folder: str) -> DataFrame:
 @_query
 def op2_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     return line_crf.quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+
+
+#: The conversation that the query adds: control strings inside texts.
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+@_query
+def op6_chat_template(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], rows.schema)
+    return chat_template.digests(rows.unionByName(extra))
+
+
+@_query
+def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_archives(warc.with_types(warc.with_digests(_table(spark, folder, "pages"))), path)
+    return warc.read_archives(spark, path).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")

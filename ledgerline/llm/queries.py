@@ -7,7 +7,7 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import chat_template, containment, hyperlang, line_crf, pii_crf, robust_rules, segment_bpe, simhash, warc
+from ledgerline.llm import chat_template, containment, doubling, hyperlang, line_crf, pii_crf, robust_rules, segment_bpe, simhash, warc
 from ledgerline.llm.shipping import ship
 from ledgerline.session import scratch_path
 
@@ -46,7 +46,7 @@ def _shingles_sql(table: str, key: str) -> str:
              ELSE array_to_string(w[i:i + 4], ' ') END AS s
       FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i
             FROM (SELECT {key}, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'),
-                                           x -> x <> '') AS w FROM {table}) WHERE len(w) > 0)"""
+                                           lambda x: x <> '') AS w FROM {table}) WHERE len(w) > 0)"""
 
 
 ORACLES["op8_contained_items"] = f"""
@@ -102,3 +102,23 @@ def op1_warc(spark: SparkSession, folder: str) -> DataFrame:
     warc.write_archives(warc.with_types(warc.with_digests(_table(spark, folder, "pages"))), path)
     return warc.read_archives(spark, path).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query
+def op5_doubling(spark: SparkSession, folder: str) -> DataFrame:
+    return doubling.without_repeats(_table(spark, folder, "documents"), digest=True)
+
+
+ORACLES["op5_doubling"] = """
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \\t\\n\\x0B\\f\\r]+'), lambda x: x <> '') AS w
+           FROM documents),
+p AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s
+      FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+f AS (SELECT s, min(doc_id) AS first FROM p GROUP BY s),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM p JOIN f USING (s) WHERE first < doc_id),
+g AS (SELECT doc_id, list(i) AS gone FROM c GROUP BY doc_id),
+k AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM d LEFT JOIN g USING (doc_id))
+SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
+       sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
+FROM k
+"""

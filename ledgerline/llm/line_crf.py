@@ -60,7 +60,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     words = np.maximum(count, 1.0)
     mixed = (code.astype(np.uint64) + np.uint64(1)) * MIXER
     mixed ^= mixed >> np.uint64(29)
-    total = np.concatenate([[0], np.cumsum(mixed * MIXER, dtype=np.uint64)])
+    nothing = np.zeros(1, dtype=np.uint64)
+    total = np.concatenate([nothing, np.cumsum(mixed * MIXER, dtype=np.uint64)])
     name = total[ended] - total[begins] if len(begins) else np.zeros(0, dtype=np.uint64)
     same = np.zeros(len(begins))
     if len(begins) > 1:
@@ -69,7 +70,7 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     # Lines: equal to an earlier line of the text, by the sum of their place-weighted characters.
     place = np.arange(len(code)) - np.repeat(firsts, ends - firsts + 1)
     weighted = np.concatenate(
-        [[0], np.cumsum(mixed * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
+        [nothing, np.cumsum(mixed * (place.astype(np.uint64) * np.uint64(2) + np.uint64(1)), dtype=np.uint64)])
     line_name = weighted[ends] - weighted[firsts]
     owner = np.repeat(np.arange(len(texts)), lines)
     order = np.lexsort((np.arange(len(ends)), line_name, owner))

@@ -389,6 +389,15 @@ def mask(text: str, spans: list[Span]) -> str:
     return "".join([*out, text[at:]])
 
 
+def scrubbed(text: str, spans: list[Span]) -> str:
+    """``text`` masked until the patterns find nothing more: a number that a pattern dropped
+    because of its neighbour can be a match once the neighbour is masked."""
+    while spans:
+        text = mask(text, spans)
+        spans = pattern_spans(text)
+    return text
+
+
 def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
     """``docs`` with personal data masked in ``text``, and ``n_chars``, where there is such a
     column, counted anew for texts that changed. Null texts stay null."""
@@ -400,7 +409,7 @@ def masked(docs: DataFrame, field: Field | None = None) -> DataFrame:
             text_at = names.index("text")
             for start, texts in _texts(batch):
                 part = batch.slice(start, len(texts))
-                clean = [mask(t, every) for t, (_, every) in zip(texts, all_spans(field, texts))]
+                clean = [scrubbed(t, every) for t, (_, every) in zip(texts, all_spans(field, texts))]
                 nulls = part.column(text_at).is_null().to_pylist()
                 columns = list(part.columns)
                 columns[text_at] = pa.array(

@@ -226,7 +226,10 @@ def judged(features: DataFrame, model: DataFrame) -> DataFrame:
     rows = features.join(known, (F.col("q_lang") == F.col("m_lang")) & (F.col("q_source") == F.col("m_source")), "left")
     rows = _distance(rows)
     outlier = (F.col("m_rows") >= MIN_ROWS * CORE / 2) & (F.col("q_d2") > CHI2_FAR)
-    return rows.withColumn("q_kept", ~F.col("q_failed") & ~F.coalesce(outlier, F.lit(False)))
+    # One comparison of both sides of the join, not a conjunction: as a filter, a conjunct of
+    # the left side alone would be pushed to the scan and split the text once more per word.
+    faults = F.greatest(F.col("q_failed").cast("int"), F.coalesce(outlier, F.lit(False)).cast("int"))
+    return rows.withColumn("q_kept", faults == 0)
 
 
 def stored_features(docs: DataFrame) -> DataFrame:

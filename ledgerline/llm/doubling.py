@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, functions as F
 WINDOW = 13
 FIRST = 8
 CHUNK_CHARACTERS = 2_500_000
-BUCKET_BYTES = 16_000_000
+BUCKET_BYTES = 40_000_000
 LEAST_BUCKETS = 16
 NO_ID = 2**63 - 1
 

@@ -18,28 +18,27 @@ _TIMES = (T.TimestampType, T.TimestampNTZType)
 _INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
-def value_text(column: Column, kind: T.DataType, scale: int = 2) -> Column:
-    """A value as text; NULL stays NULL.
+def value_text(column: Column, kind: T.DataType, scale: int | None = None) -> Column:
+    """A value as text that tells it from every other value; NULL stays NULL.
 
-    Floating point goes through a decimal of ``scale`` digits, so that the text
-    does not depend on how an engine prints a double.
+    Floating point is the shortest text that reads back as the same number, times have
+    all digits of their fraction. Only where ``scale`` is given, floating point is
+    rounded to a decimal of so many digits.
     """
     if isinstance(kind, T.StringType):
         return column
-    if isinstance(kind, T.TimestampNTZType):
-        return F.substring(column.cast("string"), 1, 19)
-    if isinstance(kind, T.TimestampType):
-        return F.date_format(column, "yyyy-MM-dd HH:mm:ss")
     if isinstance(kind, _FLOATS):
-        return F.coalesce(column.try_cast(f"decimal(38,{scale})").cast("string"), column.cast("string"))
+        # Zero has two signs, which are equal.
+        whole = F.when(column == 0, F.lit("0.0")).otherwise(column.cast("string"))
+        return whole if scale is None else F.coalesce(column.try_cast(f"decimal(38,{scale})").cast("string"), whole)
     return column.cast("string")
 
 
-def cell_text(df: DataFrame, name: str, scale: int = 2) -> Column:
+def cell_text(df: DataFrame, name: str, scale: int | None = None) -> Column:
     return value_text(F.col(f"`{name}`"), df.schema[name].dataType, scale)
 
 
-def typed_text(df: DataFrame, name: str, scale: int = 2) -> Column:
+def typed_text(df: DataFrame, name: str, scale: int | None = None) -> Column:
     """Type-aware text with the fixed stand-ins for missing values."""
     column, kind = F.col(f"`{name}`"), df.schema[name].dataType
     if isinstance(kind, T.DateType):
@@ -55,26 +54,26 @@ def typed_text(df: DataFrame, name: str, scale: int = 2) -> Column:
     return column.cast("string")
 
 
-def key_text(df: DataFrame, keys: Sequence[str], separator: str = KEY_SEPARATOR) -> Column:
+def key_text(df: DataFrame, keys: Sequence[str], separator: str = KEY_SEPARATOR, scale: int | None = None) -> Column:
     """Key columns joined to one text; NULL parts are left out."""
-    return F.concat_ws(separator, *[cell_text(df, k) for k in keys])
+    return F.concat_ws(separator, *[cell_text(df, k, scale) for k in keys])
 
 
-def row_md5(df: DataFrame, columns: Sequence[str]) -> Column:
+def row_md5(df: DataFrame, columns: Sequence[str], scale: int | None = None) -> Column:
     """md5 of the columns joined without a separator; NULL parts are left out."""
-    return F.md5(F.concat_ws("", *[cell_text(df, c) for c in columns]).cast("binary"))
+    return F.md5(F.concat_ws("", *[cell_text(df, c, scale) for c in columns]).cast("binary"))
 
 
-def row_sha256(df: DataFrame, columns: Sequence[str]) -> Column:
-    return F.sha2(F.concat_ws("", *[cell_text(df, c) for c in columns]).cast("binary"), 256)
+def row_sha256(df: DataFrame, columns: Sequence[str], scale: int | None = None) -> Column:
+    return F.sha2(F.concat_ws("", *[cell_text(df, c, scale) for c in columns]).cast("binary"), 256)
 
 
-def typed_key(df: DataFrame, keys: Sequence[str]) -> Column:
-    return F.concat_ws("", *[typed_text(df, k) for k in keys])
+def typed_key(df: DataFrame, keys: Sequence[str], scale: int | None = None) -> Column:
+    return F.concat_ws("", *[typed_text(df, k, scale) for k in keys])
 
 
-def typed_hash(df: DataFrame, columns: Sequence[str]) -> Column:
-    return F.md5(F.concat_ws("", *[typed_text(df, c) for c in columns]).cast("binary"))
+def typed_hash(df: DataFrame, columns: Sequence[str], scale: int | None = None) -> Column:
+    return F.md5(F.concat_ws("", *[typed_text(df, c, scale) for c in columns]).cast("binary"))
 
 
 def _framed_part(text: Column) -> Column:
@@ -82,21 +81,22 @@ def _framed_part(text: Column) -> Column:
     return F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-"))
 
 
-def safe_key(df: DataFrame, keys: Sequence[str]) -> Column:
-    return F.concat_ws("|", *[_framed_part(cell_text(df, k)) for k in keys])
+def safe_key(df: DataFrame, keys: Sequence[str], scale: int | None = None) -> Column:
+    return F.concat_ws("|", *[_framed_part(cell_text(df, k, scale)) for k in keys])
 
 
-def safe_hash(df: DataFrame, columns: Sequence[str]) -> Column:
-    joined = F.concat_ws("|", *[_framed_part(cell_text(df, c)) for c in columns])
+def safe_hash(df: DataFrame, columns: Sequence[str], scale: int | None = None) -> Column:
+    joined = F.concat_ws("|", *[_framed_part(cell_text(df, c, scale)) for c in columns])
     return F.md5(joined.cast("binary"))
 
 
 def sketch(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None,
-           form: str = "compatible") -> DataFrame:
+           form: str = "compatible", scale: int | None = None) -> DataFrame:
     """Two columns per row: ``concatenated_keys`` and ``hash_value``.
 
     ``compatible`` joins plain text, ``typed`` uses the type-aware text, ``safe``
     marks lengths and NULLs so that different rows cannot join to equal text.
+    ``scale`` rounds floating point; without it no two values share a text.
     """
     columns = list(columns or df.columns)
     key_of, hash_of = {
@@ -104,4 +104,4 @@ def sketch(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = N
         "typed": (typed_key, typed_hash),
         "safe": (safe_key, safe_hash),
     }[form]
-    return df.select(key_of(df, keys).alias("concatenated_keys"), hash_of(df, columns).alias("hash_value"))
+    return df.select(key_of(df, keys, scale=scale).alias("concatenated_keys"), hash_of(df, columns, scale).alias("hash_value"))

@@ -57,10 +57,11 @@ def validate_frame(frame: DataFrame, counts: DataFrame, headers: Sequence[str],
     }
     slots = [(HEADER, i, t) for i, t in enumerate(headers, 1) if t]
     slots += [(TRAILER, i, t) for i, t in enumerate(trailers, 1) if t]
+    # Without lines to check the array is empty, which has no type of its own.
     wanted = F.array(*[
         F.struct(F.lit(s).alias("section"), F.lit(i).cast("bigint").alias("ordinal"), render(t, known).alias("expected"))
         for s, i, t in slots
-    ])
+    ]).cast("array<struct<section:string,ordinal:bigint,expected:string>>")
     expected = counts.select("unit", F.explode(wanted).alias("slot")).select("unit", "slot.*")
     actual_lines = frame.filter(F.col("section") != DATA).select("unit", "section", "ordinal", "value")
     found = expected.join(actual_lines, ["unit", "section", "ordinal"], "left")

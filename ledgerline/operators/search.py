@@ -64,15 +64,17 @@ def page(ordered: DataFrame, number: int, size: int) -> DataFrame:
 
 def history_page(df: DataFrame, columns: Sequence[str], search_positions: Sequence[int] = (),
                  query: str = "", order: Sequence[int | str] = (0, 0), number: int = 1, size: int = 33) -> DataFrame:
-    chosen = df.select(*columns)
-    return page(order_by_ordinals(search_columns(chosen, search_positions, query), order), number, size)
+    chosen = search_columns(df.select(*columns), search_positions, query)
+    # The other columns come last, so that rows with equal sort values keep one order on all pages.
+    return page(chosen.orderBy(*ordering(chosen, order), *[F.col(c) for c in columns]), number, size)
 
 
 def entity_page(df: DataFrame, search_in: Sequence[str], query: str = "", order_by: str = "id",
                 direction: str = "asc", number: int = 1, size: int = 33) -> DataFrame:
     found = search_ilike(df, search_in, query)
     column = F.col(order_by)
-    return page(found.orderBy(column.asc() if direction == "asc" else column.desc()), number, size)
+    rest = [F.col(f"`{c}`") for c in df.columns if c != order_by]  # rows with equal values keep one order
+    return page(found.orderBy(column.asc() if direction == "asc" else column.desc(), *rest), number, size)
 
 
 def pivot_date(choice: str, batch: object = None, custom: object = None) -> Column:
@@ -104,12 +106,19 @@ def orders_with_users(orders: DataFrame, users: DataFrame) -> DataFrame:
     return lookup_join(orders, named, ["user_id"]).select(F.col("id").alias("order_id"), "batch_id", "name", "email")
 
 
+def only_row(df: DataFrame, what: str) -> DataFrame:
+    """``df``, which may have one row at most; more than one raise."""
+    if len(df.limit(2).select(F.lit(1)).collect()) > 1:
+        raise ValueError(f"more than one {what}")
+    return df
+
+
 def recent_orders(orders: DataFrame, batch: DataFrame, users: DataFrame, search_in: Sequence[str] = ("name",),
                   query: str = "", direction: str = "desc", number: int = 1, size: int = 33) -> DataFrame:
     """Orders of one batch (a table of one row) with the user's name, a page of them.
 
     The batch is a single row, so it is broadcast and only its orders go on."""
-    of_batch = orders.join(F.broadcast(batch.limit(1)), "batch_id")
+    of_batch = orders.join(F.broadcast(only_row(batch, "batch")), "batch_id")
     named = lookup_join(of_batch, users, ["user_id"])
     if query:
         named = named.filter(any_of([F.col(c).contains(query) for c in search_in]))
@@ -120,7 +129,7 @@ def recent_orders(orders: DataFrame, batch: DataFrame, users: DataFrame, search_
 
 def last_order(orders: DataFrame, batch: DataFrame) -> DataFrame:
     """Newest order id of one batch."""
-    of_batch = orders.join(F.broadcast(batch.limit(1)), "batch_id")
+    of_batch = orders.join(F.broadcast(only_row(batch, "batch")), "batch_id")
     return of_batch.agg(F.max("id").alias("last_order_id"))
 
 

@@ -21,7 +21,7 @@ from ledgerline.sinks.records import delimited_lines, fixed_width_lines
 from ledgerline.sinks.report import compare_report, write_report
 from ledgerline.sinks.tables import DuplicateKeyError, load_table
 from ledgerline.sources.framed import FramedFiles, data_lines, open_framed, plain_line
-from ledgerline.sources.records import read_delimited, read_fixed_width
+from ledgerline.sources.records import malformed_lines, read_delimited, read_fixed_width
 from ledgerline.sources.tables import posts, row_count
 
 
@@ -51,13 +51,18 @@ def read_file(spark: SparkSession, path: str, layout: FileLayout, values: Mappin
 
 
 def _records(files: FramedFiles, layout: FileLayout, values: Mapping[str, object] | None = None,
-             keep: Sequence[str] = ()) -> DataFrame:
+             keep: Sequence[str] = (), check_fields: bool = False) -> DataFrame:
     if layout.validate and any(layout.frame):
         checks = quality.validate_frame(
             files.frame(), files.counts(), layout.headers, layout.trailers, layout.ignore, values
         )
         quality.require(checks, f"frame of {files.path}")
-    return parse(data_lines(files.lines(), *keep), layout, keep)
+    lines = data_lines(files.lines(), *keep)
+    if check_fields and layout.validate and layout.kind == DELIMITED:
+        broken = malformed_lines(lines, len(layout.columns), layout.delimiter, layout.quote, layout.escape)
+        found = broken.agg(F.count(F.lit(1)).alias("malformed_lines"), F.min("value").alias("first"))
+        quality.require(found.withColumn("passed", F.col("malformed_lines") == 0), f"fields of {files.path}")
+    return parse(lines, layout, keep)
 
 
 def write_file(rows: DataFrame, path: str, layout: FileLayout, values: Mapping[str, object] | None = None,
@@ -123,14 +128,18 @@ def load_file(spark: SparkSession, source: str, layout: FileLayout, table: str,
     """A framed file into the Parquet table at ``table``; returns the count check.
 
     For a merge the check compares the file with the rows that were merged, since
-    updates add no rows.
+    updates add no rows. With ``layout.validate`` a line that has not the layout's fields
+    stops the load; neither it nor a wrong count leaves anything in the table.
     """
     n_head, n_tail = layout.frame
     files = open_framed(spark, source, n_head, n_tail, layout.unit)
-    rows = stage(_records(files, layout, values), "load")
+    rows = stage(_records(files, layout, values, check_fields=True), "load")
     expected = quality.reconcile_input(files.counts(), n_head, n_tail).agg(F.sum("expected_data_lines"))
     nothing = spark.range(1).select(F.lit(0).cast("bigint"))
     before = nothing
+    # Before the table changes: the records are as many as the file's lines.
+    read = stage(quality.reconcile_load(nothing, row_count(rows), row_count(rows), expected), "check")
+    quality.require(read, f"load of {source}")
     if load_type == "append_load":
         before = stage(row_count(spark.read.parquet(table)), "count")
     loaded = load_table(spark, table, rows, load_type, keys)

@@ -42,7 +42,7 @@ def sized_for(shuffled_bytes: int, partition_bytes: int = 256 * 1024 * 1024) ->
     so the first number must fit the largest shuffle; the advisory size then sets
     how much a task takes.
     """
-    partitions = min(max(-(-shuffled_bytes // partition_bytes), 200), 100_000)
+    partitions = max(-(-shuffled_bytes // partition_bytes), 200)
     return {
         "spark__sql__adaptive__coalescePartitions__initialPartitionNum": str(partitions),
         "spark__sql__adaptive__advisoryPartitionSizeInBytes": str(partition_bytes),
@@ -60,7 +60,7 @@ def scratch_root(spark: SparkSession) -> str:
     named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if named:
         return named
-    if not context.master.startswith("local"):
+    if not context.master.startswith("local") or context.master.startswith("local-cluster"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerline-"))
     return context.getCheckpointDir()

@@ -15,7 +15,7 @@ def _twice(text: Column, mark: str) -> Column:
 
 
 def delimited_line(df: DataFrame, columns: Sequence[str] | None = None, sep: str = ",",
-                   quote: str | None = None, escape: str = "\\") -> Column:
+                   quote: str | None = None, escape: str = "\\", scale: int | None = None) -> Column:
     """One line per row, no column header.
 
     With ``quote`` every field is quoted, an inner quote doubled and an inner
@@ -24,7 +24,7 @@ def delimited_line(df: DataFrame, columns: Sequence[str] | None = None, sep: str
     """
     cells = []
     for name in columns or df.columns:
-        text = F.coalesce(cell_text(df, name), F.lit(""))
+        text = F.coalesce(cell_text(df, name, scale), F.lit(""))
         if escape:
             text = _twice(text, escape)
         if quote:
@@ -36,18 +36,18 @@ def delimited_line(df: DataFrame, columns: Sequence[str] | None = None, sep: str
 
 
 def fixed_width_line(df: DataFrame, columns: Sequence[str], widths: Sequence[int],
-                     alignments: Sequence[str]) -> Column:
+                     alignments: Sequence[str], scale: int | None = None) -> Column:
     """Padded cells side by side; a value longer than its width is not cut."""
-    cells = [pad_cell(cell_text(df, name), width, align)
+    cells = [pad_cell(cell_text(df, name, scale), width, align)
              for name, width, align in zip(columns, widths, alignments, strict=True)]
     return F.concat(*cells)
 
 
 def delimited_lines(df: DataFrame, columns: Sequence[str] | None = None, sep: str = ",",
-                    quote: str | None = None, escape: str = "\\") -> DataFrame:
-    return df.select(delimited_line(df, columns, sep, quote, escape).alias("value"))
+                    quote: str | None = None, escape: str = "\\", scale: int | None = None) -> DataFrame:
+    return df.select(delimited_line(df, columns, sep, quote, escape, scale).alias("value"))
 
 
 def fixed_width_lines(df: DataFrame, columns: Sequence[str], widths: Sequence[int],
-                      alignments: Sequence[str]) -> DataFrame:
-    return df.select(fixed_width_line(df, columns, widths, alignments).alias("value"))
+                      alignments: Sequence[str], scale: int | None = None) -> DataFrame:
+    return df.select(fixed_width_line(df, columns, widths, alignments, scale).alias("value"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -28,6 +29,18 @@ def plain_line(value: Column) -> Column:
     return F.when(value.endswith("\r"), F.left(value, F.length(value) - 1)).otherwise(value)
 
 
+def _in_order() -> list[Column]:
+    """Blocks of a unit in the order of their lines: by folder, the number in a part
+    file's name (names alone stop sorting at part 100000), name and place."""
+    number = F.regexp_extract("_file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
+    return [F.regexp_replace("_file", "/[^/]*$", ""), F.coalesce(number, F.lit(-1)), F.col("_file"), F.col("_block")]
+
+
+def _as_glob(name: str) -> str:
+    """A path that matches just this file where paths are patterns."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
+
+
 def _placed_lines(spark: SparkSession, path: str | list[str], unit: str) -> DataFrame:
     owner = F.col("_metadata.file_path")
     if unit == "folder":
@@ -91,7 +104,7 @@ class FramedFiles:
         if size["some"] > NAMED_FILES or size["some"] * 4 > size["all"]:
             return self.lines().filter(is_frame)
         chosen = files.filter(holds_frame)
-        names = [unquote(row["_file"]) for row in chosen.select("_file").collect()]
+        names = [_as_glob(unquote(row["_file"])) for row in chosen.select("_file").collect()]
         within = open_framed(self.spark, names).lines().select(
             F.col("unit").alias("_file"), F.col("line_no").alias("_line"), "value"
         )
@@ -132,7 +145,7 @@ def open_framed(spark: SparkSession, path: str | list[str], n_head: int = 0, n_t
     """Count the lines of framed files, so that each line can be placed.
 
     ``unit`` says what carries one frame: each file, or each folder of part files
-    taken in name order (how Spark writes a large file). ``drop_blank_last`` leaves
+    taken in the order of their numbers (how Spark writes a large file). ``drop_blank_last`` leaves
     out an empty last line before the trailer is counted.
 
     No task sees a whole file: lines are counted by block, and a running sum over
@@ -144,10 +157,10 @@ def open_framed(spark: SparkSession, path: str | list[str], n_head: int = 0, n_t
     source = _placed_lines(spark, path, unit)
     per_block = source.groupBy("unit", "_file", "_block").agg(*found)
     whole = Window.partitionBy("unit")
-    before = whole.orderBy("_file", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(*_in_order()).rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("_lines").over(whole)
     if drop_blank_last:
-        total = total - F.max_by("_blank_last", F.struct("_file", "_block")).over(whole).cast("int")
+        total = total - F.max_by("_blank_last", F.struct(*_in_order())).over(whole).cast("int")
     blocks = per_block.select(
         "unit", "_file", "_block", "_first", "_lines",
         F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset"), total.alias("total_lines"),

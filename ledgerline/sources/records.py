@@ -51,6 +51,23 @@ def read_delimited(lines: DataFrame, columns: Sequence[str], sep: str = ",", quo
     return row.select(*keep, *[_plain(f, escape, bool(quote)).alias(c) for f, c in zip(fields, columns)])
 
 
+def malformed_lines(lines: DataFrame, columns: int, sep: str = ",", quote: str | None = None,
+                    escape: str = "\\") -> DataFrame:
+    """The lines (column ``value``) that do not have just ``columns`` fields, or whose quotes
+    do not close or are followed by more than a separator."""
+    mark, one = re.escape(sep), len(sep) == 1
+    if quote:
+        inner = f"{re.escape(quote)}[^{re.escape(quote)}]*+(?:{re.escape(quote * 2)}[^{re.escape(quote)}]*+)*+{re.escape(quote)}"
+        bare = f"[^{re.escape(quote)}{mark}]*+" if one else f"(?:(?!{mark})[^{re.escape(quote)}])*+"
+        field = f"(?:{inner}|{bare})"
+    elif escape:
+        plain = f"[^{re.escape(escape)}{mark}]*+" if one else f"(?:(?!{mark})[^{re.escape(escape)}])*+"
+        field = f"{plain}(?:{re.escape(escape)}.{plain})*+"
+    else:
+        field = f"[^{mark}]*+" if one else f"(?:(?!{mark}).)*+"
+    return lines.filter(~F.col("value").rlike(f"(?s)^{field}(?:{mark}{field}){{{columns - 1}}}$"))
+
+
 def _plain(field: Column, escape: str, quoted: bool) -> Column:
     if escape:
         if quoted:

@@ -310,7 +310,7 @@ def validate_where(spark, folder):
 # --- row text and hashes ---------------------------------------------------
 
 _LINE_TEXT = ("concat_ws('', CAST(l_orderkey AS VARCHAR), CAST(l_partkey AS VARCHAR), CAST(l_suppkey AS VARCHAR), "
-              "CAST(l_linenumber AS VARCHAR), CAST(CAST(l_quantity AS DECIMAL(38,2)) AS VARCHAR), "
+              "CAST(l_linenumber AS VARCHAR), CAST(l_quantity AS VARCHAR), "
               "strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'), l_returnflag)")
 _LINE_COLUMNS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_shipdate", "l_returnflag"]
 
@@ -351,7 +351,7 @@ _SPARSE = """sparse AS (
   FROM orders)"""
 _TYPED = """concat_ws('', CAST(o_orderkey AS VARCHAR), coalesce(CAST(o_custkey AS VARCHAR), '0'),
   coalesce(replace(o_orderpriority, 'char(0)', ''), ''),
-  coalesce(CAST(CAST(o_totalprice AS DECIMAL(38,2)) AS VARCHAR), '0'),
+  coalesce(CAST(o_totalprice AS VARCHAR), '0'),
   coalesce(strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S'), '1970-01-01 09:00'),
   coalesce(strftime(o_day, '%Y-%m-%d'), '1970-01-01'))"""
 

@@ -14,7 +14,7 @@ from ledgerline.sinks.framed import fill_column_names, frame_output, write_lines
 from ledgerline.sinks.records import delimited_lines, fixed_width_lines
 from ledgerline.sources.framed import open_framed, sorted_data_lines
 from ledgerline.sources.records import (
-    normalise_delimiters, read_delimited, read_fixed_width, split_normalised,
+    malformed_lines, normalise_delimiters, read_delimited, read_fixed_width, split_normalised,
 )
 from ledgerline.sources.tables import row_count
 from suite.registry import query, table
@@ -29,7 +29,7 @@ ORDER_TRAILERS = ["RECORDCOUNT=¶DATALINECOUNT•int•08d¶", "LINECOUNT=¶EXPE
 
 # SQL: lines of orders and customers.
 ORDER_LINE = """concat_ws(',', CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderstatus,
-  CAST(CAST(o_totalprice AS DECIMAL(38,2)) AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority)"""
+  CAST(o_totalprice AS VARCHAR), strftime(o_orderdate, '%Y-%m-%d %H:%M:%S'), o_orderpriority)"""
 ORDER_FRAME = f"""framed AS (
   SELECT 'header' AS section, 1 AS ordinal, 'FILENAME=orders BATCH_DATE=2024-03-09' AS value
   UNION ALL SELECT 'header', 2, '{",".join(ORDER)}'
@@ -50,7 +50,7 @@ def _quoted(cells, sep="|", quote='"'):
 
 
 CUSTOMER_CELLS = ["CAST(c_custkey AS VARCHAR)", "c_name", "CAST(c_nationkey AS VARCHAR)",
-                  "CAST(CAST(c_acctbal AS DECIMAL(38,2)) AS VARCHAR)", "c_mktsegment"]
+                  "CAST(c_acctbal AS VARCHAR)", "c_mktsegment"]
 
 
 def _sql_pad(text, width, align):
@@ -304,3 +304,19 @@ def trailer_count_check(spark, folder):
         check = check.select(F.lit(label).alias("label"), "last_line", "stated_rows", "expected_rows", "matching")
         rows = check if rows is None else rows.unionByName(check)
     return rows
+
+
+@query("malformed_lines", """
+SELECT value FROM (SELECT doc_id, '"' || doc_id || '","' || lang || CASE doc_id % 5
+  WHEN 0 THEN '"' WHEN 1 THEN '","' || source || '","more"' WHEN 2 THEN '","' || source WHEN 3 THEN '","' || source || '" x"'
+  ELSE '","' || source || '"' END AS value FROM documents) WHERE doc_id % 5 < 4""")
+def broken_document_lines(spark, folder):
+    """Lines of all documents; four in five lack a field, have one more, or have a quote
+    that does not close or is followed by more."""
+    way = F.col("doc_id") % 5
+    more = F.concat(F.lit('","'), F.col("source"))
+    lines = table(spark, folder, "documents").select(F.concat(
+        F.lit('"'), F.col("doc_id").cast("string"), F.lit('","'), F.col("lang"),
+        F.when(way == 0, '"').when(way == 1, F.concat(more, F.lit('","more"'))).when(way == 2, more)
+        .when(way == 3, F.concat(more, F.lit('" x"'))).otherwise(F.concat(more, F.lit('"')))).alias("value"))
+    return malformed_lines(lines, 3, ",", '"')

@@ -31,8 +31,8 @@ def new_parts(spark, folder):
 
 # --- sources ---------------------------------------------------------------
 
-@query("jdbc_extract_table", "SELECT * FROM orders")
-def jdbc_extract_table(spark, folder):
+@query("stored_table_extract", "SELECT * FROM orders")
+def stored_table_extract(spark, folder):
     """The same call that takes a JDBC table, here on a stored one."""
     return extract_table(spark, f"{folder}/orders.parquet")
 
@@ -41,8 +41,8 @@ _JOINED = """SELECT o.o_orderkey AS order_id, o.o_orderdate AS batch_date, c.c_n
 FROM {orders} o, {customer} c WHERE o.o_custkey = c.c_custkey"""
 
 
-@query("jdbc_extract_sql", _JOINED.format(orders="orders", customer="customer"))
-def jdbc_extract_sql(spark, folder):
+@query("stored_query_extract", _JOINED.format(orders="orders", customer="customer"))
+def stored_query_extract(spark, folder):
     views = {"orders": table(spark, folder, "orders"), "customer": table(spark, folder, "customer")}
     return extract_query(spark, _JOINED, views)
 

@@ -188,7 +188,7 @@ def running_share(spark, folder):
 _REPORT_CELLS = " || ".join(
     f"rpad(substr({text}, 1, 20), 25, ' ')"
     for text in ("CAST(c_custkey AS VARCHAR)", "c_name", "CAST(c_nationkey AS VARCHAR)",
-                 "CAST(CAST(c_acctbal AS DECIMAL(38,2)) AS VARCHAR)", "c_mktsegment")
+                 "CAST(c_acctbal AS VARCHAR)", "c_mktsegment")
 )
 
 

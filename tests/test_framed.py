@@ -198,3 +198,36 @@ def test_bad_frame_stops_the_job(spark, folder):
     layout = FileLayout(["a", "b"], headers=["right"], validate=True, unit="file")
     with pytest.raises(quality.CheckFailed):
         jobs.read_file(spark, f"{folder}/a.txt", layout)
+
+
+def test_parts_are_ordered_by_number(spark, folder):
+    """Names of parts from number 100000 on no longer sort like their numbers."""
+    for number, line in ((0, "HEAD"), (99998, "d1"), (99999, "d2"), (100000, "d3"), (100001, "TAIL")):
+        Path(folder, f"part-{number:05d}-x.txt").write_text(line + "\n")
+    lines = frame_lines(spark, folder, 1, 1, unit="folder")
+    got = sorted((r["line_no"], r["section"], r["value"]) for r in lines.collect())
+    assert got == [(1, "header", "HEAD"), (2, "data", "d1"), (3, "data", "d2"), (4, "data", "d3"), (5, "trailer", "TAIL")]
+
+
+def test_names_that_look_like_patterns(spark, folder):
+    for number in range(9):
+        Path(folder, f"part[{number}]{{a}}.txt").write_text(f"line {number}\n")
+    frame = open_framed(spark, folder, 1, 1, unit="folder").frame()
+    assert sorted(r["value"] for r in frame.collect()) == ["line 0", "line 8"]
+
+
+def test_blank_expected_lines_are_not_checked(spark, folder):
+    Path(folder, "one.txt").write_text("a\nb\n")
+    files = open_framed(spark, folder + "/one.txt", 1, 0)
+    assert quality.validate_frame(files.frame(), files.counts(), [""], []).count() == 0
+
+
+def test_a_load_stops_before_the_table_changes(spark, folder):
+    layout = FileLayout(["a", "b"], delimiter=",", quote='"', validate=True)
+    spark.createDataFrame([("0", "x")], "a string, b string").write.parquet(f"{folder}/table")
+    for n, bad in enumerate(('"3"', '"3","b","EXTRA"', '"4","x" y"', '"5","open')):
+        Path(folder, f"in{n}").mkdir()
+        Path(folder, f"in{n}", "part-00000").write_text(f'"1","a"\n"2","say ""hi"", ok"\n{bad}\n')
+        with pytest.raises(quality.CheckFailed):
+            jobs.load_file(spark, f"{folder}/in{n}", layout, f"{folder}/table", "append_load")
+    assert rows(spark.read.parquet(f"{folder}/table")) == [("0", "x")]

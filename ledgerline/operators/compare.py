@@ -15,12 +15,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ledgerline.functions.lines import all_of, any_of
 from ledgerline.functions.rowtext import cell_text, key_text, value_text
 from ledgerline.operators.quality import side_by_side
-from ledgerline.operators.skew import fits_broadcast, key_presence_join, row_width
+from ledgerline.operators.skew import common_type, fits_broadcast, key_presence_join, row_width
 from ledgerline.session import stage
 
 ABSENT = "Does_Not_Exists"
@@ -47,11 +47,15 @@ def side_suffix(df: DataFrame, columns: Sequence[str], suffix: str) -> DataFrame
 
 
 def same_types(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Both sides with equal types; columns that differ in type compare as text."""
-    uneven = {c for c in columns if left.schema[c].dataType != right.schema[c].dataType}
+    """Both sides with equal types: numbers and times that differ in type compare in the
+    wider one, anything else as text."""
+    kinds = {c: common_type(left.schema[c].dataType, right.schema[c].dataType) for c in columns}
 
     def cells(df: DataFrame) -> DataFrame:
-        return df.select(*[cell_text(df, c).alias(c) if c in uneven else F.col(f"`{c}`") for c in columns])
+        return df.select(*[
+            F.col(f"`{c}`") if df.schema[c].dataType == kind
+            else (cell_text(df, c) if isinstance(kind, T.StringType) else F.col(f"`{c}`").cast(kind)).alias(c)
+            for c, kind in kinds.items()])
 
     return cells(left), cells(right)
 

@@ -52,15 +52,40 @@ def hot_hashes(df: DataFrame, on: Sequence[str]) -> list[int]:
     return [entry["item"] for entry in top["top"] or [] if entry["count"] > floor]
 
 
-def _same_keys(df: DataFrame, on: Sequence[str]) -> Column:
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+
+
+def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
+    """The type that holds the values of both: the wider number or time, else text."""
+    if left == right:
+        return left
+    kinds = (left, right)
+    if all(isinstance(k, _WHOLE) for k in kinds):
+        return max(kinds, key=lambda k: _WHOLE.index(type(k)))
+    if all(isinstance(k, T.NumericType) for k in kinds):
+        if any(isinstance(k, (T.FloatType, T.DoubleType)) for k in kinds):
+            return T.DoubleType()
+        return T.DecimalType(38, max(getattr(k, "scale", 0) for k in kinds))
+    times = (T.TimestampType, T.TimestampNTZType)
+    if all(isinstance(k, (T.DateType, *times)) for k in kinds):
+        return next((k for k in kinds if isinstance(k, T.TimestampType)), T.TimestampNTZType())
+    return T.StringType()
+
+
+def _keyed(df: DataFrame, other: DataFrame, on: Sequence[str]) -> list[Column]:
+    """The key columns of ``df`` in the types that it has in common with ``other``."""
+    return [F.col(f"`{c}`").cast(common_type(df.schema[c].dataType, other.schema[c].dataType)).alias(c) for c in on]
+
+
+def _same_keys(keys: Sequence[Column], on: Sequence[str]) -> Column:
     """Join condition with ``_k_`` prefixed keys; NULL keys equal each other."""
-    return all_of([df[c].eqNullSafe(F.col(f"_k_{c}")) for c in on])
+    return all_of([key.eqNullSafe(F.col(f"_k_{c}")) for key, c in zip(keys, on)])
 
 
 def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how: str,
                       small: bool | None = None, unique: bool = False) -> DataFrame:
     """``left_semi`` or ``left_anti`` of ``df`` against the keys of ``keys_df``; NULL
-    keys equal each other.
+    keys equal each other, keys of different types meet in the wider one.
 
     ``keys_df`` is reduced to one row per key, combined before its shuffle. ``small``
     states that it was counted and fits a broadcast; ``df`` then stays in place.
@@ -68,16 +93,16 @@ def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how:
     broadcast of at most ``HOT_KEYS`` keys; the others take the shuffle join.
     ``unique`` states that ``df`` has no frequent key.
     """
-    keys = keys_df.select(*[F.col(c).cast(df.schema[c].dataType).alias(f"_k_{c}") for c in on]).distinct()
+    own = _keyed(df, keys_df, on)
+    keys = keys_df.select(*[k.alias(f"_k_{c}") for k, c in zip(_keyed(keys_df, df, on), on)]).distinct()
     if small:
-        return df.join(F.broadcast(keys), _same_keys(df, on), how)
-    hot = [] if unique else hot_hashes(df, on)
+        return df.join(F.broadcast(keys), _same_keys(own, on), how)
+    hot = [] if unique else hot_hashes(df.select(*own), on)
     if not hot:
-        return df.join(keys, _same_keys(df, on), how)
-    is_hot, key_is_hot = F.xxhash64(*on).isin(hot), F.xxhash64(*keys.columns).isin(hot)
-    cold, warm = df.filter(~is_hot), df.filter(is_hot)
-    cold_part = cold.join(keys.filter(~key_is_hot), _same_keys(cold, on), how)
-    hot_part = warm.join(F.broadcast(keys.filter(key_is_hot)), _same_keys(warm, on), how)
+        return df.join(keys, _same_keys(own, on), how)
+    is_hot, key_is_hot = F.xxhash64(*own).isin(hot), F.xxhash64(*keys.columns).isin(hot)
+    cold_part = df.filter(~is_hot).join(keys.filter(~key_is_hot), _same_keys(own, on), how)
+    hot_part = df.filter(is_hot).join(F.broadcast(keys.filter(key_is_hot)), _same_keys(own, on), how)
     return cold_part.unionByName(hot_part)
 
 
@@ -85,7 +110,7 @@ def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str =
     """Join many rows to a lookup that holds one row per key: by a broadcast when the
     lookup is counted and fits, else by :func:`split_join`."""
     if fits_broadcast(lookup, lookup.count()):
-        return df.join(F.broadcast(lookup), list(on), how)
+        return _matched(df, lookup, on, how, F.broadcast)
     return split_join(df, lookup, on, how)
 
 
@@ -96,12 +121,22 @@ def split_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "
     lookup rows, at most one for each frequent key, so its size does not grow with
     the data; the other rows take the shuffle join. ``how`` is ``inner`` or ``left``.
     """
-    hot = hot_hashes(df, on)
+    own, other = _keyed(df, lookup, on), _keyed(lookup, df, on)
+    hot = hot_hashes(df.select(*own), on)
     if not hot:
-        return df.join(lookup, list(on), how)
-    same = [F.col(c).cast(df.schema[c].dataType).alias(c) for c in on]
-    lookup = lookup.select(*same, *[c for c in lookup.columns if c not in on])
-    is_hot = F.xxhash64(*on).isin(hot)
-    cold_part = df.filter(~is_hot).join(lookup.filter(~is_hot), list(on), how)
-    hot_part = df.filter(is_hot).join(F.broadcast(lookup.filter(is_hot)), list(on), how)
+        return _matched(df, lookup, on, how)
+    is_hot, found = F.xxhash64(*own).isin(hot), F.xxhash64(*other).isin(hot)
+    cold_part = _matched(df.filter(~is_hot), lookup.filter(~found), on, how)
+    hot_part = _matched(df.filter(is_hot), lookup.filter(found), on, how, F.broadcast)
     return cold_part.unionByName(hot_part)
+
+
+def _matched(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, hint=lambda side: side) -> DataFrame:
+    """The keys as ``df`` has them, its other columns, those of the lookup. Keys of
+    different types meet in the wider one."""
+    rest = [c for c in lookup.columns if c not in on]
+    side = lookup.select(*[k.alias(f"_k_{c}") for k, c in zip(_keyed(lookup, df, on), on)], *[F.col(f"`{c}`") for c in rest])
+    same = all_of([key == F.col(f"_k_{c}") for key, c in zip(_keyed(df, lookup, on), on)])
+    own = [*on, *[c for c in df.columns if c not in on]]
+    joined = df.join(hint(side), same, how)
+    return joined.select(*[df[c] for c in own], *[side[c] for c in rest])

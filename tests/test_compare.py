@@ -131,11 +131,12 @@ def test_null_moves_between_columns(spark):
     assert statuses(cmp.align(l, r, ["k"])) == {1: "changed"}
 
 
-def test_columns_of_different_type_compare_as_text(spark):
+def test_columns_of_different_type_meet_in_the_wider_type(spark):
+    """Numbers as numbers; a number and a text as text."""
     l = spark.createDataFrame([(1, 5), (2, 6)], "k int, v int")
     r = spark.createDataFrame([(1, "5"), (2, "7")], "k long, v string")
     aligned = cmp.align(l, r, ["k"])
-    assert {r["k"]: r["status"] for r in aligned.collect()} == {"1": "same", "2": "changed"}
+    assert {r["k"]: r["status"] for r in aligned.collect()} == {1: "same", 2: "changed"}
 
 
 def test_keys_of_many_columns_and_no_values(spark):

@@ -343,3 +343,19 @@ def test_generated_orders(spark):
     bounds = spark.createDataFrame([(dt.date(2024, 1, 1), dt.date(2024, 1, 10))], "first_day date, last_day date")
     days = syn.batches(bounds).collect()
     assert len(days) == 10 and all(r["end_time"].hour in (17, 18) and r["start_time"].hour == 7 for r in days)
+
+
+def test_keys_of_different_types_meet(spark, monkeypatch):
+    """Whatever the size: broadcast, split by hot keys, or shuffled."""
+    df = spark.range(3000).select((F.col("id") % 3).cast("int").alias("k"), F.col("id").alias("n"))
+    lookup = spark.createDataFrame([(0, "a"), (1, "b"), (3_000_000_000, "c")], "k bigint, name string")
+    words = spark.createDataFrame([("0",), ("x7",)], "k string")
+    for limit in (skew.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(skew, "BROADCAST_BYTES", limit)
+        joined = skew.lookup_join(df, lookup, ["k"])
+        assert joined.columns == ["k", "n", "name"] and joined.schema["k"].dataType.simpleString() == "int"
+        assert joined.count() == 2000 and joined.filter("name = 'c'").count() == 0
+        assert skew.lookup_join(df, lookup, ["k"], "left").count() == 3000
+        assert skew.key_presence_join(df, lookup, ["k"], "left_anti").count() == 1000
+        assert skew.key_presence_join(df, words, ["k"], "left_anti").count() == 2000
+        assert skew.key_presence_join(df, words, ["k"], "left_semi", small=True).count() == 1000

@@ -6,9 +6,10 @@ its (language, source) group, and is rejected when its Mahalanobis distance is f
 beyond what the core of the group shows.
 
 The estimate takes concentration steps: mean and covariance of the ``CORE`` share of
-rows with the smallest distances, distances anew, and so on. The share is cut at a
-bin of a fixed logarithmic histogram, so each step is two small aggregates with
-partial sums and no row of a group has to meet another one.
+rows with the smallest distances, distances anew, and so on until the determinant stops
+falling, from a few starts, of which the smallest determinant wins. The share is cut at
+a bin of a fixed logarithmic histogram, so each step is one small aggregate with partial
+sums and no row of a group has to meet another one.
 
 Defined results: a null text has no words; null languages and sources are groups of
 their own; groups under ``MIN_ROWS`` rows are pooled by language, then all together,
@@ -20,7 +21,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerline.session import stage
 
@@ -31,8 +32,10 @@ NOT_SYMBOLS = r"[^#*$%&|<>]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
-CORE = 0.75
-STEPS = 3
+#: Half of the rows, the share that stands the most junk.
+CORE = 0.5
+#: A step that lowers the logarithm of the determinant by less is the last one.
+LEAST_GAIN = 1e-3
 MIN_ROWS = 200
 BINS_PER_DOUBLING = 8
 #: Quantiles of the chi-squared distribution with five degrees of freedom, fixed
@@ -51,6 +54,7 @@ FEATURES = {
     "q_f_lines": 0.50,
 }
 NAMES = list(FEATURES)
+PAIRS = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
 
 
 def text_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -120,7 +124,7 @@ def with_features(counts: DataFrame, lang: str = "lang", source: str = "source")
 
 
 def _groups(features: DataFrame) -> DataFrame:
-    """``(q_lang, q_source, q_group, q_rows)``: small groups fall into pools."""
+    """``(q_lang, q_source, q_group)``: small groups fall into pools."""
     counts = features.groupBy("q_lang", "q_source").agg(F.count(F.lit(1)).alias("n"))
     small = F.col("n") < MIN_ROWS
     rest = counts.where(small).groupBy("q_lang").agg(F.sum("n").alias("lang_rows"))
@@ -132,17 +136,9 @@ def _groups(features: DataFrame) -> DataFrame:
     return counts.join(rest, "q_lang", "left").select("q_lang", "q_source", group.alias("q_group"))
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    pairs = [(i, j) for i in range(len(NAMES)) for j in range(i + 1)]
-    return rows.groupBy("q_group").agg(
-        F.count(F.lit(1)).alias("m_rows"),
-        *[F.avg(name).alias(f"m_{i}") for i, name in enumerate(NAMES)],
-        *[F.covar_pop(NAMES[i], NAMES[j]).alias(f"c_{i}_{j}") for i, j in pairs],
-    )
-
-
 def _factors(moments: DataFrame, scale: Column | float = 1.0) -> DataFrame:
-    """Cholesky factor ``l_i_j`` of each group's covariance, floors added."""
+    """Cholesky factor ``l_i_j`` of each group's covariance, floors added, and the
+    logarithm of its determinant."""
     out = moments
     for i, name in enumerate(NAMES):
         for j in range(i + 1):
@@ -152,7 +148,7 @@ def _factors(moments: DataFrame, scale: Column | float = 1.0) -> DataFrame:
             value = reduce(lambda v, k: v - F.col(f"l_{i}_{k}") * F.col(f"l_{j}_{k}"), range(j), value)
             value = F.sqrt(F.greatest(value, F.lit(1e-9))) if i == j else value / F.col(f"l_{j}_{j}")
             out = out.withColumn(f"l_{i}_{j}", value)
-    return out.drop(*[f"c_{i}_{j}" for i in range(len(NAMES)) for j in range(i + 1)])
+    return out.withColumn("m_logdet", sum((F.log(f"l_{i}_{i}") for i in range(1, len(NAMES))), F.log("l_0_0")) * 2)
 
 
 def _distance(rows: DataFrame) -> DataFrame:
@@ -169,21 +165,87 @@ def _bin(distance: Column) -> Column:
     return F.floor(F.log2(distance + 1e-6) * BINS_PER_DOUBLING).cast("int")
 
 
-def _shares(distances: DataFrame) -> DataFrame:
-    """Per group the first bin at which ``CORE``, and half, of the rows are reached.
+def _upto(bins: DataFrame, *by: str) -> DataFrame:
+    """``bins`` with the rows up to each bin, ``q_upto``, and of all, ``q_all``.
 
     A group has a few hundred bins at most, whatever its rows."""
-    from pyspark.sql import Window
-
-    bins = distances.groupBy("q_group", _bin(F.col("q_d2")).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    upto = Window.partitionBy("q_group").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("q_group")
-    share = bins.select(
-        "q_group", "bin", (F.sum("n").over(upto) / F.sum("n").over(whole)).alias("share"))
-    return share.groupBy("q_group").agg(
-        F.min(F.when(F.col("share") >= CORE, F.col("bin"))).alias("core_bin"),
-        F.min(F.when(F.col("share") >= 0.5, F.col("bin"))).alias("half_bin"),
-    )
+    whole = Window.partitionBy(*by)
+    upto = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    return bins.withColumns({"q_upto": F.sum("n").over(upto), "q_all": F.sum("n").over(whole)})
+
+
+def _starts(rows: DataFrame) -> DataFrame:
+    """A few starts per group, features uncorrelated: centre and spread of the middle
+    half of each feature, of its shortest half, and of its lowest half."""
+    grid = [k / 40 for k in range(41)]
+    points = rows.groupBy("q_group").agg(
+        *[F.percentile_approx(name, grid, 1000).alias(f"p_{i}") for i, name in enumerate(NAMES)])
+
+    def half(i: int, first: Column) -> Column:
+        at = lambda k: F.get(f"p_{i}", first + k)
+        return F.struct(at(10).alias("centre"), ((at(20) - at(0)) / 1.349).alias("spread"))
+
+    def shortest(i: int) -> Column:
+        widths = F.array(*[F.struct((F.get(f"p_{i}", F.lit(k + 20)) - F.get(f"p_{i}", F.lit(k))).alias("w"),
+                                    F.lit(k).alias("k")) for k in range(21)])
+        return F.array_min(widths)["k"]
+
+    halves = [[half(i, F.lit(10)), half(i, shortest(i)), half(i, F.lit(0))] for i in range(len(NAMES))]
+    each = points.select("q_group", F.posexplode(F.array(*[
+        F.struct(*[halves[i][k].alias(f"h_{i}") for i in range(len(NAMES))]) for k in range(3)
+    ])).alias("q_start", "h"))
+    return each.select(
+        "q_group", "q_start",
+        *[F.col(f"h.h_{i}.centre").alias(f"m_{i}") for i in range(len(NAMES))],
+        *[(F.col(f"h.h_{i}.spread") ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS])
+
+
+def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One concentration step: moments of the core under ``model``, and their factors.
+
+    Rows are summed by bin as gaps from the old centre. The bin in which the core ends
+    counts in part, so that every core has the same share and determinants compare."""
+    measured = _distance(rows.join(model, "q_group"))
+    gap = [F.col(name) - F.col(f"m_{i}") for i, name in enumerate(NAMES)]
+    key = ["q_group", "q_start"]
+    bins = measured.groupBy(*key, _bin(F.col("q_d2")).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"), F.min("m_before").alias("m_before"),
+        *[F.min(f"m_{i}").alias(f"m_{i}") for i in range(len(NAMES))],
+        *[F.sum(g).alias(f"s_{i}") for i, g in enumerate(gap)],
+        *[F.sum(gap[i] * gap[j]).alias(f"s_{i}_{j}") for i, j in PAIRS])
+    inside = F.col("q_all") * CORE - (F.col("q_upto") - F.col("n"))
+    weighed = _upto(bins, *key).withColumn(
+        "w", F.least(F.lit(1.0), inside / F.col("n"))).where("w > 0")
+    sums = weighed.groupBy(*key).agg(
+        F.sum(F.col("w") * F.col("n")).alias("w"), F.min("m_before").alias("m_before"),
+        *[F.min(f"m_{i}").alias(f"o_{i}") for i in range(len(NAMES))],
+        *[F.sum(F.col("w") * F.col(f"s_{i}")).alias(f"s_{i}") for i in range(len(NAMES))],
+        *[F.sum(F.col("w") * F.col(f"s_{i}_{j}")).alias(f"s_{i}_{j}") for i, j in PAIRS])
+    mean = [F.col(f"s_{i}") / F.col("w") for i in range(len(NAMES))]
+    return _factors(sums.select(
+        *key, "m_before", F.col("w").alias("m_rows"),
+        *[(F.col(f"o_{i}") + mean[i]).alias(f"m_{i}") for i in range(len(NAMES))],
+        *[(F.col(f"s_{i}_{j}") / F.col("w") - mean[i] * mean[j]).alias(f"c_{i}_{j}") for i, j in PAIRS]))
+
+
+def _smallest(rows: DataFrame) -> DataFrame:
+    """Per group the estimate of the smallest determinant over all starts.
+
+    Steps of a start go on while they lower its determinant. That ends: the floors are
+    a lower bound, and a step has to gain ``LEAST_GAIN`` in the logarithm."""
+    model = stage(_factors(_starts(rows)).withColumn("m_before", F.lit(None).cast("double")), "mcd-model")
+    ended = []
+    while True:
+        falls = F.col("m_before").isNull() | (F.col("m_logdet") < F.col("m_before") - LEAST_GAIN)
+        stepped = stage(_concentrated(rows, model).withColumn("m_falls", falls), "mcd-model")
+        ended.append(stepped.where(~F.col("m_falls")))
+        if stepped.where("m_falls").isEmpty():
+            break
+        model = stepped.where("m_falls").withColumn("m_before", F.col("m_logdet"))
+    every = reduce(DataFrame.unionByName, ended)
+    best = every.groupBy("q_group").agg(
+        F.min_by(F.struct(*[c for c in every.columns if c != "q_group"]), F.struct("m_logdet", "q_start")).alias("b"))
+    return stage(best.select("q_group", "b.*").drop("q_start", "m_before", "m_falls"), "mcd-best")
 
 
 def fit(features: DataFrame) -> DataFrame:
@@ -193,28 +255,19 @@ def fit(features: DataFrame) -> DataFrame:
     table. Rows that fail the floors do not shape the estimates."""
     usable = features.where(~F.col("q_failed"))
     groups = stage(_groups(usable), "mcd-groups")
-    rows = usable.join(groups, ["q_lang", "q_source"])
-    # Start: centre and spread of the middle half of each feature, features uncorrelated.
-    quartiles = rows.groupBy("q_group").agg(
-        F.count(F.lit(1)).alias("m_rows"),
-        *[F.percentile_approx(name, [0.25, 0.5, 0.75], 1000).alias(f"p_{i}") for i, name in enumerate(NAMES)])
-    start = quartiles.select(
-        "q_group", "m_rows",
-        *[F.get(f"p_{i}", F.lit(1)).alias(f"m_{i}") for i in range(len(NAMES))],
-        *[(((F.get(f"p_{i}", F.lit(2)) - F.get(f"p_{i}", F.lit(0))) / 1.349) ** 2 if i == j else F.lit(0.0))
-          .alias(f"c_{i}_{j}") for i in range(len(NAMES)) for j in range(i + 1)])
-    model = stage(_factors(start), "mcd-model")
-    for _ in range(STEPS):
-        measured = _distance(rows.join(model, "q_group"))
-        cut = stage(_shares(measured), "mcd-cut")
-        inner = measured.join(cut, "q_group").where(_bin(F.col("q_d2")) <= F.col("core_bin"))
-        moments = stage(_moments(inner.select("q_group", *NAMES)), "mcd-moments")
-        model = stage(_factors(moments), "mcd-model")
+    rows = stage(usable.join(groups, ["q_lang", "q_source"]).select("q_group", *NAMES), "mcd-rows")
+    best = _smallest(rows)
     # Scale the core's covariance so that the median distance is that of clean normal rows.
-    half = stage(_shares(_distance(rows.join(model, "q_group"))), "mcd-half")
+    bins = _distance(rows.join(best, "q_group")).groupBy("q_group", _bin(F.col("q_d2")).alias("bin")).agg(
+        F.count(F.lit(1)).alias("n"))
+    half = _upto(bins, "q_group").where(F.col("q_upto") >= 0.5 * F.col("q_all")).groupBy("q_group").agg(
+        F.min("bin").alias("half_bin"))
     scale = F.greatest(F.lit(1.0), F.pow(2.0, (F.col("half_bin") + 1) / BINS_PER_DOUBLING) / CHI2_MEDIAN)
-    final = _factors(moments.join(half, "q_group").withColumn("m_scale", scale), F.col("m_scale"))
-    return stage(groups.join(final, "q_group").drop("core_bin", "half_bin", "m_scale"), "mcd-final")
+    factors = [f"l_{i}_{j}" for i, j in PAIRS]
+    moments = best.drop(*factors).join(stage(half, "mcd-half"), "q_group").withColumn("m_scale", scale)
+    final = _factors(moments, F.col("m_scale")).select(
+        "q_group", "m_rows", *[f"m_{i}" for i in range(len(NAMES))], *factors)
+    return stage(groups.join(final, "q_group"), "mcd-final")
 
 
 def judged(features: DataFrame, model: DataFrame) -> DataFrame:

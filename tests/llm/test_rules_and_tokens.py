@@ -69,6 +69,19 @@ def test_small_and_empty_tables_reject_no_outliers(spark):
     assert robust_rules.rule_verdicts(docs.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.3, 0.45])
+@pytest.mark.parametrize("copies", [True, False])
+def test_junk_up_to_nearly_half_of_a_group_goes(spark, share, copies):
+    rng = random.Random(11)
+    good = [(n, ". ".join(sentence(rng, 12).capitalize() for _ in range(rng.randrange(8, 30))), "en", "s")
+            for n in range(400)]
+    page = JUNK[2](sentence(rng, 150))
+    bad = [(5000 + n, page if copies else JUNK[n % 3](sentence(rng, 150)), "en", "s")
+           for n in range(int(400 * share / (1 - share)))]
+    kept = {r["doc_id"] for r in robust_rules.rule_verdicts(documents(spark, good + bad)).where("kept").collect()}
+    assert kept == set(range(400))
+
+
 def test_rules_run_without_python(spark):
     plan = robust_rules.rule_verdicts(documents(spark, odd_rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

@@ -12,8 +12,9 @@ a bin of a fixed logarithmic histogram, so each step is one small aggregate with
 sums and no row of a group has to meet another one.
 
 Defined results: a null text has no words; null languages and sources are groups of
-their own; groups under ``MIN_ROWS`` rows are pooled by language, then all together,
-and a pool that is still smaller rejects nothing; repeated rows are judged alike and
+their own; a group under ``MIN_ROWS`` rows is judged by an estimate over all rows of its
+language, and where these are fewer than that, over all rows of the table, however few:
+the smallest spread of each feature keeps that from rejecting on a trifle; repeated rows are judged alike and
 all stay; other columns are ignored.
 """
 
@@ -123,17 +124,26 @@ def with_features(counts: DataFrame, lang: str = "lang", source: str = "source")
     })
 
 
+def _names() -> list[Column]:
+    """The own group of a row, that of its language and that of all rows."""
+    return [F.concat_ws("\x1f", "q_lang", "q_source"), F.concat_ws("\x1f", F.col("q_lang"), F.lit("*")), F.lit("*")]
+
+
 def _groups(features: DataFrame) -> DataFrame:
-    """``(q_lang, q_source, q_group)``: small groups fall into pools."""
+    """``(q_lang, q_source, q_group)``: the estimate that judges a source. A small source
+    is judged by all rows of its language, in a small language by all rows of the table."""
     counts = features.groupBy("q_lang", "q_source").agg(F.count(F.lit(1)).alias("n"))
-    small = F.col("n") < MIN_ROWS
-    rest = counts.where(small).groupBy("q_lang").agg(F.sum("n").alias("lang_rows"))
-    group = (
-        F.when(~small, F.concat_ws("\x1f", "q_lang", "q_source"))
-        .when(F.col("lang_rows") >= MIN_ROWS, F.concat_ws("\x1f", F.col("q_lang"), F.lit("*")))
-        .otherwise(F.lit("*"))
-    )
-    return counts.join(rest, "q_lang", "left").select("q_lang", "q_source", group.alias("q_group"))
+    langs = counts.groupBy("q_lang").agg(F.sum("n").alias("lang_rows"))
+    own, lang, whole = _names()
+    group = F.when(F.col("n") >= MIN_ROWS, own).when(F.col("lang_rows") >= MIN_ROWS, lang).otherwise(whole)
+    return counts.join(langs, "q_lang").select("q_lang", "q_source", group.alias("q_group"))
+
+
+def _members(groups: DataFrame) -> DataFrame:
+    """``(q_lang, q_source, q_group)``: the estimates that a source takes part in, three at
+    most, of those that judge a source."""
+    every = groups.select("q_lang", "q_source", F.explode(F.array(*_names())).alias("q_group"))
+    return every.join(groups.select("q_group").distinct(), "q_group", "left_semi")
 
 
 def _factors(moments: DataFrame, scale: Column | float = 1.0) -> DataFrame:
@@ -223,7 +233,7 @@ def _concentrated(rows: DataFrame, model: DataFrame) -> DataFrame:
         *[F.sum(F.col("w") * F.col(f"s_{i}_{j}")).alias(f"s_{i}_{j}") for i, j in PAIRS])
     mean = [F.col(f"s_{i}") / F.col("w") for i in range(len(NAMES))]
     return _factors(sums.select(
-        *key, "m_before", F.col("w").alias("m_rows"),
+        *key, "m_before",
         *[(F.col(f"o_{i}") + mean[i]).alias(f"m_{i}") for i in range(len(NAMES))],
         *[(F.col(f"s_{i}_{j}") / F.col("w") - mean[i] * mean[j]).alias(f"c_{i}_{j}") for i, j in PAIRS]))
 
@@ -255,7 +265,8 @@ def fit(features: DataFrame) -> DataFrame:
     table. Rows that fail the floors do not shape the estimates."""
     usable = features.where(~F.col("q_failed"))
     groups = stage(_groups(usable), "mcd-groups")
-    rows = stage(usable.join(groups, ["q_lang", "q_source"]).select("q_group", *NAMES), "mcd-rows")
+    members = stage(_members(groups), "mcd-members")
+    rows = stage(usable.join(members, ["q_lang", "q_source"]).select("q_group", *NAMES), "mcd-rows")
     best = _smallest(rows)
     # Scale the core's covariance so that the median distance is that of clean normal rows.
     bins = _distance(rows.join(best, "q_group")).groupBy("q_group", _bin(F.col("q_d2")).alias("bin")).agg(
@@ -265,20 +276,19 @@ def fit(features: DataFrame) -> DataFrame:
     scale = F.greatest(F.lit(1.0), F.pow(2.0, (F.col("half_bin") + 1) / BINS_PER_DOUBLING) / CHI2_MEDIAN)
     factors = [f"l_{i}_{j}" for i, j in PAIRS]
     moments = best.drop(*factors).join(stage(half, "mcd-half"), "q_group").withColumn("m_scale", scale)
-    final = _factors(moments, F.col("m_scale")).select(
-        "q_group", "m_rows", *[f"m_{i}" for i in range(len(NAMES))], *factors)
+    final = _factors(moments, F.col("m_scale")).select("q_group", *[f"m_{i}" for i in range(len(NAMES))], *factors)
     return stage(groups.join(final, "q_group"), "mcd-final")
 
 
 def judged(features: DataFrame, model: DataFrame) -> DataFrame:
-    """``features`` with ``q_d2`` (null where a pool was too small) and ``q_kept``.
+    """``features`` with ``q_d2`` (null where no row of the source passes the floors) and ``q_kept``.
 
     The model has one row per language and source and no broadcast hint: Spark
     compares its stored size with the broadcast threshold."""
     known = model.withColumnRenamed("q_lang", "m_lang").withColumnRenamed("q_source", "m_source")
     rows = features.join(known, (F.col("q_lang") == F.col("m_lang")) & (F.col("q_source") == F.col("m_source")), "left")
     rows = _distance(rows)
-    outlier = (F.col("m_rows") >= MIN_ROWS * CORE / 2) & (F.col("q_d2") > CHI2_FAR)
+    outlier = F.col("q_d2") > CHI2_FAR
     # One comparison of both sides of the join, not a conjunction: as a filter, a conjunct of
     # the left side alone would be pushed to the scan and split the text once more per word.
     faults = F.greatest(F.col("q_failed").cast("int"), F.coalesce(outlier, F.lit(False)).cast("int"))

@@ -82,6 +82,19 @@ def test_junk_up_to_nearly_half_of_a_group_goes(spark, share, copies):
     assert kept == set(range(400))
 
 
+def test_junk_in_small_groups_goes(spark):
+    rng = random.Random(12)
+    page = lambda: ". ".join(sentence(rng, 12).capitalize() for _ in range(rng.randrange(8, 30)))
+    rows = [(n, page(), "en", "big") for n in range(400)]
+    rows += [(1000 + n, page(), ("en", "fi", None)[n % 3], "rare") for n in range(12)]
+    rows += [(5000 + n, JUNK[n // 4](sentence(rng, 150)), ("en", "fi", None, "xx")[n % 4], "rare") for n in range(12)]
+    kept = {r["doc_id"] for r in robust_rules.rule_verdicts(documents(spark, rows)).where("kept").collect()}
+    assert kept == {*range(400), *range(1000, 1012)}
+    few = rows[:20] + rows[-12:-9]
+    kept = {r["doc_id"] for r in robust_rules.rule_verdicts(documents(spark, few)).where("kept").collect()}
+    assert kept == set(range(20))
+
+
 def test_rules_run_without_python(spark):
     plan = robust_rules.rule_verdicts(documents(spark, odd_rows()))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan

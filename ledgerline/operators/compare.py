@@ -235,6 +235,15 @@ def matching_rows(pairs: DataFrame) -> DataFrame:
     return pairs.filter(F.col("status") == SAME).select("concatenated_keys", F.col("left_hash").alias("hash_value"))
 
 
+def matching_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that two sketches share, a row for each pair of copies."""
+    both = presence(left, right, ["concatenated_keys", "hash_value"])
+    # As in an SQL join, a NULL equals nothing.
+    shared = both.filter("left_rows > 0 AND right_rows > 0 AND concatenated_keys IS NOT NULL AND hash_value IS NOT NULL")
+    return shared.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("left_rows")))).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("right_rows")))).select("concatenated_keys", "hash_value")
+
+
 def outer_diff(pairs: DataFrame) -> DataFrame:
     """Keys that differ or are on one side only."""
     return pairs.filter(F.col("status") != SAME).select("concatenated_keys", "left_hash", "right_hash")
@@ -343,6 +352,35 @@ def _suffixed(aligned: DataFrame, keys: Sequence[str], columns: Sequence[str]) -
     return cells
 
 
+def joined_rows(left: DataFrame, right: DataFrame, keys: Sequence[str],
+                columns: Sequence[str] | None = None) -> DataFrame:
+    """Every left row with every right row of its key, in the columns of :func:`align`;
+    NULL keys equal each other. Where keys repeat, operators on shared keys get all
+    pairs from it, where ``align`` has the smallest row of each side."""
+    keys = list(keys)
+    columns = columns or common_columns(left, right)
+    values = [c for c in columns if c not in keys]
+    left, right = same_types(left, right, [*keys, *values])
+    row = F.struct(*[F.col(f"`{c}`") for c in values]) if values else F.struct(F.lit(True).alias("_"))
+    mine = left.select(*[F.col(f"`{k}`") for k in keys], row.alias("l"))
+    other = right.select(*[F.col(f"`{k}`").alias(f"_k{i}") for i, k in enumerate(keys)], row.alias("r"))
+    same_key = all_of([mine[f"`{k}`"].eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    one = F.lit(1).cast("bigint")
+    joined = mine.join(other, same_key).drop(*[f"_k{i}" for i in range(len(keys))])
+    return joined.select("*", one.alias("left_rows"), one.alias("right_rows")).withColumn(
+        "status", _status(F.col("l").eqNullSafe(F.col("r"))))
+
+
+def same_rows(left: DataFrame, right: DataFrame, keys: Sequence[str],
+              columns: Sequence[str] | None = None) -> DataFrame:
+    """All left rows of keys whose rows are the same on both sides, every copy."""
+    same = key_status(left, right, keys, columns).filter(F.col("status") == SAME).select(*keys)
+    chosen = columns or common_columns(left, right)
+    values = [c for c in chosen if c not in keys]
+    left, right = same_types(left, right, [*keys, *values])
+    return key_presence_join(left, same, keys, "left_semi")
+
+
 def merge_on_keys(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows of both sides for shared keys: keys, then the values as ``_x`` and ``_y``."""
     shared = aligned.filter((F.col("left_rows") > 0) & (F.col("right_rows") > 0))
@@ -351,7 +389,7 @@ def merge_on_keys(aligned: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def three_way_pairs(aligned: DataFrame, keys: Sequence[str], key_list: DataFrame) -> DataFrame:
     """Left row and right row side by side for the listed keys on both sides."""
-    listed = key_presence_join(aligned, key_list, keys, "left_semi", unique=True)
+    listed = key_presence_join(aligned, key_list, keys, "left_semi")
     shared = listed.filter((F.col("left_rows") > 0) & (F.col("right_rows") > 0))
     return shared.select(
         key_text(aligned, keys).alias("concatenated_keys"),

@@ -83,7 +83,7 @@ def mismatch_rows(spark, folder):
 
 @query("matching_rows", f"WITH {pair.SKETCHES} SELECT * FROM lk JOIN rk USING (concatenated_keys, hash_value)")
 def matching_rows(spark, folder):
-    return cmp.matching_rows(cmp.pair_sketches(*_sketches(spark, folder)))
+    return cmp.matching_pairs(*_sketches(spark, folder))
 
 
 @query("outer_diff", f"""WITH {pair.SKETCHES}
@@ -217,7 +217,7 @@ def side_suffix(spark, folder):
 SELECT o_orderkey, {", ".join(f"l.{c} AS {c}_x, r.{c} AS {c}_y" for c in COLUMNS if c not in KEYS)}
 FROM l JOIN r USING (o_orderkey)""")
 def merge_on_keys(spark, folder):
-    return cmp.merge_on_keys(_aligned(spark, folder), KEYS)
+    return cmp.merge_on_keys(cmp.joined_rows(*both_sides(spark, folder), KEYS), KEYS)
 
 
 @query("three_way_pairs", f"""WITH {pair.CELLS}, listed AS (SELECT DISTINCT concatenated_keys FROM changed_cells)
@@ -227,7 +227,7 @@ WHERE CAST(l.o_orderkey AS VARCHAR) = concatenated_keys AND l.o_orderkey = r.o_o
 def three_way_pairs(spark, folder):
     aligned = _aligned(spark, folder)
     listed = aligned.filter(F.col("status") == cmp.CHANGED).select(*KEYS)
-    return cmp.three_way_pairs(aligned, KEYS, listed)
+    return cmp.three_way_pairs(cmp.joined_rows(*both_sides(spark, folder), KEYS), KEYS, listed)
 
 
 @query("fetch_by_keys", f"""WITH {pair.CELLS}
@@ -240,7 +240,7 @@ def fetch_by_keys(spark, folder):
 
 @query("passed_rows", f"WITH {pair.SAME} SELECT * FROM same ORDER BY o_orderkey LIMIT 10")
 def passed_rows(spark, folder):
-    return cmp.passed_rows(_aligned(spark, folder), KEYS)
+    return cmp.first_rows(cmp.same_rows(*both_sides(spark, folder), KEYS), KEYS)
 
 
 @query("passed_sample", "SELECT * FROM orders ORDER BY o_orderkey LIMIT 10")

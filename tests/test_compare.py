@@ -278,3 +278,18 @@ def test_values_that_differ_have_different_texts(spark):
     rounded = cmp.pair_sketches(sketch(left, ["k"], ["x"], scale=2), sketch(right, ["k"], ["x"], scale=2))
     assert cmp.mismatch_rows(rounded).count() == 0
     assert ("x", "1", "1.001", "1.004") in rows(cmp.cell_diff(cmp.align(left, right, ["k"]), ["k"]))
+
+
+def test_copies_of_a_key_stay(spark):
+    left = [(1, "x", 1.0), (1, "x", 1.0), (1, "y", 2.0), (2, "z", 3.0), (2, "z", 3.0), (None, "n", 0.0), (7, "l", 1.0)]
+    right = [(1, "x", 1.0), (1, "w", 2.0), (2, "z", 3.0), (2, "z", 3.0), (None, "n", 0.0), (8, "r", 1.0)]
+    l, r = sides(spark, left, right)
+    joined = cmp.joined_rows(l, r, ["k"])
+    product = [(*a, *b[1:]) for a in left for b in right if a[0] == b[0]]
+    assert sorted(map(str, rows(cmp.merge_on_keys(joined, ["k"])))) == sorted(map(str, product))
+    listed = spark.createDataFrame([(1,), (7,)], "k long")
+    assert cmp.three_way_pairs(joined, ["k"], listed).count() == 6
+    assert sorted(map(str, rows(cmp.same_rows(l, r, ["k"])))) == sorted(map(str, left[3:6]))
+    names = "concatenated_keys string, hash_value string"
+    a, b = (spark.createDataFrame([(str(x[0]), f"{x[1]}{x[2]}") for x in side], names) for side in (left, right))
+    assert cmp.matching_pairs(a, b).count() == 2 + 4 + 1

@@ -107,6 +107,12 @@ def held_out(modulus: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % modulus == remainder, F.lit(True))
 
 
+def sampled(share: Column, *columns: str) -> Column:
+    """Whether the hash of a row falls into a share, however small the share is."""
+    fraction = F.xxhash64(F.lit(1), *columns).bitwiseAND(F.lit(2**52 - 1)) / F.lit(float(2**52))
+    return F.pmod(F.xxhash64(*columns), F.lit(1_000_000)) + fraction < share * 1_000_000
+
+
 def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str], np.ndarray]:
     """Languages by name, and their prototypes, from ``docs (doc_id, text, lang)``."""
     known = docs.where("lang is not null and text is not null")
@@ -115,8 +121,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE) -> tuple[list[str],
     if not shares:
         return [], np.zeros((0, DIMENSIONS))
     part = F.create_map(*[F.lit(x) for pair in shares.items() for x in pair])
-    chosen = known.where(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.element_at(part, F.col("lang")) * 1_000_000)
+    chosen = known.where(sampled(F.element_at(part, F.col("lang")), "doc_id", "text"))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bundles: dict[str, np.ndarray] = {}

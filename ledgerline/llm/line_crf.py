@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm import crf
-from ledgerline.llm.hyperlang import _chunks, held_out
+from ledgerline.llm.hyperlang import _chunks, held_out, sampled
 from ledgerline.llm.segment_bpe import LETTER, NUMBER, SPACE, character_classes
 
 PER_CLASS = 2000
@@ -152,7 +152,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLA
     if set(counts) < {0, 1}:
         return docs.select("text", F.lit(0).alias("quality")).where("false")
     share = F.when(F.col("quality") == 1, per_class / counts[1]).otherwise(per_class / counts[0])
-    chosen = usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < share * 1_000_000)
+    chosen = usable.where(sampled(share, "doc_id"))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
 
 

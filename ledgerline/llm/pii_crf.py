@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.llm import crf
+from ledgerline.llm.hyperlang import sampled
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["O", *[f"{mark}-{kind}" for kind in KINDS for mark in "BI"]]
@@ -226,8 +227,7 @@ def labelled_table(docs: DataFrame, documents: int = SAMPLE_DOCUMENTS, chains: i
                 pa.array([w for w, _ in found], pa.list_(pa.string())),
                 pa.array([x for _, x in found], pa.list_(pa.int32()))], names=["words", "labels"])
 
-    number = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000))
-    rows = docs.select("doc_id", "text").where(number < int(share * 1_000_000)).select("text") \
+    rows = docs.select("doc_id", "text").where(sampled(F.lit(share), "doc_id", "text")).select("text") \
         .mapInArrow(run, "words array<string>, labels array<int>")
     return rows.orderBy(F.xxhash64("words"), "words", "labels").limit(chains)
 

@@ -194,3 +194,16 @@ def test_line_features_do_not_depend_on_their_company():
     alone = [line_crf.line_features([t]) for t in texts]
     assert np.allclose(table, np.concatenate([a[0] for a in alone]))
     assert table[5][8] == 1.0 and table[4][8] == 0.0
+
+
+def test_a_sample_keeps_its_expected_size_at_any_share(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.range(8_000_000)
+    for share in (1e-5, 2.5e-6, 5e-7):
+        expected = share * 8_000_000
+        chosen = rows.where(hyperlang.sampled(F.lit(share), "id")).count()
+        assert abs(chosen - expected) <= 4 * expected ** 0.5
+    assert rows.where(hyperlang.sampled(F.lit(1.0), "id")).count() == 8_000_000
+    assert rows.where(hyperlang.sampled(F.lit(5e-7), "id")).count() \
+        < rows.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < 0.5).count()

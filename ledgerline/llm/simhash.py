@@ -13,7 +13,9 @@ spanning forest of its links, never all pairs.
 
 Defined results: null and empty texts have fingerprint zero and are one group; rows
 that share a doc_id are rows of their own; a null doc_id is never the smallest unless
-its whole component has no id; other columns are ignored.
+its whole component has no id; of equal fingerprints (ties) any may stand for the others in a
+link; an empty table gives an empty result; very long texts are hashed whole, one at a time;
+other columns are ignored, or kept as they are by :func:`keep_first`, whatever their names.
 """
 
 from __future__ import annotations
@@ -193,12 +195,27 @@ def keep_first(docs: DataFrame, distance: int = DISTANCE, blocks: int = BLOCKS)
     """``docs`` with one document of each component, that with the smallest doc_id.
 
     Rows without an id come last. Of rows that share this doc_id, that with the smallest
-    hash of its text stays, and of rows equal in both any one."""
+    hash of its text stays, and of rows equal in both any one. Texts are shuffled only for
+    such repeated rows."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("first")
+    grouped = _grouped(docs, distance, blocks)
+    copies = grouped.groupBy("root", "doc_id", "text_hash").agg(F.count(F.lit(1)).alias("copies"))
     winners = stage(
-        _grouped(docs, distance, blocks).groupBy("root").agg(first)
-        .select(F.col("first.doc_id").alias("win_id"), F.col("first.text_hash").alias("win_hash")), "first-copies")
-    own = docs.columns
-    marked = docs.withColumn("sim_text_hash", F.xxhash64("text"))
-    same = marked["doc_id"].eqNullSafe(winners["win_id"]) & (marked["sim_text_hash"] == winners["win_hash"])
-    return marked.join(winners, same, "left_semi").dropDuplicates(["doc_id", "sim_text_hash"]).select(*own)
+        copies.groupBy("root").agg(first, F.min_by("copies", F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("copies"))
+        .select(F.col("first.doc_id").alias("win_id"), F.col("first.text_hash").alias("win_hash"), "copies"), "first-copies")
+
+    def rows(chosen: DataFrame) -> DataFrame:
+        same = docs["doc_id"].eqNullSafe(chosen["win_id"]) & (F.xxhash64(docs["text"]) == chosen["win_hash"])
+        return docs.join(chosen, same, "left_semi")
+
+    single, repeated = winners.where("copies = 1"), winners.where("copies > 1")
+    if repeated.limit(1).count() == 0:
+        return rows(single)
+    struct = F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("row")
+    one = rows(repeated).select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), struct) \
+        .dropDuplicates(["id", "hash"]).select("row.*")
+    return rows(single).unionByName(one)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"

@@ -101,10 +101,29 @@ def test_one_document_of_each_component_stays(spark):
     assert len(got) == len({c for c in groups.values()})
 
 
-def test_long_chains_of_links(spark):
-    edges = spark.createDataFrame([(n, n + 1) for n in range(300)] + [(1000, 1001)], "a long, b long")
+@pytest.mark.parametrize("order", ["random", "descending", "zero first"])
+def test_long_chains_of_links_need_few_rounds(spark, monkeypatch, order):
+    size = 10_000
+    path = list(range(size))
+    if order == "random":
+        random.Random(3).shuffle(path)
+    else:
+        path = [0, *range(size - 1, 0, -1)] if order == "zero first" else path[::-1]
+    staged, stage = [], components.stage
+    monkeypatch.setattr(components, "stage", lambda df, name: staged.append(name) or stage(df, name))
+    edges = spark.createDataFrame([*zip(path, path[1:]), (size, size + 1), (7, 7)], "a long, b long")
     roots = {r["node"]: r["root"] for r in components.smallest_reachable(edges).collect()}
-    assert roots == {**{n: 0 for n in range(301)}, 1000: 1000, 1001: 1000}
+    assert roots == {**{n: 0 for n in range(size)}, size: size, size + 1: size}
+    assert staged.count("hooked") <= 27  # 2 log2(size)
+
+
+def test_columns_of_any_name_stay(spark):
+    docs = documents(spark, [(1, "a b c d e", "en", "s"), (1, "a b c d e", "en", "s"), (2, "x y", "en", "s")])
+    named = docs.selectExpr("*", "'own' AS sim_text_hash", "7 AS `n.chars`", "8 AS copies", "9 AS win_id")
+    kept = simhash.keep_first(named)
+    assert kept.columns == named.columns
+    assert sorted((r["doc_id"], r["sim_text_hash"], r["n.chars"], r["copies"], r["win_id"]) for r in kept.collect()) == [
+        (1, "own", 7, 8, 9), (2, "own", 7, 8, 9)]
 
 
 def test_empty_tables(spark):

@@ -7,7 +7,8 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerline.llm import chat_template, containment, doubling, hyperlang, line_crf, pii_crf, robust_rules, segment_bpe, simhash, warc
+from ledgerline.llm import (
+    chat_template, containment, doubling, hyperlang, line_crf, periodic, pii_crf, robust_rules, segment_bpe, simhash, warc)
 from ledgerline.llm.shipping import ship
 from ledgerline.session import scratch_path
 
@@ -122,3 +123,8 @@ SELECT doc_id, len(w) AS n_words, len(gone) AS n_removed,
        sha256(array_to_string(list_filter(w, lambda x, i: NOT list_contains(gone, i)), ' ')) AS kept_sha256
 FROM k
 """
+
+
+@_query
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    return periodic.collapsed(_table(spark, folder, "documents"), periodic.planted)

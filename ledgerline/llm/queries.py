@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.llm import (
-    chat_template, containment, doubling, hyperlang, line_crf, periodic, pii_crf, robust_rules, segment_bpe, simhash, warc)
+    chat_template, containment, doubling, hyperlang, line_crf, periodic, pii_crf, prefix_trie, robust_rules, segment_bpe,
+    simhash, warc)
 from ledgerline.llm.shipping import ship
-from ledgerline.session import scratch_path
+from ledgerline.session import scratch_path, stage
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -128,3 +129,9 @@ FROM k
 @_query
 def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     return periodic.collapsed(_table(spark, folder, "documents"), periodic.planted)
+
+
+@_query
+def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = stage(prefix_trie.signed_turns(_table(spark, folder, "conversations")), "turns")
+    return prefix_trie.prefix_nodes(*prefix_trie.share_openings(turns))

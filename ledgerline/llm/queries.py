@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.llm import (
-    chat_template, containment, doubling, hyperlang, line_crf, periodic, pii_crf, prefix_trie, robust_rules, segment_bpe,
-    simhash, warc)
+    chat_template, containment, doubling, hyperlang, line_crf, page_template, periodic, pii_crf, prefix_trie, robust_rules,
+    segment_bpe, simhash, warc)
 from ledgerline.llm.shipping import ship
 from ledgerline.session import scratch_path, stage
 
@@ -135,3 +135,8 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
 def op12_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     turns = stage(prefix_trie.signed_turns(_table(spark, folder, "conversations")), "turns")
     return prefix_trie.prefix_nodes(*prefix_trie.share_openings(turns))
+
+
+@_query
+def op13_page_template(spark: SparkSession, folder: str) -> DataFrame:
+    return page_template.extracted(_table(spark, folder, "pages"))

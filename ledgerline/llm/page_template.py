@@ -284,10 +284,10 @@ def large_classes(found: DataFrame) -> DataFrame:
     hosts = found.select("host", "page").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("distinct_pages")) \
         .where(F.col("distinct_pages") >= LEAST_PAGES)
     rows = found.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
+    sizes = stage(hosts.join(rows, "host"), "host-sizes")
     vectors = found.mapInArrow(_vectors, "host string, token long, pages long, total long, vector long") \
         .groupBy("host", "token").agg(F.sum("pages").alias("pages"), F.sum("total").alias("total"), F.bit_xor("vector").alias("vector"))
-    sizes = hosts.join(rows, "host")
-    frequent = vectors.join(sizes, "host").where(F.col("pages") * 2 >= F.col("host_pages"))
+    frequent = _with_host(vectors, sizes, F.lit(2)).where(F.col("pages") * 2 >= F.col("host_pages"))
     return frequent.groupBy("host", F.xxhash64("pages", "total", "vector").alias("class")) \
         .agg(F.sort_array(F.collect_list("token")).alias("members")).where(F.size("members") >= CLASS_TOKENS)
 

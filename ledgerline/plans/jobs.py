@@ -21,16 +21,26 @@ from ledgerline.sinks.records import delimited_lines, fixed_width_lines
 from ledgerline.sinks.report import compare_report, write_report
 from ledgerline.sinks.tables import DuplicateKeyError, load_table
 from ledgerline.sources.framed import FramedFiles, data_lines, open_framed, plain_line
-from ledgerline.sources.records import malformed_lines, read_delimited, read_fixed_width
+from ledgerline.sources.multiline import read_records
+from ledgerline.sources.records import malformed_lines, read_delimited, read_fixed_width, well_formed
 from ledgerline.sources.tables import posts, row_count
 
 
+SHOWN_TEXT = 200  # characters of a malformed line in the error that names it
+
+
 # --- files -----------------------------------------------------------------
 
 def parse(lines: DataFrame, layout: FileLayout, keep: Sequence[str] = ()) -> DataFrame:
-    if layout.kind == DELIMITED:
-        return read_delimited(lines, layout.columns, layout.delimiter, layout.quote, layout.escape, keep)
-    return read_fixed_width(lines, layout.columns, layout.widths, keep)
+    """Rows of lines. With ``layout.validate`` a delimited line that does not have the
+    layout's fields fails the job that reads it."""
+    if layout.kind != DELIMITED:
+        return read_fixed_width(lines, layout.columns, layout.widths, keep)
+    if layout.validate:
+        whole = well_formed(len(layout.columns), layout.delimiter, layout.quote, layout.escape)
+        told = F.concat(F.lit(f"malformed line, not {len(layout.columns)} fields: "), F.left("value", F.lit(SHOWN_TEXT)))
+        lines = lines.withColumn("value", F.when(whole, F.col("value")).otherwise(F.raise_error(told).cast("string")))
+    return read_delimited(lines, layout.columns, layout.delimiter, layout.quote, layout.escape, keep, layout.multiline)
 
 
 def render_lines(rows: DataFrame, layout: FileLayout) -> DataFrame:
@@ -44,25 +54,42 @@ def read_file(spark: SparkSession, path: str, layout: FileLayout, values: Mappin
     """Records of a framed file. With ``layout.validate`` its header and trailer
     lines are checked first. ``keep`` may name ``unit`` and ``line_no``."""
     n_head, n_tail = layout.frame
-    if not (n_head or n_tail or keep):
+    if not (n_head or n_tail or keep or layout.multiline):
         lines = spark.read.text(path, lineSep="\n")  # nothing to count
         return parse(lines.select(plain_line(F.col("value")).alias("value")), layout)
     return _records(open_framed(spark, path, n_head, n_tail, layout.unit), layout, values, keep)
 
 
+def _counts(files: FramedFiles, layout: FileLayout) -> DataFrame:
+    """Lines per unit; where records may have several lines, a record counts as one, as it
+    does in the frame that :func:`write_file` writes."""
+    counts = files.counts()
+    if not layout.multiline:
+        return counts
+    found = read_records(files.spark, files.path, layout.quote, files.n_head, files.n_tail, layout.unit) \
+        .groupBy("unit").agg(F.count(F.lit(1)).alias("records"))
+    frame = F.col("header_lines") + F.col("trailer_lines")
+    return stage(counts.join(F.broadcast(found), "unit", "left").select(
+        "unit", (frame + F.coalesce("records", F.lit(0))).alias("file_lines"), "header_lines",
+        F.coalesce("records", F.lit(0)).alias("data_lines"), "trailer_lines"), "counts")
+
+
 def _records(files: FramedFiles, layout: FileLayout, values: Mapping[str, object] | None = None,
              keep: Sequence[str] = (), check_fields: bool = False) -> DataFrame:
     if layout.validate and any(layout.frame):
         checks = quality.validate_frame(
-            files.frame(), files.counts(), layout.headers, layout.trailers, layout.ignore, values
+            files.frame(), _counts(files, layout), layout.headers, layout.trailers, layout.ignore, values
         )
         quality.require(checks, f"frame of {files.path}")
-    lines = data_lines(files.lines(), *keep)
+    if layout.multiline:
+        lines = read_records(files.spark, files.path, layout.quote, files.n_head, files.n_tail, layout.unit).select(*keep, "value")
+    else:
+        lines = data_lines(files.lines(), *keep)
     if check_fields and layout.validate and layout.kind == DELIMITED:
         broken = malformed_lines(lines, len(layout.columns), layout.delimiter, layout.quote, layout.escape)
         found = broken.agg(F.count(F.lit(1)).alias("malformed_lines"), F.min("value").alias("first"))
         quality.require(found.withColumn("passed", F.col("malformed_lines") == 0), f"fields of {files.path}")
-    return parse(lines, layout, keep)
+    return parse(lines, replace(layout, validate=False) if check_fields else layout, keep)
 
 
 def write_file(rows: DataFrame, path: str, layout: FileLayout, values: Mapping[str, object] | None = None,
@@ -86,7 +113,7 @@ def write_file(rows: DataFrame, path: str, layout: FileLayout, values: Mapping[s
     write_lines(framed, path, single_file)
     if layout.validate:
         n_head, n_tail = layout.frame
-        counts = open_framed(spark, path, n_head, n_tail, "folder").counts()
+        counts = _counts(open_framed(spark, path, n_head, n_tail, "folder"), replace(layout, unit="folder"))
         quality.require(quality.reconcile_output(counts, row_count(rows), n_head, n_tail), f"counts of {path}")
     return path
 
@@ -134,7 +161,7 @@ def load_file(spark: SparkSession, source: str, layout: FileLayout, table: str,
     n_head, n_tail = layout.frame
     files = open_framed(spark, source, n_head, n_tail, layout.unit)
     rows = stage(_records(files, layout, values, check_fields=True), "load")
-    expected = quality.reconcile_input(files.counts(), n_head, n_tail).agg(F.sum("expected_data_lines"))
+    expected = quality.reconcile_input(_counts(files, layout), n_head, n_tail).agg(F.sum("expected_data_lines"))
     nothing = spark.range(1).select(F.lit(0).cast("bigint"))
     before = nothing
     # Before the table changes: the records are as many as the file's lines.

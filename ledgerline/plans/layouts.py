@@ -12,7 +12,7 @@ DELIMITED, FIXED_WIDTH = "delimited", "fixed_width"
 @dataclass(frozen=True)
 class FileLayout:
     """Records and frame of a file. ``unit`` says whether each file or each folder of
-    part files carries one frame."""
+    part files carries one frame; ``multiline`` that quoted fields may hold newlines."""
 
     columns: Sequence[str]
     kind: str = DELIMITED
@@ -28,8 +28,11 @@ class FileLayout:
     ignore: str | None = None
     validate: bool = False
     unit: str = "folder"
+    multiline: bool = False
 
     def __post_init__(self) -> None:
+        if self.multiline and not (self.kind == DELIMITED and self.quote):
+            raise ValueError("records over several lines are delimited and quoted")
         if self.kind not in (DELIMITED, FIXED_WIDTH):
             raise ValueError(f"unknown kind {self.kind!r}")
         if self.kind == FIXED_WIDTH and not len(self.columns) == len(self.widths) == len(self.alignments):

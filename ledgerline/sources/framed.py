@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from dataclasses import dataclass
 from urllib.parse import unquote
 
@@ -29,7 +30,7 @@ def plain_line(value: Column) -> Column:
     return F.when(value.endswith("\r"), F.left(value, F.length(value) - 1)).otherwise(value)
 
 
-def _in_order() -> list[Column]:
+def in_order() -> list[Column]:
     """Blocks of a unit in the order of their lines: by folder, the number in a part
     file's name (names alone stop sorting at part 100000), name and place."""
     number = F.regexp_extract("_file", r"/part-(\d+)[^/]*$", 1).try_cast("bigint")
@@ -41,14 +42,15 @@ def _as_glob(name: str) -> str:
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
 
 
-def _placed_lines(spark: SparkSession, path: str | list[str], unit: str) -> DataFrame:
+def raw_lines(spark: SparkSession, path: str | Sequence[str], unit: str) -> DataFrame:
+    """Lines as they are, with their unit, file, block and an id in the order of the scan."""
     owner = F.col("_metadata.file_path")
     if unit == "folder":
         owner = F.regexp_replace(owner, "/[^/]*$", "")
     elif unit != "file":
         raise ValueError(f"unit must be 'file' or 'folder', not {unit!r}")
     return spark.read.text(path, lineSep="\n").select(
-        plain_line(F.col("value")).alias("value"),
+        "value",
         owner.alias("unit"),
         F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
@@ -56,6 +58,10 @@ def _placed_lines(spark: SparkSession, path: str | list[str], unit: str) -> Data
     )
 
 
+def _placed_lines(spark: SparkSession, path: str | Sequence[str], unit: str) -> DataFrame:
+    return raw_lines(spark, path, unit).withColumn("value", plain_line(F.col("value")))
+
+
 @dataclass(frozen=True)
 class FramedFiles:
     """Files with a frame after one pass that counted the lines of each read block.
@@ -157,10 +163,10 @@ def open_framed(spark: SparkSession, path: str | list[str], n_head: int = 0, n_t
     source = _placed_lines(spark, path, unit)
     per_block = source.groupBy("unit", "_file", "_block").agg(*found)
     whole = Window.partitionBy("unit")
-    before = whole.orderBy(*_in_order()).rowsBetween(Window.unboundedPreceding, -1)
+    before = whole.orderBy(*in_order()).rowsBetween(Window.unboundedPreceding, -1)
     total = F.sum("_lines").over(whole)
     if drop_blank_last:
-        total = total - F.max_by("_blank_last", F.struct(*_in_order())).over(whole).cast("int")
+        total = total - F.max_by("_blank_last", F.struct(*in_order())).over(whole).cast("int")
     blocks = per_block.select(
         "unit", "_file", "_block", "_first", "_lines",
         F.coalesce(F.sum("_lines").over(before), F.lit(0)).alias("_offset"), total.alias("total_lines"),

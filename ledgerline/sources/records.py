@@ -24,9 +24,9 @@ def _one_unit(mark: str) -> bool:
 
 
 def read_delimited(lines: DataFrame, columns: Sequence[str], sep: str = ",", quote: str | None = None,
-                   escape: str = "\\", keep: Sequence[str] = ()) -> DataFrame:
+                   escape: str = "\\", keep: Sequence[str] = (), newlines: bool = False) -> DataFrame:
     """Delimited lines (column ``value``) to text columns; ``keep`` names columns of
-    ``lines`` to carry along.
+    ``lines`` to carry along. ``newlines`` keeps line ends inside fields as they are.
 
     With ``quote`` the fields are quoted, an inner quote is doubled and an inner
     escape character is escaped. Without it nothing is quoted and the escape
@@ -38,7 +38,8 @@ def read_delimited(lines: DataFrame, columns: Sequence[str], sep: str = ",", quo
             stand_in = quote
             value, quote = F.replace(value, F.lit(quote), F.lit(_QUOTE)), _QUOTE
         schema = ", ".join(f"`{c}` STRING" for c in columns)
-        options = {"sep": sep, "quote": quote, "escape": quote, "mode": "PERMISSIVE"}
+        options = {"sep": sep, "quote": quote, "escape": quote, "mode": "PERMISSIVE",
+                   "multiLine": str(newlines).lower()}
         row = lines.select(*keep, F.from_csv(value, schema, options).alias("row"))
         fields = [F.col("row").getField(c) for c in columns]
         if stand_in:
@@ -51,10 +52,9 @@ def read_delimited(lines: DataFrame, columns: Sequence[str], sep: str = ",", quo
     return row.select(*keep, *[_plain(f, escape, bool(quote)).alias(c) for f, c in zip(fields, columns)])
 
 
-def malformed_lines(lines: DataFrame, columns: int, sep: str = ",", quote: str | None = None,
-                    escape: str = "\\") -> DataFrame:
-    """The lines (column ``value``) that do not have just ``columns`` fields, or whose quotes
-    do not close or are followed by more than a separator."""
+def well_formed(columns: int, sep: str = ",", quote: str | None = None, escape: str = "\\") -> Column:
+    """Whether a line (column ``value``) has just ``columns`` fields, and quotes that close and
+    are followed by a separator or the end."""
     mark, one = re.escape(sep), len(sep) == 1
     if quote:
         inner = f"{re.escape(quote)}[^{re.escape(quote)}]*+(?:{re.escape(quote * 2)}[^{re.escape(quote)}]*+)*+{re.escape(quote)}"
@@ -65,7 +65,14 @@ def malformed_lines(lines: DataFrame, columns: int, sep: str = ",", quote: str |
         field = f"{plain}(?:{re.escape(escape)}.{plain})*+"
     else:
         field = f"[^{mark}]*+" if one else f"(?:(?!{mark}).)*+"
-    return lines.filter(~F.col("value").rlike(f"(?s)^{field}(?:{mark}{field}){{{columns - 1}}}$"))
+    return F.col("value").rlike(f"(?s)^{field}(?:{mark}{field}){{{columns - 1}}}$")
+
+
+def malformed_lines(lines: DataFrame, columns: int, sep: str = ",", quote: str | None = None,
+                    escape: str = "\\") -> DataFrame:
+    """The lines (column ``value``) that do not have just ``columns`` fields, or whose quotes
+    do not close or are followed by more than a separator."""
+    return lines.filter(~well_formed(columns, sep, quote, escape))
 
 
 def _plain(field: Column, escape: str, quoted: bool) -> Column:

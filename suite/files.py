@@ -13,6 +13,7 @@ from ledgerline.session import scratch_path
 from ledgerline.sinks.framed import fill_column_names, frame_output, write_lines
 from ledgerline.sinks.records import delimited_lines, fixed_width_lines
 from ledgerline.sources.framed import open_framed, sorted_data_lines
+from ledgerline.sources.multiline import read_delimited_multiline
 from ledgerline.sources.records import (
     malformed_lines, normalise_delimiters, read_delimited, read_fixed_width, split_normalised,
 )
@@ -129,6 +130,20 @@ def read_delimited_quoted_text(spark, folder):
     return read_delimited(lines, columns, quote='"')
 
 
+@query("read_delimited_multiline", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, nullif("text", '') AS "text", '"' || lang || chr(10) || source || '"' AS origin,
+  1 + length("text") - length(replace("text", chr(10), '')) + 1 AS lines FROM documents""")
+def read_delimited_multiline_query(spark, folder):
+    """Whole texts with their newlines, and a field of quotes and a newline, through a framed file."""
+    documents = table(spark, folder, "documents").select("doc_id", "text", F.concat(
+        F.lit('"'), "lang", F.lit("\n"), "source", F.lit('"')).alias("origin"))
+    columns = documents.columns
+    framed = frame_output(delimited_lines(documents, columns, quote='"'), ['DOCUMENTS "', "AUTOPOPULATECOLNAMES"],
+                          ["RECORDCOUNT=¶DATALINECOUNT•int•08d¶"])
+    path = write_lines(framed, scratch_path(spark, "document-file"))
+    return read_delimited_multiline(spark, path, columns, n_head=2, n_tail=1, unit="folder", keep=["lines"])
+
+
 @query("read_delimited_plain_text", _TEXT_RECORD)
 def read_delimited_plain_text(spark, folder):
     columns = ["doc_id", "text", "lang", "source"]

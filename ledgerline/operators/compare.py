@@ -8,7 +8,7 @@ NULL keys equal to each other, and no pairs where a key repeats.
 made from hashes of its rows and says what happened to the key. ``align`` carries
 the rows themselves. A key is meant to name one row; where it does not, ``align``
 keeps the smallest row and the number of rows, and a difference in any copy shows
-in the status.
+in the status; ``ledgerline.operators.copies`` compares such rows copy by copy.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ledgerline.functions.lines import all_of, any_of
 from ledgerline.functions.rowtext import cell_text, key_text, value_text
 from ledgerline.operators.quality import side_by_side
+from ledgerline.operators.numbering import repeated
 from ledgerline.operators.skew import common_type, fits_broadcast, key_presence_join, row_width
 from ledgerline.session import stage
 
@@ -240,8 +241,7 @@ def matching_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     both = presence(left, right, ["concatenated_keys", "hash_value"])
     # As in an SQL join, a NULL equals nothing.
     shared = both.filter("left_rows > 0 AND right_rows > 0 AND concatenated_keys IS NOT NULL AND hash_value IS NOT NULL")
-    return shared.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("left_rows")))).withColumn(
-        "_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("right_rows")))).select("concatenated_keys", "hash_value")
+    return repeated(repeated(shared, F.col("left_rows")), F.col("right_rows")).select("concatenated_keys", "hash_value")
 
 
 def outer_diff(pairs: DataFrame) -> DataFrame:

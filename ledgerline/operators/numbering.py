@@ -32,3 +32,16 @@ def number_rows(df: DataFrame, order: Sequence[Column | str], name: str = "row_n
     )
     numbered = staged.join(F.broadcast(offsets), "_part")
     return numbered.select(*df.columns, (F.col("_offset") + F.col("_at") + 1).alias(name))
+
+
+_REPEAT = 4096  # longest array made to repeat a row; two of them repeat it 16 million times
+
+
+def repeated(df: DataFrame, times: Column, name: str = "copy") -> DataFrame:
+    """Each row ``times`` times, with ``name`` from 0. Two short arrays are made in turn, never
+    one as long as the number of copies; beyond 16 million of one row the first grows."""
+    outer = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((times - 1) / F.lit(_REPEAT))))
+    spread = df.withColumn("_times", times).where("_times > 0").withColumn("_outer", outer)
+    last = F.least(F.lit(_REPEAT).cast("bigint"), F.col("_times") - F.col("_outer") * _REPEAT) - 1
+    return spread.withColumn("_inner", F.explode(F.sequence(F.lit(0).cast("bigint"), last))).withColumn(
+        name, F.col("_outer") * _REPEAT + F.col("_inner")).drop("_times", "_outer", "_inner")

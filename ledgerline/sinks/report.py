@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerline.functions.rowtext import cell_text, key_text
 from ledgerline.operators import compare as cmp
+from ledgerline.operators.copies import differing_rows
 from ledgerline.operators.quality import side_by_side
 from ledgerline.operators.skew import fits_broadcast, key_presence_join
 from ledgerline.session import stage
@@ -43,14 +44,14 @@ def compare_report(left: DataFrame, right: DataFrame, keys: Sequence[str], colum
     """Sections of the report.
 
     Every section is made from the rows that differ, which are staged, and from
-    plain row counts of the two tables.
+    plain row counts of the two tables. Where keys repeat, copies are compared one by one.
     """
     keys = list(keys)
     columns = list(columns or cmp.common_columns(left, right))
     columns = [*keys, *[c for c in columns if c not in keys]]
     left, right = cmp.same_types(left, right, columns)
     noted = cmp.align_differing(left, right, keys, columns, unique_keys)
-    differing = noted.filter(F.col("status") != cmp.SAME)
+    differing = noted.filter(F.col("status") != cmp.SAME) if unique_keys else differing_rows(left, right, noted, keys, columns)
     repeated = noted.filter((F.col("left_rows") > 1) | (F.col("right_rows") > 1))
 
     changed = differing.agg(F.count_if(F.col("status") == cmp.CHANGED).alias("changed"))

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("comparing", "files", "loading", "searching", "jobs")
+MODULES = ("comparing", "copies", "files", "loading", "searching", "jobs")
 
 
 def _load():

@@ -193,13 +193,14 @@ def test_report(spark, folder):
     sections = compare_report(*sides(spark, left, right), ["k"], meta={"Name": "n"})
     write_report(sections, folder)
     assert rows(read_report(spark, folder, META)) == [
-        ("Name", "n"), ("OverallCombinedMismatchCount", "3"), ("OverallCommonCount", "4")]
+        ("Name", "n"), ("OverallCombinedMismatchCount", "2"), ("OverallCommonCount", "4")]
     summary = {r["column_name"]: r for r in read_report(spark, folder, SUMMARY).collect()}
     assert (summary["a"]["total_left"], summary["a"]["total_right"]) == (8, 7)
     assert summary["a"]["mismatched_flag"] and summary["a"]["extra_in_left_flag"]
     assert rows(read_report(spark, folder, DUPLICATES)) == [("9", 2, 1)]
     cells = read_report(spark, folder, MISMATCHES)
-    assert cells.filter("absent_flag").count() == 6
+    assert cells.filter("absent_flag").count() == 9  # of keys 4 and 5, and of the copy (9, "q")
+    assert (summary["a"]["extra_in_left"], summary["b"]["mismatched"]) == (2, 4)
     passed = {r["concatenated_keys"] for r in read_report(spark, folder, PASSED).collect()}
     assert passed == {"", "2", "6"}
 

@@ -382,9 +382,10 @@ def templates(pages: DataFrame) -> DataFrame:
     valid = stage(
         classes.join(judged.where("sound AND low = high").select("host", "class"), ["host", "class"])
         .groupBy("host").agg(F.flatten(F.collect_list("members")).alias("known")), "valid")
-    figures = _with_host(found, valid, F.size("known")).mapInArrow(
-        _slot_figures, "host string, inside long, words long, links long, constant long") \
-        .groupBy("host", "inside").agg(F.sum("words").alias("words"), F.sum("links").alias("links"), F.sum("constant").alias("constant"))
+    figures = stage(_with_host(found, valid, F.size("known")).mapInArrow(
+        _slot_figures, "host string, inside long, words long, links long, constant long")
+        .groupBy("host", "inside").agg(F.sum("words").alias("words"), F.sum("links").alias("links"), F.sum("constant").alias("constant")),
+        "slot-figures")
     text = (F.col("inside") != 0) & (F.col("links") <= LINK_SHARE * F.col("words")) & (F.col("words") > 0)
     best = figures.groupBy("host").agg(
         F.max(F.when(text, F.col("words"))).alias("best"),

@@ -91,8 +91,8 @@ def safe_hash(df: DataFrame, columns: Sequence[str], scale: int | None = None) -
 
 
 def sketch(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = None,
-           form: str = "compatible", scale: int | None = None) -> DataFrame:
-    """Two columns per row: ``concatenated_keys`` and ``hash_value``.
+           form: str = "compatible", scale: int | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """Two columns per row: ``concatenated_keys`` and ``hash_value``; ``keep`` names more.
 
     ``compatible`` joins plain text, ``typed`` uses the type-aware text, ``safe``
     marks lengths and NULLs so that different rows cannot join to equal text.
@@ -104,4 +104,5 @@ def sketch(df: DataFrame, keys: Sequence[str], columns: Sequence[str] | None = N
         "typed": (typed_key, typed_hash),
         "safe": (safe_key, safe_hash),
     }[form]
-    return df.select(key_of(df, keys, scale=scale).alias("concatenated_keys"), hash_of(df, columns, scale).alias("hash_value"))
+    return df.select(key_of(df, keys, scale=scale).alias("concatenated_keys"), hash_of(df, columns, scale).alias("hash_value"),
+                     *keep)

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.functions.rowtext import key_text, row_md5, row_sha256, sketch, typed_hash, typed_key
 from ledgerline.operators import compare as cmp
+from ledgerline.operators.digest_tree import compare_by_digest_tree as digest_tree_diff, write_snapshot
 from ledgerline.operators.search import pivot_date, pivot_date_filter
 from ledgerline.operators.quality import predicate_is_valid
 from ledgerline.session import scratch_path
@@ -93,6 +94,17 @@ def outer_diff(spark, folder):
     return cmp.outer_diff(cmp.pair_sketches(*_sketches(spark, folder)))
 
 
+@query("compare_by_digest_tree", f"""WITH {pair.SKETCHES}
+SELECT concatenated_keys, lk.hash_value AS left_hash, rk.hash_value AS right_hash
+FROM lk FULL JOIN rk USING (concatenated_keys) WHERE lk.hash_value IS DISTINCT FROM rk.hash_value""")
+def compare_by_digest_tree(spark, folder):
+    """From stored digests, down into the ranges that differ."""
+    paths = [scratch_path(spark, "snapshot") for _ in range(2)]
+    for side, path in zip(both_sides(spark, folder), paths):
+        write_snapshot(side, KEYS, path, COLUMNS, form="compatible")
+    return digest_tree_diff(spark, *paths)
+
+
 @query("extra_left", f"WITH {pair.SKETCHES} SELECT * FROM lk WHERE concatenated_keys NOT IN "
                      "(SELECT concatenated_keys FROM rk)")
 def extra_left(spark, folder):

@@ -18,6 +18,9 @@ DATE_FORMATS = (
     "DD-MM-YYYY", "YYYY-DD-MM", "MM/DD/YY", "DD/MM/YY", "YY/MM/DD",
 )
 
+# Tokens that stand for the time of the job, unless a value is given.
+CURRENT = ("CDATE", "CDATETIME", "CTIME")
+
 _DATE_PARTS = {
     "YYYY": "yyyy", "YY": "yy", "MM": "MM", "M": "M", "DD": "dd", "D": "d",
     "HH": "HH", "H": "H", "hh": "hh", "h": "h", "mm": "mm", "m": "m", "ss": "ss", "s": "s", "A": "a",
@@ -71,27 +74,30 @@ def _as_column(value: object) -> Column:
 
 
 def render(template: str, values: Mapping[str, object]) -> Column:
-    """The template as one text expression; values may be columns or constants."""
+    """The template as one text expression; values may be columns or constants. ``CDATE``,
+    ``CDATETIME`` and ``CTIME`` are the time of the query, in the session's zone."""
     parts, at = [], 0
     for match in _TOKEN.finditer(template):
         if match.start() > at:
             parts.append(F.lit(template[at:match.start()]))
         name, kind, spec = match.groups()
-        parts.append(format_value(_as_column(values[name]), kind, spec))
+        value = F.current_timestamp() if name in CURRENT and name not in values else _as_column(values[name])
+        parts.append(format_value(value, kind, spec))
         at = match.end()
     if at < len(template) or not parts:
         parts.append(F.lit(template[at:]))
     return F.concat(*parts)
 
 
-def file_name(template: str, business_date: dt.date, extension: str = "") -> str:
-    """File name of a job on the driver; only date tokens of ``BDATE`` occur there."""
+def file_name(template: str, business_date: dt.date, extension: str = "", now: dt.datetime | None = None) -> str:
+    """File name of a job on the driver; only date tokens of ``BDATE`` and of the current time
+    occur there."""
+    codes = {"yyyy": "%Y", "yy": "%y", "MM": "%m", "dd": "%d", "HH": "%H", "hh": "%I", "mm": "%M", "ss": "%S", "a": "%p"}
+    any_code = re.compile("|".join(codes))
+
     def one(match: re.Match) -> str:
-        if match[1] != "BDATE" or match[2] != "date":
+        if match[1] not in ("BDATE", *CURRENT) or match[2] != "date":
             raise ValueError(f"unknown file name token {match[0]!r}")
-        names = {"yyyy": "%Y", "yy": "%y", "MM": "%m", "dd": "%d"}
-        text = spark_date_pattern(match[3])
-        for letters, code in names.items():
-            text = text.replace(letters, business_date.strftime(code))
-        return text
+        moment = business_date if match[1] == "BDATE" else now or dt.datetime.now()
+        return any_code.sub(lambda code: moment.strftime(codes[code[0]]), spark_date_pattern(match[3]))
     return _TOKEN.sub(one, template) + extension

@@ -96,7 +96,8 @@ def write_file(rows: DataFrame, path: str, layout: FileLayout, values: Mapping[s
                order: Sequence[str] = (), costly: bool = False, single_file: bool = False) -> str:
     """Write rows as a framed file and, with ``layout.validate``, count it again.
 
-    Lines come in the order of ``order``, else as the rows come. Rows are read
+    Lines come in the order of ``order``, else as the rows come. ``FILENAME`` in the frame is
+    the last part of ``path``. Rows are read
     twice, once for the counts in the frame; ``costly`` stages them in between, for
     rows that come out of a join.
     """
@@ -109,7 +110,8 @@ def write_file(rows: DataFrame, path: str, layout: FileLayout, values: Mapping[s
                           layout.header_delimiter, layout.header_quote)
         for h in layout.headers
     ]
-    framed = frame_output(render_lines(placed, layout), headers, layout.trailers, values)
+    named = {"FILENAME": path.rstrip("/").rsplit("/", 1)[-1], **(values or {})}
+    framed = frame_output(render_lines(placed, layout), headers, layout.trailers, named)
     write_lines(framed, path, single_file)
     if layout.validate:
         n_head, n_tail = layout.frame

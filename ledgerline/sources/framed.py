@@ -37,7 +37,7 @@ def in_order() -> list[Column]:
     return [F.regexp_replace("_file", "/[^/]*$", ""), F.coalesce(number, F.lit(-1)), F.col("_file"), F.col("_block")]
 
 
-def _as_glob(name: str) -> str:
+def as_glob(name: str) -> str:
     """A path that matches just this file where paths are patterns."""
     return re.sub(r"([\[\]{}*?\\])", r"\\\1", name)
 
@@ -110,7 +110,7 @@ class FramedFiles:
         if size["some"] > NAMED_FILES or size["some"] * 4 > size["all"]:
             return self.lines().filter(is_frame)
         chosen = files.filter(holds_frame)
-        names = [_as_glob(unquote(row["_file"])) for row in chosen.select("_file").collect()]
+        names = [as_glob(unquote(row["_file"])) for row in chosen.select("_file").collect()]
         within = open_framed(self.spark, names).lines().select(
             F.col("unit").alias("_file"), F.col("line_no").alias("_line"), "value"
         )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ledgerline.operators import dedupe, quality
 from ledgerline.session import scratch_path
-from ledgerline.sinks import tables as load
+from ledgerline.sinks import tables as load, versions
 from ledgerline.sources.tables import date_series, extract_query, extract_table, posts, row_count
 from suite.registry import query, table
 
@@ -112,6 +112,13 @@ def merge_into_stored_table(spark, folder):
     return load.load_table(spark, path, new_parts(spark, folder), "merge_and_load", ["p_partkey"])
 
 
+@query("merge_touched_files", _MERGED)
+def merge_touched_files(spark, folder):
+    path = scratch_path(spark, "part-versions")
+    versions.create_table(small_parts(spark, folder).repartitionByRange(4, "p_partkey"), path, ["p_partkey"])
+    return versions.merge_touched_files(spark, path, new_parts(spark, folder), ["p_partkey"])
+
+
 @query("merge_repeated_target_keys", """
 SELECT l.l_orderkey, coalesce(o.o_totalprice, l.l_extendedprice) AS l_extendedprice
 FROM lineitem l LEFT JOIN orders o ON l.l_orderkey = o.o_orderkey AND o.o_orderstatus = 'F'

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ledgerline.operators import reports, search
+from ledgerline.operators import paging, reports, search
 from ledgerline.operators.numbering import number_rows
 from ledgerline.sources import synthetic as syn
 from suite.files import CUSTOMER
@@ -59,6 +59,16 @@ def history_page(spark, folder):
     )
 
 
+@query("deep_history_page", """
+SELECT l_orderkey, l_shipdate, l_extendedprice, l_linenumber FROM lineitem
+ORDER BY l_shipdate DESC, l_orderkey, l_extendedprice, l_linenumber LIMIT 33 OFFSET 39567""")
+def deep_history_page(spark, folder):
+    """A page far into all line items."""
+    return paging.deep_history_page(
+        table(spark, folder, "lineitem"), ["l_orderkey", "l_shipdate", "l_extendedprice", "l_linenumber"],
+        order=[1, 1, 0, 0], number=1200, size=33)
+
+
 @query("history_all", """
 SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_name LIKE '%1%'""")
 def history_all(spark, folder):

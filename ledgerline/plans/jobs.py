@@ -9,7 +9,7 @@ import importlib
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerline.operators import compare as cmp
 from ledgerline.operators import quality
@@ -20,7 +20,7 @@ from ledgerline.sinks.framed import fill_column_names, frame_output, write_lines
 from ledgerline.sinks.records import delimited_lines, fixed_width_lines
 from ledgerline.sinks.report import compare_report, write_report
 from ledgerline.sinks.tables import DuplicateKeyError, load_table
-from ledgerline.sources.framed import FramedFiles, data_lines, open_framed, plain_line
+from ledgerline.sources.framed import DATA, FramedFiles, data_lines, open_framed, plain_line
 from ledgerline.sources.multiline import read_records
 from ledgerline.sources.records import malformed_lines, read_delimited, read_fixed_width, well_formed
 from ledgerline.sources.tables import posts, row_count
@@ -32,15 +32,21 @@ SHOWN_TEXT = 200  # characters of a malformed line in the error that names it
 # --- files -----------------------------------------------------------------
 
 def parse(lines: DataFrame, layout: FileLayout, keep: Sequence[str] = ()) -> DataFrame:
-    """Rows of lines. With ``layout.validate`` a delimited line that does not have the
-    layout's fields fails the job that reads it."""
-    if layout.kind != DELIMITED:
-        return read_fixed_width(lines, layout.columns, layout.widths, keep)
-    if layout.validate:
-        whole = well_formed(len(layout.columns), layout.delimiter, layout.quote, layout.escape)
-        told = F.concat(F.lit(f"malformed line, not {len(layout.columns)} fields: "), F.left("value", F.lit(SHOWN_TEXT)))
-        lines = lines.withColumn("value", F.when(whole, F.col("value")).otherwise(F.raise_error(told).cast("string")))
-    return read_delimited(lines, layout.columns, layout.delimiter, layout.quote, layout.escape, keep, layout.multiline)
+    if layout.kind == DELIMITED:
+        return read_delimited(lines, layout.columns, layout.delimiter, layout.quote, layout.escape, keep, layout.multiline)
+    return read_fixed_width(lines, layout.columns, layout.widths, keep)
+
+
+def _checked(lines: DataFrame, layout: FileLayout, among: Column | None = None) -> DataFrame:
+    """``lines``; with ``layout.validate`` a delimited one that does not have the layout's fields
+    fails the job that reads it. ``among`` says which lines are records; it is part of the
+    check, because Spark may test a value before it leaves out other lines."""
+    if not layout.validate or layout.kind != DELIMITED:
+        return lines
+    whole = well_formed(len(layout.columns), layout.delimiter, layout.quote, layout.escape)
+    told = F.concat(F.lit(f"malformed line, not {len(layout.columns)} fields: "), F.left("value", F.lit(SHOWN_TEXT)))
+    fails = ~whole if among is None else among & ~whole
+    return lines.withColumn("value", F.when(fails, F.raise_error(told).cast("string")).otherwise(F.col("value")))
 
 
 def render_lines(rows: DataFrame, layout: FileLayout) -> DataFrame:
@@ -56,7 +62,7 @@ def read_file(spark: SparkSession, path: str, layout: FileLayout, values: Mappin
     n_head, n_tail = layout.frame
     if not (n_head or n_tail or keep or layout.multiline):
         lines = spark.read.text(path, lineSep="\n")  # nothing to count
-        return parse(lines.select(plain_line(F.col("value")).alias("value")), layout)
+        return parse(_checked(lines.select(plain_line(F.col("value")).alias("value")), layout), layout)
     return _records(open_framed(spark, path, n_head, n_tail, layout.unit), layout, values, keep)
 
 
@@ -83,13 +89,15 @@ def _records(files: FramedFiles, layout: FileLayout, values: Mapping[str, object
         quality.require(checks, f"frame of {files.path}")
     if layout.multiline:
         lines = read_records(files.spark, files.path, layout.quote, files.n_head, files.n_tail, layout.unit).select(*keep, "value")
+        lines = lines if check_fields else _checked(lines, layout)
     else:
-        lines = data_lines(files.lines(), *keep)
+        lines = files.lines() if check_fields else _checked(files.lines(), layout, F.col("section") == DATA)
+        lines = data_lines(lines, *keep)
     if check_fields and layout.validate and layout.kind == DELIMITED:
         broken = malformed_lines(lines, len(layout.columns), layout.delimiter, layout.quote, layout.escape)
         found = broken.agg(F.count(F.lit(1)).alias("malformed_lines"), F.min("value").alias("first"))
         quality.require(found.withColumn("passed", F.col("malformed_lines") == 0), f"fields of {files.path}")
-    return parse(lines, replace(layout, validate=False) if check_fields else layout, keep)
+    return parse(lines, layout, keep)
 
 
 def write_file(rows: DataFrame, path: str, layout: FileLayout, values: Mapping[str, object] | None = None,

@@ -9,7 +9,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from ledgerline.operators.numbering import number_rows
+from ledgerline.operators.numbering import spread_places
 from ledgerline.operators.skew import broadcast_if_small
 from ledgerline.session import stage
 
@@ -187,4 +187,4 @@ def data_lines(framed: DataFrame, *keep: str) -> DataFrame:
 
 def sorted_data_lines(framed: DataFrame) -> DataFrame:
     """Data lines in binary text order with their place, as ``place, value``."""
-    return number_rows(data_lines(framed), ["value"], "place").select("place", "value")
+    return spread_places(data_lines(framed), ["value"]).select("place", "value")

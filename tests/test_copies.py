@@ -8,7 +8,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from conftest import rows
 from ledgerline.operators import compare as cmp
 from ledgerline.operators import copies, skew
-from ledgerline.operators.numbering import repeated
+from ledgerline.operators.numbering import repeated, spread_places
 from pyspark.sql import functions as F
 
 SCHEMA = "k long, a string, b double"
@@ -93,3 +93,18 @@ def test_rows_are_repeated_without_long_arrays(spark):
     df = spark.createDataFrame([("a", 0), ("b", 1), ("c", 4096), ("d", 4097), ("e", 10_000)], "v string, n long")
     got = repeated(df, F.col("n")).groupBy("v").agg(F.count("*").alias("n"), F.min("copy"), F.max("copy"), F.count_distinct("copy"))
     assert rows(got) == [("b", 1, 0, 0, 1), ("c", 4096, 0, 4095, 4096), ("d", 4097, 0, 4096, 4097), ("e", 10_000, 0, 9_999, 10_000)]
+
+
+def test_places_of_a_line_on_a_third_of_the_rows(spark, request):
+    """Places are those of a sort, and no task holds all copies of one line."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    request.addfinalizer(lambda: spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true"))
+    lines = [(f"line {n % 400}",) for n in range(20_000)] + [("hot",)] * 10_000 + [(None,)] * 3
+    df = spark.createDataFrame(lines, "value string").repartition(5)
+    placed = spread_places(df, ["value"])
+    got = sorted((r["place"], r["value"]) for r in placed.collect())
+    values = sorted((v for v, in lines), key=lambda v: (v is not None, v or ""))
+    assert got == list(enumerate(values, 1))
+    hot = placed.where("value = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+    assert max(r["count"] for r in hot) <= 2 * 4096 and len(hot) > 1
+    assert spread_places(df.where("false"), ["value"]).count() == 0

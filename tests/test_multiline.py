@@ -127,5 +127,11 @@ def test_surplus_and_missing_fields_stop_every_job(spark, tmp_path):
     from ledgerline.plans.layouts import CompareSpec
     with pytest.raises(Exception, match="malformed"):
         jobs.compare_files(spark, source, layout, source, layout, CompareSpec("c", ["id"]), str(tmp_path / "report"))
+    framed = FileLayout(["id", "x"], quote='"', headers=["A,B,C"], trailers=["END"], validate=True)
+    (tmp_path / "framed").mkdir()
+    (tmp_path / "framed" / "part-0.csv").write_text('A,B,C\n"1","x"\n"2","y"\nEND\n')
+    both = jobs.combine_files(spark, str(tmp_path / "framed"), framed, str(tmp_path / "framed"), framed,
+                              lambda a, b: a.join(b.select("id"), "id"), str(tmp_path / "joined"), fixed)
+    assert spark.read.text(both).count() == 2  # lines of the frame are no malformed records
     lenient = FileLayout(["id", "x"], quote='"')
     assert rows(jobs.read_file(spark, source, lenient)) == [("1", "x"), ("2", "b"), ("3", None)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 
 from ledgerline.functions.lines import pad_cell
 
+# The marks around a token and between its parts.
 GROUP_MARK, PART_MARK = "¶", "•"
 
 # The accepted date formats of a slice.

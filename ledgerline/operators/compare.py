@@ -24,6 +24,7 @@ from ledgerline.operators.numbering import repeated
 from ledgerline.operators.skew import common_type, fits_broadcast, key_presence_join, row_width
 from ledgerline.session import stage
 
+# Fixed value: what a report shows for the cell of a side that has no such row.
 ABSENT = "Does_Not_Exists"
 LEFT_ONLY, RIGHT_ONLY, CHANGED, SAME = "left_only", "right_only", "changed", "same"
 

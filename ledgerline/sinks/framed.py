@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from ledgerline.functions.tokens import render
 
+# Fixed value: the placeholder for column names in a header.
 COLUMN_NAMES = "AUTOPOPULATECOLNAMES"
 
-# Names under which the counts of the output can be used in header and trailer.
+# Names under which the counts of the output can be used in header and trailer.
 DATA_LINES, FILE_LINES = "DATALINECOUNT", "EXPECTEDFILELINECOUNT"
 
 
@@ -28,7 +29,7 @@ def frame_output(lines: DataFrame, headers: Sequence[str] = (), trailers: Sequen
     """``value`` rows: rendered headers, the data lines as they come, rendered trailers.
 
     A union keeps the order of its inputs and of their partitions, so writing the
-    result gives part files that, in name order, are the framed file; no line
+    result gives part files that, in the order of their numbers, are the framed file; no line
     moves between tasks. The counts come from an aggregate of ``lines``, for which
     Spark prunes every column; give a staged input when it is costly to make.
     """

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Fixed value: what separators become in normalised lines.
 UNIT_SEPARATOR = "␟"
 
 # Stand-ins inside a line while it is split; both are Unicode noncharacters.

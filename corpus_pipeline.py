@@ -1,4 +1,10 @@
-"""A corpus from raw documents to tokens, as stages that each read what the one before kept."""
+"""A corpus from raw documents to tokens, as stages that each read what the one before kept.
+
+Defined results: each stage does with nulls, empty and very long texts, ties, repeated rows,
+empty tables and other columns what the module of its operator states. A stage that filters
+keeps the columns of its input as they are; the one for personal data changes texts only; the
+last returns counts and digests.
+"""
 
 from __future__ import annotations
 

@@ -204,14 +204,17 @@ def intersect_rows(left: DataFrame, right: DataFrame, columns: Sequence[str]) ->
     return found.filter((F.col("left_rows") > 0) & (F.col("right_rows") > 0)).select(*columns)
 
 
-def extra_rows(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """All rows of ``left`` whose key ``right`` does not have."""
-    return key_presence_join(left, right.select(*keys), keys, "left_anti")
+def extra_rows(left: DataFrame, right: DataFrame, keys: Sequence[str], costly: bool = False) -> DataFrame:
+    """All rows of ``left`` whose key ``right`` does not have. ``costly`` states that
+    ``left`` is more than a scan of stored rows; it is then evaluated once."""
+    return key_presence_join(left, right.select(*keys), keys, "left_anti", costly=costly)
 
 
-def fetch_by_keys(df: DataFrame, key_list: DataFrame, keys: Sequence[str], limit: int | None = None) -> DataFrame:
-    """Rows of ``df`` whose key is in ``key_list``, in key order."""
-    found = key_presence_join(df, key_list, keys, "left_semi")
+def fetch_by_keys(df: DataFrame, key_list: DataFrame, keys: Sequence[str], limit: int | None = None,
+                  costly: bool = False) -> DataFrame:
+    """Rows of ``df`` whose key is in ``key_list``, in key order; ``costly`` as in
+    :func:`extra_rows`."""
+    found = key_presence_join(df, key_list, keys, "left_semi", costly=costly)
     ordered = found.orderBy(*keys)
     return ordered.limit(limit) if limit else ordered
 

@@ -59,9 +59,10 @@ def paged_report(df: DataFrame, columns: Sequence[str], order: Sequence[str]) ->
     return numbered.select("row_no", F.posexplode(lines).alias("part", "line"))
 
 
-def order_total(items: DataFrame, products: DataFrame) -> DataFrame:
+def order_total(items: DataFrame, products: DataFrame, costly: bool = False) -> DataFrame:
     """Sum of price x quantity per order; ``items`` has ``order_id, product_id,
-    quantity`` and ``products`` has ``product_id, price``, one row per product."""
-    priced = lookup_join(items.select("order_id", "product_id", "quantity"), products, ["product_id"])
+    quantity`` and ``products`` has ``product_id, price``, one row per product.
+    ``costly`` states that they are more than scans; each is then evaluated once."""
+    priced = lookup_join(items.select("order_id", "product_id", "quantity"), products, ["product_id"], costly=costly)
     amount = F.col("price").cast("decimal(15,2)") * F.col("quantity").cast("decimal(10,0)")
     return priced.groupBy("order_id").agg(F.sum(amount).alias("total_price"))

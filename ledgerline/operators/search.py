@@ -99,11 +99,12 @@ def pivot_date_filter(df: DataFrame, column: str, day: Column, date_format: str)
     return df.filter(value == F.date_format(day, spark_date_pattern(date_format)))
 
 
-def orders_with_users(orders: DataFrame, users: DataFrame) -> DataFrame:
+def orders_with_users(orders: DataFrame, users: DataFrame, costly: bool = False) -> DataFrame:
     """``order_id, batch_id, name, email`` of each order; ``orders`` has ``id, user_id,
-    batch_id`` and ``users`` has ``id, name, email``, one row per user."""
+    batch_id`` and ``users`` has ``id, name, email``, one row per user. ``costly`` states
+    that they are more than scans; each is then evaluated once."""
     named = users.select(F.col("id").alias("user_id"), "name", "email")
-    return lookup_join(orders, named, ["user_id"]).select(F.col("id").alias("order_id"), "batch_id", "name", "email")
+    return lookup_join(orders, named, ["user_id"], costly=costly).select(F.col("id").alias("order_id"), "batch_id", "name", "email")
 
 
 def only_row(df: DataFrame, what: str) -> DataFrame:

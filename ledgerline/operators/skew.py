@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.lines import all_of
+from ledgerline.session import stage
 
 # Largest side that may be broadcast, by row count times declared row width.
 BROADCAST_BYTES = 64 * 1024 * 1024
@@ -39,7 +41,12 @@ def broadcast_if_small(df: DataFrame) -> DataFrame:
 
 
 def hot_hashes(df: DataFrame, on: Sequence[str]) -> list[int]:
-    """Hashes of the join keys that are frequent in ``df``.
+    """Hashes of the join keys that are frequent in ``df``."""
+    return list(hot_shares(df, on))
+
+
+def hot_shares(df: DataFrame, on: Sequence[str]) -> dict[int, float]:
+    """Hashes of the join keys that are frequent in ``df``, with their share of the rows.
 
     One pass with a small sketch per task, no shuffle of rows. The answer only
     steers how a join is split, so an inexact sketch cannot change a result.
@@ -49,7 +56,7 @@ def hot_hashes(df: DataFrame, on: Sequence[str]) -> list[int]:
     )
     top = df.select(*on).agg(items.alias("top"), F.count(F.lit(1)).alias("rows")).first()
     floor = top["rows"] / (2 * HOT_KEYS)
-    return [entry["item"] for entry in top["top"] or [] if entry["count"] > floor]
+    return {entry["item"]: entry["count"] / top["rows"] for entry in top["top"] or [] if entry["count"] > floor}
 
 
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
@@ -83,7 +90,7 @@ def _same_keys(keys: Sequence[Column], on: Sequence[str]) -> Column:
 
 
 def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how: str,
-                      small: bool | None = None, unique: bool = False) -> DataFrame:
+                      small: bool | None = None, unique: bool = False, costly: bool = False) -> DataFrame:
     """``left_semi`` or ``left_anti`` of ``df`` against the keys of ``keys_df``; NULL
     keys equal each other, keys of different types meet in the wider one.
 
@@ -91,8 +98,11 @@ def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how:
     states that it was counted and fits a broadcast; ``df`` then stays in place.
     Otherwise rows of ``df`` with a frequent key stay where they are and meet a
     broadcast of at most ``HOT_KEYS`` keys; the others take the shuffle join.
-    ``unique`` states that ``df`` has no frequent key.
+    ``unique`` states that ``df`` has no frequent key. ``costly`` states that ``df`` is
+    more than a scan of stored rows; :func:`salted_presence` then evaluates it once.
     """
+    if costly and not small and not unique:
+        return salted_presence(df, keys_df, on, how, costly)
     own = _keyed(df, keys_df, on)
     keys = keys_df.select(*[k.alias(f"_k_{c}") for k, c in zip(_keyed(keys_df, df, on), on)]).distinct()
     if small:
@@ -106,12 +116,17 @@ def key_presence_join(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how:
     return cold_part.unionByName(hot_part)
 
 
-def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
+def lookup_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
+                costly: bool = False) -> DataFrame:
     """Join many rows to a lookup that holds one row per key: by a broadcast when the
-    lookup is counted and fits, else by :func:`split_join`."""
+    lookup is counted and fits, else by :func:`split_join`. ``costly`` states that the
+    sides are more than scans of stored rows: each is then evaluated once, the lookup
+    into a stage where it is counted, and frequent keys are salted."""
+    if costly:
+        lookup = stage(lookup, "lookup")
     if fits_broadcast(lookup, lookup.count()):
         return _matched(df, lookup, on, how, F.broadcast)
-    return split_join(df, lookup, on, how)
+    return salted_join(df, lookup, on, how, costly) if costly else split_join(df, lookup, on, how)
 
 
 def split_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
@@ -131,6 +146,69 @@ def split_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "
     return cold_part.unionByName(hot_part)
 
 
+def _pieces(hashed: Column, shares: dict[int, float], partitions: int) -> Column:
+    """Into how many salts a key goes: its share of twice the shuffle's partitions, so
+    that a piece is about half of an even partition; 1 for a key that is not frequent."""
+    counts = {h: max(math.ceil(share * 2 * partitions), 1) for h, share in shares.items()}
+    known = F.create_map(*[F.lit(x).cast("bigint") for entry in counts.items() for x in entry])
+    return F.coalesce(F.try_element_at(known, hashed), F.lit(1).cast("bigint"))
+
+
+def shuffle_partitions(df: DataFrame) -> int:
+    """Partitions that a shuffle starts with."""
+    conf = df.sparkSession.conf
+    first = conf.get("spark.sql.adaptive.coalescePartitions.initialPartitionNum", None)
+    return max(int(first or 0), int(conf.get("spark.sql.shuffle.partitions")))
+
+
+def _salted(df: DataFrame, own: Sequence[Column], lookup: DataFrame, other: Sequence[Column],
+            shares: dict[int, float]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``_join_salt``. A row of ``df`` takes its salt from the number
+    of its input partition, so a task that runs again salts alike, whatever the order of
+    its rows; a row of ``lookup`` is copied for each salt of its key. All copies together
+    are at most twice the shuffle's partitions, besides one for each key."""
+    partitions = shuffle_partitions(df)
+    salt = F.pmod(F.spark_partition_id().cast("bigint"), _pieces(F.xxhash64(*own), shares, partitions))
+    last = _pieces(F.xxhash64(*other), shares, partitions) - 1
+    return (df.withColumn("_join_salt", salt),
+            lookup.withColumn("_join_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), last))))
+
+
+def salted_join(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
+                costly: bool = False) -> DataFrame:
+    """Join many rows to a large lookup that holds one row per key, in one plan.
+
+    Rows of a frequent key, NULL included, are dealt to as many salts as its share of the
+    rows asks for, and only the lookup rows of these keys are copied, once per salt. Each
+    side is read once by the join; the sketch before it reads the key columns of ``df``.
+    ``costly`` states that ``df`` is more than a scan of stored rows: it is then staged,
+    so that it is evaluated once, and the sketch reads the staged columns. ``how`` is
+    ``inner`` or ``left``.
+    """
+    df = stage(df, "side") if costly else df
+    own, other = _keyed(df, lookup, on), _keyed(lookup, df, on)
+    shares = hot_shares(df.select(*own), on)
+    if not shares:
+        return _matched(df, lookup, on, how)
+    left, right = _salted(df, own, lookup, other, shares)
+    return _matched(left, right, [*on, "_join_salt"], how).drop("_join_salt")
+
+
+def salted_presence(df: DataFrame, keys_df: DataFrame, on: Sequence[str], how: str,
+                    costly: bool = False) -> DataFrame:
+    """``left_semi`` or ``left_anti`` as :func:`key_presence_join`, in one plan and with
+    frequent keys salted as in :func:`salted_join`; NULL keys equal each other."""
+    df = stage(df, "side") if costly else df
+    own = _keyed(df, keys_df, on)
+    keys = keys_df.select(*[k.alias(f"_k_{c}") for k, c in zip(_keyed(keys_df, df, on), on)]).distinct()
+    shares = hot_shares(df.select(*own), on)
+    if not shares:
+        return df.join(keys, _same_keys(own, on), how)
+    left, right = _salted(df, own, keys, [F.col(c) for c in keys.columns], shares)
+    same = _same_keys(own, on) & (F.col("_join_salt") == F.col("_k__join_salt"))
+    return left.join(right.withColumnRenamed("_join_salt", "_k__join_salt"), same, how).drop("_join_salt")
+
+
 def _matched(df: DataFrame, lookup: DataFrame, on: Sequence[str], how: str, hint=lambda side: side) -> DataFrame:
     """The keys as ``df`` has them, its other columns, those of the lookup. Keys of
     different types meet in the wider one."""

@@ -8,6 +8,7 @@ from ledgerline.functions.rowtext import key_text, row_md5, row_sha256, sketch,
 from ledgerline.operators import compare as cmp
 from ledgerline.operators.digest_tree import compare_by_digest_tree as digest_tree_diff, write_snapshot
 from ledgerline.operators.search import pivot_date, pivot_date_filter
+from ledgerline.operators.skew import salted_join, salted_presence
 from ledgerline.operators.quality import predicate_is_valid
 from ledgerline.session import scratch_path
 from ledgerline.sinks.report import (
@@ -129,6 +130,38 @@ def extra_by_columns(spark, folder):
     return cmp.extra_rows(returned, others, LINE_KEYS)
 
 
+# A third of the lines name one part; with every part of an even number left out of the
+# lookup, lines of frequent and of rare keys are found and missed.
+_SKEWED = "CASE WHEN l_orderkey % 3 = 0 THEN 1 ELSE l_partkey END"
+
+
+def _lines_of_a_hot_part(spark, folder):
+    """Lines summed by order, part and supplier: more than a scan."""
+    lines = table(spark, folder, "lineitem").withColumn("p_partkey", F.expr(_SKEWED))
+    return lines.groupBy("l_orderkey", "p_partkey", "l_suppkey").agg(F.sum("l_quantity").alias("quantity"))
+
+
+_HOT_PARTS = f"""
+WITH lines AS (
+  SELECT l_orderkey, {_SKEWED} AS p_partkey, l_suppkey, sum(l_quantity) AS quantity
+  FROM lineitem GROUP BY l_orderkey, 2, l_suppkey)"""
+
+
+@query("salted_lookup_join", f"""{_HOT_PARTS}
+SELECT p_partkey, l_orderkey, l_suppkey, quantity, p_name, p_brand
+FROM lines LEFT JOIN (SELECT * FROM part WHERE p_partkey % 2 = 1) USING (p_partkey)""")
+def salted_lookup_join(spark, folder):
+    named = table(spark, folder, "part").filter("p_partkey % 2 = 1").select("p_partkey", "p_name", "p_brand")
+    return salted_join(_lines_of_a_hot_part(spark, folder), named, ["p_partkey"], "left", costly=True)
+
+
+@query("salted_extra_rows", f"""{_HOT_PARTS}
+SELECT * FROM lines WHERE p_partkey NOT IN (SELECT p_partkey FROM part WHERE p_partkey % 2 = 0)""")
+def salted_extra_rows(spark, folder):
+    even = table(spark, folder, "part").filter("p_partkey % 2 = 0").select("p_partkey")
+    return salted_presence(_lines_of_a_hot_part(spark, folder), even, ["p_partkey"], "left_anti", costly=True)
+
+
 # --- sets of keys ----------------------------------------------------------
 
 @query("except_keys_left", f"WITH {pair.SIDES} SELECT o_orderkey FROM l EXCEPT SELECT o_orderkey FROM r")

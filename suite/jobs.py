@@ -94,9 +94,10 @@ COMBINED = FileLayout(
 
 
 def join_order_and_user_files(orders, users):
-    """The join of the two files: one row per user, so a frequent user is no problem."""
+    """The join of the two files: one row per user, so a frequent user is no problem. The
+    sides are read from lines, which is done once."""
     named = users.select(F.col("id").alias("user_id"), F.col("name").alias("user_name"), "email")
-    return lookup_join(orders, named, ["user_id"]).select(
+    return lookup_join(orders, named, ["user_id"], costly=True).select(
         F.col("id").alias("order_id"), "user_name", "email", "batch_id", "start_time"
     )
 

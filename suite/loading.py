@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import functions as F
 
-from ledgerline.operators import dedupe, quality
+from ledgerline.operators import dedupe, profile, quality
 from ledgerline.session import scratch_path
 from ledgerline.sinks import tables as load, versions
 from ledgerline.sources.tables import date_series, extract_query, extract_table, posts, row_count
@@ -134,9 +136,12 @@ def merge_repeated_target_keys(spark, folder):
     return load.merge_and_load(target, finished, ["l_orderkey"])
 
 
-@query("clone_structure", "SELECT * FROM part WHERE false")
+@query("clone_structure", "SELECT * REPLACE (p_retailprice + 10 AS p_retailprice) FROM part WHERE p_size >= 20")
 def clone_structure(spark, folder):
-    return load.clone_structure(table(spark, folder, "part"))
+    """An empty copy of a table's structure, stored, takes the rows of a load."""
+    path = scratch_path(spark, "clone")
+    load.clone_structure(table(spark, folder, "part")).write.parquet(path)
+    return load.load_table(spark, path, new_parts(spark, folder), "append_load")
 
 
 @query("status_update", """
@@ -213,18 +218,72 @@ def dedupe_keep_last_renumber(spark, folder):
 
 # --- catalog ---------------------------------------------------------------
 
-@query("schema_profile", """
+def _profile_sql(name, columns):
+    counts = "\nUNION ALL\n".join(
+        f"SELECT '{c}' AS column_name, count(*) AS total_rows, count(*) - count({c}) AS null_rows, "
+        f"count(DISTINCT {c}) AS distinct_values, coalesce((SELECT max(n) FROM (SELECT count(*) AS n FROM {name} "
+        f"WHERE {c} IS NOT NULL GROUP BY {c})), 0) AS most_rows_per_value FROM {name}" for c in columns
+    )
+    return f"""
 SELECT CAST(ordinal_position AS BIGINT) AS position, column_name,
-  CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double'
-    WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS data_type
-FROM information_schema.columns WHERE table_name = 'orders'""")
+  CASE data_type WHEN 'INTEGER' THEN 'int' WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string'
+    WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE lower(data_type) END AS data_type,
+  total_rows, null_rows, distinct_values, most_rows_per_value
+FROM information_schema.columns JOIN ({counts}) USING (column_name) WHERE table_name = '{name}'"""
+
+
+ORDER = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+
+
+@query("schema_profile", _profile_sql("orders", ORDER))
 def schema_profile(spark, folder):
-    return quality.schema_profile(table(spark, folder, "orders"))
+    return profile.profile_columns(table(spark, folder, "orders"))
+
+
+@query("schema_profile_lines", _profile_sql("lineitem", LINE))
+def schema_profile_lines(spark, folder):
+    return profile.profile_columns(table(spark, folder, "lineitem"))
+
+
+@query("schema_profile_documents", _profile_sql("documents", ["doc_id", "text", "lang", "source", "n_chars"]))
+def schema_profile_documents(spark, folder):
+    """Long texts are counted by their digests."""
+    return profile.profile_columns(table(spark, folder, "documents"))
+
+
+def _keys_sql(name, columns, width=3):
+    """Every set of columns counted, then the keys without those that hold another."""
+    sets = [s for w in range(1, width + 1) for s in itertools.combinations(columns, w)]
+    counts = "\nUNION ALL\n".join(
+        f"SELECT {len(s)} AS width, {list(s)} AS cols, (SELECT count(*) FROM (SELECT DISTINCT {', '.join(s)} FROM {name} "
+        f"WHERE {' AND '.join(f'{c} IS NOT NULL' for c in s)})) AS n" for s in sets
+    )
+    return f"""
+WITH counted AS MATERIALIZED ({counts}),
+found AS MATERIALIZED (SELECT * FROM counted WHERE n = (SELECT count(*) FROM {name}))
+SELECT '{name}' AS table_name, CAST(width AS BIGINT) AS width, array_to_string(cols, ',') AS key_columns
+FROM found k
+WHERE NOT EXISTS (SELECT 1 FROM found o WHERE o.width < k.width AND list_has_all(k.cols, o.cols))"""
+
+
+def _keys(spark, folder, name):
+    found = profile.minimal_keys(table(spark, folder, name))
+    return found.select(F.lit(name).alias("table_name"), "width", F.array_join("key_columns", ",").alias("key_columns"))
+
+
+@query("minimal_keys", _keys_sql("orders", ORDER))
+def minimal_keys(spark, folder):
+    return _keys(spark, folder, "orders")
+
+
+@query("minimal_keys_lines", _keys_sql("lineitem", LINE))
+def minimal_keys_lines(spark, folder):
+    return _keys(spark, folder, "lineitem")
 
 
-@query("list_tables", f"""
-SELECT table_name FROM information_schema.tables WHERE table_name IN ({", ".join(f"'{t}'" for t in TABLES)})""")
+@query("list_tables", "\nUNION ALL\n".join(f"SELECT '{t}' AS table_name, count(*) AS total_rows FROM {t}" for t in TABLES))
 def list_tables(spark, folder):
     for name in TABLES:
         table(spark, folder, name).createOrReplaceTempView(name)
-    return quality.list_tables(spark).filter(F.col("table_name").isin(TABLES))
+    listed = {row["table_name"] for row in quality.list_tables(spark).collect()}
+    return profile.table_sizes(spark, [t for t in TABLES if t in listed])

@@ -18,7 +18,8 @@ from ledgerline.plans.layouts import DELIMITED, CompareSpec, FileLayout, Side
 from ledgerline.session import stage
 from ledgerline.sinks.framed import fill_column_names, frame_output, write_lines
 from ledgerline.sinks.records import delimited_lines, fixed_width_lines
-from ledgerline.sinks.report import compare_report, write_report
+from ledgerline.sinks.report import META, SUMMARY, compare_report, read_report, write_report
+from ledgerline.sinks.runs import Run, recorded_run
 from ledgerline.sinks.tables import DuplicateKeyError, load_table
 from ledgerline.sources.framed import DATA, FramedFiles, data_lines, open_framed, plain_line
 from ledgerline.sources.multiline import read_records
@@ -208,12 +209,32 @@ def _chosen_rows(df: DataFrame, side: Side, spec: CompareSpec) -> DataFrame:
     return df
 
 
-def compare_tables(left: DataFrame, right: DataFrame, spec: CompareSpec, path: str) -> str:
+def compare_tables(left: DataFrame, right: DataFrame, spec: CompareSpec, path: str,
+                   history: str | None = None) -> str:
     """Compare two tables (or query results) and write the report to ``path``.
 
     Keys that repeat are reported. A strict definition checks them before the
-    comparison starts and raises; keys that pass let the rows be joined.
+    comparison starts and raises; keys that pass let the rows be joined. ``history`` is
+    the run log that the comparison leaves its start, end, report and figures in.
     """
+    with recorded_run(left.sparkSession, history, spec.name) as run:
+        _compare(left, right, spec, path)
+        _note_report(run, path, history)
+    return path
+
+
+def _note_report(run: Run, path: str, history: str | None) -> None:
+    """The report's place and its overall figures, read from the written report."""
+    if history is None:
+        return
+    run.report = path
+    meta = read_report(run.spark, path, META).filter(F.col("config_name").like("Overall%Count"))
+    totals = read_report(run.spark, path, SUMMARY).agg(F.max("total_left"), F.max("total_right")).first()
+    run.figures.update({row["config_name"]: int(row["config_value"]) for row in meta.collect()},
+                       LeftRows=totals[0] or 0, RightRows=totals[1] or 0)
+
+
+def _compare(left: DataFrame, right: DataFrame, spec: CompareSpec, path: str) -> str:
     left, right = _chosen_rows(left, spec.left, spec), _chosen_rows(right, spec.right, spec)
     keys = cmp.chosen_keys(spec.keys, spec.left.keys, spec.right.keys)
     columns = cmp.common_columns(left, right, spec.exclude)
@@ -228,8 +249,17 @@ def compare_tables(left: DataFrame, right: DataFrame, spec: CompareSpec, path: s
 
 
 def compare_files(spark: SparkSession, left: str, left_layout: FileLayout, right: str, right_layout: FileLayout,
-                  spec: CompareSpec, path: str) -> str:
-    """Compare two framed files and write the report to ``path``."""
+                  spec: CompareSpec, path: str, history: str | None = None) -> str:
+    """Compare two framed files and write the report to ``path``; ``history`` as in
+    :func:`compare_tables`. The run starts before the files are read."""
+    with recorded_run(spark, history, spec.name) as run:
+        _compare_files(spark, left, left_layout, right, right_layout, spec, path)
+        _note_report(run, path, history)
+    return path
+
+
+def _compare_files(spark: SparkSession, left: str, left_layout: FileLayout, right: str, right_layout: FileLayout,
+                   spec: CompareSpec, path: str) -> str:
     sides, meta = [], {**spec.meta, "LeftObjectName": left, "RightObjectName": right}
     for name, source, layout, side in (("Left", left, left_layout, spec.left),
                                        ("Right", right, right_layout, spec.right)):
@@ -241,4 +271,4 @@ def compare_files(spark: SparkSession, left: str, left_layout: FileLayout, right
                 F.min("matching").alias("matching")
             )
             meta[f"TrailerValidationSuccessFor{name}"] = check.first()["matching"]
-    return compare_tables(*sides, replace(spec, meta=meta), path)
+    return _compare(*sides, replace(spec, meta=meta), path)

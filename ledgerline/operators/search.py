@@ -115,17 +115,21 @@ def only_row(df: DataFrame, what: str) -> DataFrame:
 
 
 def recent_orders(orders: DataFrame, batch: DataFrame, users: DataFrame, search_in: Sequence[str] = ("name",),
-                  query: str = "", direction: str = "desc", number: int = 1, size: int = 33) -> DataFrame:
-    """Orders of one batch (a table of one row) with the user's name, a page of them.
+                  query: str = "", direction: str = "desc", number: int = 1, size: int = 33,
+                  sort_by: str = "id") -> DataFrame:
+    """Orders of one batch (a table of one row) with the user's name, a page of them, by
+    ``sort_by`` and then by ``id``, both in ``direction``. ``end_time`` is in the result
+    where orders have it.
 
     The batch is a single row, so it is broadcast and only its orders go on."""
     of_batch = orders.join(F.broadcast(only_row(batch, "batch")), "batch_id")
     named = lookup_join(of_batch, users, ["user_id"])
     if query:
         named = named.filter(any_of([F.col(c).contains(query) for c in search_in]))
-    column = F.col("id")
-    ordered = named.orderBy(column.desc() if direction == "desc" else column.asc())
-    return page(ordered, number, size).select("id", "start_time", "batch_date", "name")
+    by = [F.col("id")] if sort_by == "id" else [F.col(f"`{sort_by}`"), F.col("id")]
+    ordered = named.orderBy(*[c.desc() if direction == "desc" else c.asc() for c in by])
+    ended = ["end_time"] if "end_time" in orders.columns else []
+    return page(ordered, number, size).select("id", "start_time", *ended, "batch_date", "name")
 
 
 def last_order(orders: DataFrame, batch: DataFrame) -> DataFrame:

@@ -144,6 +144,20 @@ def recent_orders(spark, folder):
     return search.recent_orders(order_rows(spark, folder), running_batch(spark, folder), users, query="0")
 
 
+@query("recent_orders_by_end", """
+SELECT o_orderkey AS id, o_orderdate AS start_time, o_orderdate + to_hours(o_custkey % 8) AS end_time,
+  CAST(o_orderdate AS DATE) AS batch_date, c_name AS name
+FROM orders JOIN customer ON o_custkey = c_custkey
+WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders) ORDER BY end_time DESC, o_orderkey DESC LIMIT 5""")
+def recent_orders_by_end(spark, folder):
+    """The five orders of the running batch that end last."""
+    users = user_rows(spark, folder).withColumnRenamed("id", "user_id")
+    ended = F.col("start_time") + F.make_dt_interval(hours=(F.col("user_id") % 8).cast("int"))
+    orders = order_rows(spark, folder).withColumn("end_time", ended)
+    return search.recent_orders(orders, running_batch(spark, folder), users, size=5,
+                                sort_by="end_time")
+
+
 @query("last_order", """
 SELECT max(o_orderkey) AS last_order_id FROM orders WHERE o_orderdate = (SELECT max(o_orderdate) FROM orders)""")
 def last_order(spark, folder):

@@ -6,7 +6,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 
 from conftest import rows
-from ledgerline.operators.search import last_runs
+from ledgerline.operators.search import last_runs, recent_orders
 from ledgerline.plans import jobs
 from ledgerline.plans.layouts import CompareSpec
 from ledgerline.sinks import runs
@@ -81,3 +81,14 @@ def test_a_comparison_leaves_its_run(spark, folder):
     assert (found["small"]["status"], found["small"]["report"]) == ("finished", f"{folder}/report")
     assert found["small"]["figures"] == {"LeftRows": 3, "RightRows": 2, "OverallCommonCount": 1, "OverallCombinedMismatchCount": 1}
     assert (found["strict"]["status"], found["strict"]["figures"]) == ("failed", {})
+
+
+def test_pages_of_a_batch_by_a_chosen_column(spark):
+    orders = spark.createDataFrame([(n, 1, 7, n % 2, n // 3) for n in range(6)], "id long, user_id long, batch_id long, start_time int, end_time int")
+    batch = spark.createDataFrame([(7, "d")], "batch_id long, batch_date string")
+    users = spark.createDataFrame([(1, "u")], "user_id long, name string")
+    page = recent_orders(orders, batch, users, direction="asc", number=2, size=4, sort_by="start_time")
+    assert page.columns == ["id", "start_time", "end_time", "batch_date", "name"]
+    assert [r["id"] for r in page.collect()] == [3, 5]  # 0, 2, 4, 1 are the first page
+    assert [r["id"] for r in recent_orders(orders, batch, users, size=3, sort_by="end_time").collect()] == [5, 4, 3]
+    assert recent_orders(orders.drop("end_time"), batch, users).columns == ["id", "start_time", "batch_date", "name"]

@@ -19,10 +19,17 @@ to a document as the places of its repeated windows. All steps are one plan, in
 the shuffle that brings texts and answers together is made once and read again by each
 length and by the removal.
 
-Defined results: null and empty texts have no words; rows without an id come after all
-others, and none of them is smaller than another; rows that share an id are one
-document as far as "smaller" goes, and each loses its own words; other columns are
-ignored.
+A chunk never sends a row to each of many buckets: beyond ``FAN`` of them the ranges become
+finer in hops (:func:`routes`). A hop deals the entries of a range out by salts, so that a
+group is about as large as a bucket; a group merges its entries, settles what meets in it,
+and cuts the rest into at most about ``FAN`` finer ranges. So rows grow with the entries, and a
+passage that all chunks share is down to one entry per group before it meets in one bucket.
+
+Defined results: null and empty texts have no words; texts of any length are taken whole, one
+alone in its chunk if need be; rows without an id come after all others, and none of them is
+smaller than another; rows that share an id are one document as far as "smaller" goes, and
+each loses its own words; of equal windows in a document the first answers for all; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -41,6 +48,8 @@ FIRST = 8
 CHUNK_CHARACTERS = 2_500_000
 BUCKET_BYTES = 40_000_000
 LEAST_BUCKETS = 16
+FAN = 256  # most ranges that a chunk or a group of a hop sends rows to, but for rounding
+MOST_PARTITIONS = 20_000
 NO_ID = 2**63 - 1
 
 MIX_A, MIX_B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -131,20 +140,66 @@ def unpack(data: bytes) -> list[np.ndarray]:
     return arrays
 
 
-_ROW = ["bucket", "id", "text_hash", "blob"]
-_ROW_SQL = "bucket int, id long, text_hash long, blob binary"
+_ROW = ["bucket", "salt", "id", "text_hash", "blob"]
+_ROW_SQL = "bucket int, salt int, id long, text_hash long, blob binary"
 _ANSWER_SQL = "id long, text_hash long, places binary"
 
 
-def _row(bucket: int, id_: int, text_hash: int, blob: bytes) -> tuple:
-    return bucket, id_, text_hash, blob
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], k) for n, k in enumerate(kinds)], names=_ROW)
 
 
+def routes(buckets: int) -> list[tuple[int, int]]:
+    """Ranges and salts of each hop to ``buckets``, the last without salts. Ranges times
+    salts are about as many as buckets, so all groups are of about one size."""
+    hops = 1
+    while FAN ** hops < buckets:
+        hops += 1
+    ranges = [round(buckets ** (n / hops)) for n in range(1, hops)] + [buckets]
+    return [(r, -(-buckets // r)) for r in ranges]
+
+
+def _mixed(number: int, size: int) -> int:
+    """A number below ``size`` that depends on all bits of ``number``."""
+    return ((number * int(MIX_A) & 2**64 - 1) >> 32) * size >> 32
+
+
+def _answer_row(id_: int, text_hash: int, places: bytes, step: tuple[int, int]) -> tuple:
+    """An answer rides along in any group, chosen by its document alone."""
+    ranges, salts = step
+    return _mixed(id_ ^ text_hash, ranges), _mixed(id_ ^ text_hash ^ int(MIX_B), salts), id_, text_hash, places
+
+
+def _entry_rows(names: np.ndarray, second: np.ndarray, docs: np.ndarray, places: np.ndarray, known: np.ndarray,
+                ids: np.ndarray, hashes: np.ndarray, ranges: int, salt: int) -> Iterator[tuple]:
+    """Entries in the order of their names, packed by range of name: a row for each range
+    that has any."""
+    number = (names >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+    cuts = np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]])) if len(number) else []
+    for a, b in zip(cuts, [*cuts[1:], len(number)]):
+        used, own = np.unique(docs[a:b], return_inverse=True)
+        yield int(number[a]), salt, None, None, pack(
+            np.diff(names[a:b], prepend=np.uint64(0)), second[a:b], own.astype("<u4"), places[a:b].astype("<u4"),
+            known[a:b].astype("u1"), np.diff(ids[used], prepend=0), hashes[used])
+
+
+def _entries(held: list[bytes], last: bool) -> tuple[np.ndarray, ...]:
+    """Packed entries put together: names, second names, documents, places, whether known,
+    and the ids and text hashes of the documents."""
+    columns: list[list[np.ndarray]] = [[] for _ in range(7)]
+    at = 0
+    for blob in held:
+        gaps, second, numbers, places, known, ids, hashes = unpack(blob)
+        names = np.cumsum(gaps, dtype=np.uint64)
+        for column, part in zip(columns, (
+                names, second if last else np.zeros(len(names), dtype=np.uint64),
+                numbers.astype(np.int64) + at, places, known.astype(bool), np.cumsum(ids), hashes)):
+            column.append(part)
+        at += len(ids)
+    return tuple(map(np.concatenate, columns))
+
+
 def _by_document(ids: np.ndarray, hashes: np.ndarray, docs: np.ndarray, places: np.ndarray) -> Iterator[tuple]:
     """Answers: for each document its id, text hash and packed sorted places."""
     order = np.lexsort((places, docs))
@@ -188,9 +243,9 @@ def _chunks(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield batch.slice(start)
 
 
-def _sender(lengths: list[int], level: int, buckets: int):
+def _sender(lengths: list[int], level: int, step: tuple[int, int]):
     """Rows of (id, text_hash, text[, lists]) to packed entries of the level's windows, and
-    answers already known, which ride along in any bucket."""
+    answers already known."""
     last = level == len(lengths) - 1
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,26 +266,59 @@ def _sender(lengths: list[int], level: int, buckets: int):
                     second = words.names(lengths[level], MIX_B)[places]
                 docs, inner = words.owner[places], places - words.firsts[words.owner[places]]
                 here, sent = settle(name[places], second, docs, places, ids, last)
-                rows = [_row(id_ % buckets, id_, text_hash, found)
-                        for id_, text_hash, found in _by_document(ids, hashes, docs[here], inner[here])]
-                # In the order of names, so that each bucket is a stretch.
-                bucket = (name[places[sent]] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
-                cuts = np.searchsorted(bucket, np.arange(buckets + 1, dtype=np.uint64))
-                known = np.isin(sent, here)
-                for n in range(buckets):
-                    own = sent[cuts[n]:cuts[n + 1]]
-                    if len(own):
-                        used, numbers = np.unique(docs[own], return_inverse=True)
-                        gaps = np.diff(name[places[own]], prepend=np.uint64(0))
-                        blob = pack(gaps, second[own] if last else second[:0], numbers.astype("<u4"),
-                                    inner[own].astype("<u4"), known[cuts[n]:cuts[n + 1]].astype("u1"),
-                                    np.diff(ids[used], prepend=0), hashes[used])
-                        rows.append(_row(n, None, None, blob))
+                rows = [_answer_row(*found, step) for found in _by_document(ids, hashes, docs[here], inner[here])]
+                # The salt depends on the documents alone, so a task that runs again deals alike.
+                salt = _mixed(int(np.bitwise_xor.reduce(ids ^ hashes)), step[1]) if len(ids) else 0
+                rows += _entry_rows(name[places[sent]], second[sent] if last else second[:0], docs[sent], inner[sent],
+                                    np.isin(sent, here), ids, hashes, step[0], salt)
                 yield _batch(rows)
 
     return send
 
 
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[tuple], tuple | None, list[bytes]]]:
+    """Sorted rows as ``(answers, group, blobs)``: answers as they come, entries of a whole
+    group (bucket and salt) at once."""
+    now, held = None, []
+    for rows in batches:
+        ready = []
+        for bucket, salt, id_, text_hash, blob in zip(*[rows.column(n).to_pylist() for n in _ROW]):
+            if text_hash is not None:
+                ready.append((id_, text_hash, blob))
+                continue
+            if (bucket, salt) != now and held:
+                yield [], now, held
+                held = []
+            now = bucket, salt
+            held.append(blob)
+        if ready:
+            yield ready, None, []
+    if held:
+        yield [], now, held
+
+
+def _splitter(last: bool, before: tuple[int, int], step: tuple[int, int]):
+    """A hop: entries by group to entries by finer range, and answers for what meets here."""
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ready, group, held in _grouped(batches):
+            rows = [_answer_row(*found, step) for found in ready]
+            if held:
+                names, second, docs, places, known, ids, hashes = _entries(held, last)
+                order = np.argsort(ids, kind="stable")
+                rising = np.empty(len(ids), dtype=np.int64)
+                rising[order] = np.arange(len(ids))
+                docs, ids, hashes = rising[docs], ids[order], hashes[order]
+                here, sent = settle(names, second, docs, places, ids, last)
+                told = here[~known[here]]
+                known[here] = True
+                rows += [_answer_row(*found, step) for found in _by_document(ids, hashes, docs[told], places[told])]
+                rows += _entry_rows(names[sent], second[sent] if last else second[:0], docs[sent], places[sent], known[sent],
+                                    ids, hashes, step[0], group[1] * step[1] // before[1])
+            yield _batch(rows)
+
+    return split
+
+
 def candidates(words: Words, lengths: list[int], level: int, lists: list[list[bytes]]) -> np.ndarray:
     """Starts of windows of a level that the answers of the level before leave."""
     before, length = lengths[level - 1], lengths[level]
@@ -252,17 +340,7 @@ def candidates(words: Words, lengths: list[int], level: int, lists: list[list[by
 def _counter(last: bool):
     """Entries by bucket to answers: the documents whose windows are repeated."""
     def answers(held: list[bytes]) -> Iterator[tuple]:
-        columns: list[list[np.ndarray]] = [[] for _ in range(7)]
-        at = 0
-        for blob in held:
-            gaps, second, numbers, inner, known, ids, hashes = unpack(blob)
-            names = np.cumsum(gaps, dtype=np.uint64)
-            for column, part in zip(columns, (
-                    names, second if last else np.zeros(len(names), dtype=np.uint64),
-                    numbers.astype(np.int64) + at, inner, known.astype(bool), np.cumsum(ids), hashes)):
-                column.append(part)
-            at += len(ids)
-        names, second, docs, inner, known, ids, hashes = map(np.concatenate, columns)
+        names, second, docs, inner, known, ids, hashes = _entries(held, last)
         order = np.lexsort((second, names)) if last else np.argsort(names)
         names, second, docs, inner, known = (x[order] for x in (names, second, docs, inner, known))
         new = np.concatenate([[True], (names[1:] != names[:-1]) | (second[1:] != second[:-1])])
@@ -275,32 +353,33 @@ def _counter(last: bool):
             found = (np.bincount(group)[group] > 1) & ~known
         yield from _by_document(ids, hashes, docs[found], inner[found])
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[n] for r in rows], k) for n, k in enumerate((pa.int64(), pa.int64(), pa.binary()))],
-            names=["id", "text_hash", "places"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for rows in batches:
-            ready = []
-            for bucket, id_, text_hash, blob in zip(*[rows.column(n).to_pylist() for n in _ROW]):
-                if text_hash is not None:
-                    ready.append((id_, text_hash, blob))
-                    continue
-                if bucket != now and held:
-                    yield batch(list(answers(held)))
-                    held = []
-                now = bucket
-                held.append(blob)
-            if ready:
-                yield batch(ready)
-        if held:
-            yield batch(list(answers(held)))
+        for ready, _, held in _grouped(batches):
+            rows = [*ready, *(answers(held) if held else ())]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[n] for r in rows], k) for n, k in enumerate((pa.int64(), pa.int64(), pa.binary()))],
+                names=["id", "text_hash", "places"])
 
     return count
 
 
+def _dealt(sent: DataFrame, step: tuple[int, int]) -> DataFrame:
+    """Rows with their groups together, groups dealt out evenly over tasks."""
+    ranges, salts = step
+    parts = min(ranges * salts, MOST_PARTITIONS)
+    group = F.col("bucket").cast("long") * salts + F.col("salt")
+    return sent.repartitionById(parts, F.pmod(group, F.lit(parts)).cast("int")).sortWithinPartitions("bucket", "salt")
+
+
+def sent_rows(rows: DataFrame, lengths: list[int], level: int, buckets: int) -> DataFrame:
+    """The entries of a level by bucket, and answers that chunks and hops gave."""
+    last, steps = level == len(lengths) - 1, routes(buckets)
+    sent = rows.mapInArrow(_sender(lengths, level, steps[0]), _ROW_SQL)
+    for before, step in zip(steps, steps[1:]):
+        sent = _dealt(sent, before).mapInArrow(_splitter(last, before, step), _ROW_SQL)
+    return sent
+
+
 def repeated_places(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """The texts ``(id, text_hash, text)``, and answers ``(id, text_hash, lists)``: packed places
     of the first of equal windows in a document that also start in one with a smaller id."""
@@ -311,11 +390,11 @@ def repeated_places(docs: DataFrame, window: int = WINDOW) -> tuple[DataFrame, D
     buckets = max(LEAST_BUCKETS, -(-size // BUCKET_BYTES))
     lengths, rows = ladder(window), texts
     for level in range(len(lengths)):
-        sent = rows.mapInArrow(_sender(lengths, level, buckets), _ROW_SQL)
-        counted = sent.repartition("bucket").sortWithinPartitions("bucket") \
+        counted = _dealt(sent_rows(rows, lengths, level, buckets), (buckets, 1)) \
             .mapInArrow(_counter(level == len(lengths) - 1), _ANSWER_SQL)
-        # A list has at most one entry per bucket and chunk in which the document has windows.
-        answers = counted.groupBy("id", "text_hash").agg(F.collect_list("places").alias("lists"))
+        # At most one entry per chunk, group and bucket that told of the document; those of rows
+        # that repeat an id and a text are mostly equal, and kept once.
+        answers = counted.groupBy("id", "text_hash").agg(F.collect_set("places").alias("lists"))
         rows = texts.join(answers, ["id", "text_hash"])
     return texts, answers
 

@@ -8,7 +8,7 @@ prototype has the largest cosine with its profile.
 
 Letters are lower-cased; any other character is a word boundary, which is a symbol of
 its own at either end of a sequence. Profiles of many texts are one product of counts
-and sequence vectors.
+and sequence vectors, or, where texts have very many distinct sequences, a product each.
 
 Prototypes are learnt from a bounded sample: about ``PER_LANGUAGE`` documents of each
 language, chosen by a hash of id and text. Tasks send sums per language, so what
@@ -17,7 +17,8 @@ reaches the driver is one vector per language.
 Defined results: a text that is null or without a letter is ``und`` with score 0; with
 no language learnt all texts are ``und``; among equal cosines the first language by
 name; rows without an id are never learnt from and count as held out; repeated rows
-are each predicted; other columns are ignored.
+are each predicted; a text of any length is taken whole; an empty table gives no rows;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -35,6 +36,9 @@ SEED = 20_011
 PER_LANGUAGE = 2000
 CHUNK_CHARACTERS = 1_000_000
 DENSE_CODES = 1 << 22
+DENSE_CELLS = 1 << 23  # most cells, and most sequences, that are counted in one table
+DENSE_KINDS = 1 << 15
+BLOCK = 4096
 
 _letters: dict[int, np.ndarray] = {}
 
@@ -44,13 +48,13 @@ def letter_vector(code: int) -> np.ndarray:
     vector = _letters.get(code)
     if vector is None:
         bits = np.random.default_rng([SEED, code]).integers(0, 2, DIMENSIONS)
-        vector = _letters[code] = (2 * bits - 1).astype(np.float32)
+        vector = _letters[code] = (2 * bits - 1).astype(np.int8)
     return vector
 
 
-def sequence_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """The letter sequences of all texts, as rows of three code points, and how often each
-    text has each of them."""
+def sequences_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct letters, the distinct sequences as rows of three places among the letters,
+    and for each occurrence its text and its sequence."""
     lowered = [t.lower() for t in texts]
     joined = "\n" + "\n".join(lowered) + "\n"
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
@@ -66,23 +70,40 @@ def sequence_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         place = (np.cumsum(present) - 1)[number]
     else:
         kinds, place = np.unique(number, return_inverse=True)
-    counts = np.bincount(owner[middle - 1] * len(kinds) + place, minlength=len(texts) * len(kinds))
     parts = np.stack([kinds // (size * size), kinds // size % size, kinds % size], axis=1)
-    return letters[parts].reshape(-1, 3), counts.reshape(len(texts), len(kinds)).astype(np.float32)
+    return letters, parts.reshape(-1, 3), owner[middle - 1], place
 
 
 def profiles(texts: list[str]) -> np.ndarray:
-    """One bundled vector per text; all zero for a text without a letter."""
-    sequences, counts = sequence_counts(texts)
-    if not len(sequences):
-        return np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
-    letters, index = np.unique(sequences, return_inverse=True)
-    index = index.reshape(sequences.shape)
+    """One bundled vector per text; all zero for a text without a letter.
+
+    Sums are whole numbers, exact in 32-bit floats for texts of under 2^24 letters, so the two
+    ways below give equal vectors: one product of a table of counts where that table is small,
+    else the sequences of each text by themselves, ``BLOCK`` at a time."""
+    letters, parts, owner, place = sequences_of(texts)
+    found = np.zeros((len(texts), DIMENSIONS), dtype=np.float32)
+    if not len(parts):
+        return found
     table = np.stack([letter_vector(int(c)) for c in letters])
-    bound = np.roll(table, 2, axis=1)[index[:, 0]]
-    bound *= np.roll(table, 1, axis=1)[index[:, 1]]
-    bound *= table[index[:, 2]]
-    return counts @ bound
+
+    def bound(rows: np.ndarray) -> np.ndarray:
+        vectors = np.roll(table[rows[:, 0]], 2, axis=1)
+        vectors *= np.roll(table[rows[:, 1]], 1, axis=1)
+        vectors *= table[rows[:, 2]]
+        return vectors.astype(np.float32)
+
+    cell = owner * len(parts) + place
+    if len(texts) * len(parts) <= DENSE_CELLS and len(parts) <= DENSE_KINDS:
+        counts = np.bincount(cell, minlength=len(texts) * len(parts)).reshape(len(texts), len(parts))
+        return counts.astype(np.float32) @ bound(parts)
+    cell, counts = np.unique(cell, return_counts=True)
+    owner, place, counts = cell // len(parts), cell % len(parts), counts.astype(np.float32)
+    edges = np.searchsorted(owner, np.arange(len(texts) + 1))
+    for n, (start, end) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        for a in range(start, end, BLOCK):
+            b = min(a + BLOCK, end)
+            found[n] += counts[a:b] @ bound(parts[place[a:b]])
+    return found
 
 
 def unit(rows: np.ndarray) -> np.ndarray:

@@ -157,9 +157,10 @@ def slow_removal(rows, window):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("window, vocabulary", [(13, 10), (30, 10), (5, 3), (9, 2)])
-def test_removal_is_that_of_all_windows(spark, monkeypatch, window, vocabulary):
+@pytest.mark.parametrize("window, vocabulary, fan", [(13, 10, 256), (30, 10, 256), (5, 3, 256), (9, 2, 256), (13, 10, 3), (30, 4, 4)])
+def test_removal_is_that_of_all_windows(spark, monkeypatch, window, vocabulary, fan):
     monkeypatch.setattr(doubling, "CHUNK_CHARACTERS", 700)
+    monkeypatch.setattr(doubling, "FAN", fan)  # a small one takes hops to the 16 buckets
     rng = random.Random(window)
     shared = [sentence(rng, rng.randrange(3, 70), vocabulary) for _ in range(10)]
     rows = odd_rows() + [
@@ -175,6 +176,37 @@ def test_ladder():
     assert doubling.ladder(5) == [3, 5]
 
 
+def test_routes_reach_any_number_of_buckets():
+    assert doubling.routes(16) == [(16, 1)] and doubling.routes(256) == [(256, 1)]
+    for buckets in (257, 1_600, 30_000, 65_537, 2_500_000, 16_000_000):
+        steps = doubling.routes(buckets)
+        assert steps[-1] == (buckets, 1) and len(steps) <= 3
+        assert all(buckets <= ranges * salts < 1.3 * buckets + ranges for ranges, salts in steps)
+        fans = [b[0] / a[0] for a, b in zip([(1, 0), *steps], steps)]
+        assert max(fans) <= doubling.FAN + 1
+
+
+def test_a_chunk_sends_few_rows_however_many_buckets(spark):
+    rng = random.Random(8)
+    rows = [(n, sentence(rng, 4_000, 5_000), "en", "s") for n in range(12)]
+    texts = documents(spark, rows).selectExpr("doc_id AS id", "xxhash64(text) AS text_hash", "text").repartition(4, "id")
+
+    def entries(buckets):
+        step = doubling.routes(buckets)[0]
+        sent = texts.mapInArrow(doubling._sender([7, 13], 0, step), doubling._ROW_SQL).where("text_hash IS NULL")
+        return sent.count(), step[0]
+
+    for buckets in (16, 1_600, 160_000):
+        count, ranges = entries(buckets)
+        assert count <= 4 * ranges and ranges <= doubling.FAN + 1
+    # Hops leave the rows whole: each name of a level ends in one bucket.
+    whole = {b: doubling.sent_rows(texts, [7, 13], 0, b).where("text_hash IS NULL") for b in (16, 1_600)}
+    names = {b: sorted(n for r in w.collect() for n in np.cumsum(doubling.unpack(r["blob"])[0], dtype=np.uint64).tolist())
+             for b, w in whole.items()}
+    assert names[16] and sorted(set(names[16])) == sorted(set(names[1_600]))
+    assert len(names[1_600]) <= len(names[16])
+
+
 def test_digest_is_that_of_the_kept_words(spark):
     docs = documents(spark, odd_rows())
     plain = {(r[0], r[1], r[2], hashlib.sha256(r[3].encode()).hexdigest()) for r in doubling.without_repeats(docs).collect()}

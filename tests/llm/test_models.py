@@ -4,6 +4,8 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
+import unicodedata
 import zlib
 
 import numpy as np
@@ -187,6 +189,58 @@ def test_profiles_do_not_depend_on_their_company():
     assert np.allclose(together, alone) and not together[2].any() and not together[3].any()
 
 
+def slow_profile(text):
+    """Binding and bundling letter by letter."""
+    found = np.zeros(hyperlang.DIMENSIONS, dtype=int)
+    padded = [0] + [ord(c) if unicodedata.category(c)[0] == "L" else 0 for c in text.lower()] + [0]
+    for before, letter, after in zip(padded, padded[1:], padded[2:]):
+        if letter:
+            vectors = [hyperlang.letter_vector(c).astype(int) for c in (before, letter, after)]
+            found += np.roll(vectors[0], 2) * np.roll(vectors[1], 1) * vectors[2]
+    return found
+
+
+ODD_TEXTS = ["Häuser, häuser UND 3 Bäume", "日本語 の文章です", "", "12 !", "x", "ab\nab\tab a-b", "Ελληνικά ß ﬁ"]
+
+
+@pytest.mark.parametrize("cells, block", [(1 << 23, 4096), (0, 4096), (0, 3)])
+def test_profiles_are_those_bound_letter_by_letter(monkeypatch, cells, block):
+    monkeypatch.setattr(hyperlang, "DENSE_CELLS", cells)
+    monkeypatch.setattr(hyperlang, "BLOCK", block)
+    assert hyperlang.profiles(ODD_TEXTS).tolist() == [slow_profile(t).tolist() for t in ODD_TEXTS]
+
+
+def test_languages_are_those_of_slow_prototypes(spark):
+    rng = random.Random(4)
+    words = {"de": "der und nicht häuser", "fr": "le été garçon est", "ja": "日本語 文章 です"}
+    rows = [(n, " ".join(rng.choices(words[lang].split(), k=rng.randrange(3, 30))), lang, "s")
+            for n, lang in enumerate(rng.choices(list(words), k=60))]
+    rows += [(60 + n, t, None, "s") for n, t in enumerate(ODD_TEXTS)]
+
+    def unit(v):
+        return v / (np.linalg.norm(v) or 1.0)
+
+    bundles = {lang: unit(sum(unit(slow_profile(t)) for i, t, own, _ in rows if own == lang and crc(i, 4) != 2))
+               for lang in sorted(words)}
+    got = {r["doc_id"]: r for r in hyperlang.languages(documents(spark, rows)).collect()}
+    for i, text, _, _ in rows:
+        own = slow_profile(text)
+        cosines = {lang: float(unit(own) @ bundle) for lang, bundle in bundles.items()}
+        best = max(cosines, key=cosines.get) if own.any() else "und"
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - min(max(cosines.get(best, 0.0), 0.0), 1.0)) < 1e-4
+
+
+def test_very_many_sequences_take_little_memory():
+    rng = np.random.default_rng(2)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9FA0, 1000))) for _ in range(400)]
+    tracemalloc.start()
+    hyperlang.profiles(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 300 * 2**20
+
+
 def test_line_features_do_not_depend_on_their_company():
     texts = ["a b\n\nc!", "", "x x x\nx x x", "\n"]
     table, lines, length = line_crf.line_features(texts)

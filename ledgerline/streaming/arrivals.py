@@ -59,9 +59,25 @@ def refresh_page(stream: DataFrame, make_page: Callable[[DataFrame], DataFrame],
             .trigger(availableNow=True).start())
 
 
+def finished_numbers(spark: SparkSession, target: str, prefix: str) -> list[int]:
+    """Numbers of the folders ``<prefix>=<number>`` in ``target`` up to the last whole one, newest
+    first. Batches are written one after another, so only the newest can be half-written; a
+    whole one has a ``_SUCCESS`` file. No folder is listed but ``target``."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    folder = path(target)
+    system = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not system.exists(folder):
+        return []
+    names = [status.getPath().getName() for status in system.listStatus(folder)]
+    numbers = sorted((int(n.partition("=")[2]) for n in names if n.startswith(f"{prefix}=")), reverse=True)
+    while numbers and not system.exists(path(f"{target}/{prefix}={numbers[0]}/_SUCCESS")):
+        numbers.pop(0)
+    return numbers
+
+
 def latest_page(spark: SparkSession, target: str, schema: T.StructType) -> DataFrame:
-    """The page written last. Only folder names are listed to find it."""
-    pages = spark.read.schema(schema).option("basePath", target).parquet(target)
-    last = pages.inputFiles()
-    number = max(int(name.split("/page=")[1].split("/")[0]) for name in last)
-    return spark.read.schema(schema).parquet(f"{target}/page={number}")
+    """The whole page written last; empty where none is."""
+    numbers = finished_numbers(spark, target, "page")
+    if not numbers:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{target}/page={numbers[0]}")

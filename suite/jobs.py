@@ -14,7 +14,7 @@ from ledgerline.session import scratch_path
 from ledgerline.sinks import runs
 from ledgerline.sinks.tables import DuplicateKeyError
 from ledgerline.sources.framed import frame_lines
-from ledgerline.streaming import arrivals
+from ledgerline.streaming import arrivals, kept_pages
 from suite import pair
 from suite.comparing import report_rows, report_sql
 from suite.files import (
@@ -335,3 +335,21 @@ def recent_orders_refresh(spark, folder):
     orders = search.rename_to(page, {"o_orderkey": "id", "o_custkey": "user_id", "o_orderdate": "start_time"})
     orders = orders.withColumn("batch_id", F.datediff("start_time", F.lit("1970-01-01")).cast("bigint"))
     return search.recent_orders(orders, batch, users, query="0")
+
+
+@query("recent_orders_from_state", _RECENT)
+def recent_orders_from_state(spark, folder):
+    """The page of the running batch from the state of a stream of orders with their users."""
+    schema = table(spark, folder, "orders").schema
+    stream = arrivals.arriving_rows(spark, f"{folder}/orders.parquet*", schema)
+    orders = search.rename_to(stream, {"o_orderkey": "id", "o_custkey": "user_id", "o_orderdate": "start_time"})
+    named = orders.join(user_rows(spark, folder).select(F.col("id").alias("user_id"), "name"), "user_id")
+    named = named.filter(F.col("name").contains("0")).select(
+        F.datediff("start_time", F.lit("1970-01-01")).cast("bigint").alias("batch_id"), "id", "start_time",
+        F.to_date("start_time").alias("batch_date"), "name", F.date_add("start_time", 1).cast("timestamp").alias("closes"))
+    target = scratch_path(spark, "pages")
+    pages = kept_pages.newest_rows(named, "batch_id", "closes", ["id"], 33, delay="2 days")
+    kept_pages.write_pages(pages, target, scratch_path(spark, "stream")).awaitTermination()
+    running = running_batch(spark, folder).first()["batch_id"]
+    page = kept_pages.kept_page(spark, target, pages.schema, "batch_id", running)
+    return page.select("id", "start_time", "batch_date", "name")

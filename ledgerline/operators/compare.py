@@ -21,7 +21,9 @@ from ledgerline.functions.lines import all_of, any_of
 from ledgerline.functions.rowtext import cell_text, key_text, value_text
 from ledgerline.operators.quality import side_by_side
 from ledgerline.operators.numbering import repeated
-from ledgerline.operators.skew import common_type, fits_broadcast, key_presence_join, row_width
+from ledgerline.operators.skew import (
+    common_type, fits_broadcast, key_presence_join, meet_as_number_text, number_text, row_width,
+)
 from ledgerline.session import stage
 
 # Fixed value: what a report shows for the cell of a side that has no such row.
@@ -50,16 +52,20 @@ def side_suffix(df: DataFrame, columns: Sequence[str], suffix: str) -> DataFrame
 
 def same_types(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Both sides with equal types: numbers and times that differ in type compare in the
-    wider one, anything else as text."""
-    kinds = {c: common_type(left.schema[c].dataType, right.schema[c].dataType) for c in columns}
-
-    def cells(df: DataFrame) -> DataFrame:
-        return df.select(*[
-            F.col(f"`{c}`") if df.schema[c].dataType == kind
-            else (cell_text(df, c) if isinstance(kind, T.StringType) else F.col(f"`{c}`").cast(kind)).alias(c)
-            for c, kind in kinds.items()])
-
-    return cells(left), cells(right)
+    wider one, whole numbers and fractions that a double would round as number text,
+    anything else as text."""
+    def cell(df: DataFrame, other: DataFrame, c: str) -> Column:
+        own, its = df.schema[c].dataType, other.schema[c].dataType
+        if own == its:
+            return F.col(f"`{c}`")
+        if meet_as_number_text(own, its):
+            return number_text(F.col(f"`{c}`"), own).alias(c)
+        kind = common_type(own, its)
+        if own == kind:
+            return F.col(f"`{c}`")
+        return (cell_text(df, c) if isinstance(kind, T.StringType) else F.col(f"`{c}`").cast(kind)).alias(c)
+
+    return left.select(*[cell(left, right, c) for c in columns]), right.select(*[cell(right, left, c) for c in columns])
 
 
 # --- the folds -------------------------------------------------------------

@@ -31,7 +31,18 @@ def row_width(df: DataFrame) -> int:
 
 
 def fits_broadcast(df: DataFrame, rows: int) -> bool:
-    return rows * row_width(df) <= BROADCAST_BYTES
+    """Whether ``rows`` rows, those of ``df``, may be broadcast. Text and nested values are
+    measured, but only where the declared widths leave few enough rows to read."""
+    declared = rows * row_width(df)
+    if declared > BROADCAST_BYTES:
+        return False
+    varying = [f for f in df.schema.fields if type(f.dataType) not in _WIDTHS]
+    if not varying or not rows:
+        return True
+    values = [F.col(f"`{f.name}`") if isinstance(f.dataType, T.BinaryType) else F.col(f"`{f.name}`").cast("string") for f in varying]
+    sizes = [F.coalesce(F.octet_length(v).cast("bigint"), F.lit(0)) for v in values]
+    held = df.agg(F.sum(sum(sizes[1:], sizes[0]))).first()[0] or 0
+    return max(declared, held) <= BROADCAST_BYTES
 
 
 def broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -62,10 +73,41 @@ def hot_shares(df: DataFrame, on: Sequence[str]) -> dict[int, float]:
 _WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 
 
+_DOUBLE_DIGITS = 15  # decimal numbers of so many digits are whole in a double
+
+
+def meet_as_number_text(left: T.DataType, right: T.DataType) -> bool:
+    """Whether one is a binary fraction and the other has numbers that no double holds."""
+    def exact(kind):
+        return isinstance(kind, T.LongType) or isinstance(kind, T.DecimalType) and kind.precision > _DOUBLE_DIGITS
+
+    floats = [isinstance(k, (T.FloatType, T.DoubleType)) for k in (left, right)]
+    return floats[0] and exact(right) or floats[1] and exact(left)
+
+
+def number_text(value: Column, kind: T.DataType) -> Column:
+    """A number as plain decimal text without trailing zeros, so that equal numbers of
+    different types have equal text. A double counts as the shortest decimal that reads back
+    as it; one that no decimal holds keeps its own text."""
+    def trimmed(text: Column) -> Column:
+        return F.regexp_replace(text, r"\.?0+$", "")
+
+    if isinstance(kind, T.DecimalType):
+        return trimmed(value.cast("string")) if kind.scale else value.cast("string")
+    if not isinstance(kind, (T.FloatType, T.DoubleType)):
+        return value.cast("string")
+    value = value.cast("double")
+    fine, large = value.try_cast("decimal(38,18)"), value.try_cast("decimal(38,0)")
+    return F.when(fine.try_cast("double") == value, trimmed(fine.cast("string"))) \
+        .when(large.try_cast("double") == value, large.cast("string")).otherwise(value.cast("string"))
+
+
 def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
     """The type that holds the values of both: the wider number or time, else text."""
     if left == right:
         return left
+    if meet_as_number_text(left, right):
+        return T.StringType()
     kinds = (left, right)
     if all(isinstance(k, _WHOLE) for k in kinds):
         return max(kinds, key=lambda k: _WHOLE.index(type(k)))
@@ -81,7 +123,13 @@ def common_type(left: T.DataType, right: T.DataType) -> T.DataType:
 
 def _keyed(df: DataFrame, other: DataFrame, on: Sequence[str]) -> list[Column]:
     """The key columns of ``df`` in the types that it has in common with ``other``."""
-    return [F.col(f"`{c}`").cast(common_type(df.schema[c].dataType, other.schema[c].dataType)).alias(c) for c in on]
+    def met(c: str) -> Column:
+        own, its = df.schema[c].dataType, other.schema[c].dataType
+        if meet_as_number_text(own, its):
+            return number_text(F.col(f"`{c}`"), own)
+        return F.col(f"`{c}`").cast(common_type(own, its))
+
+    return [met(c).alias(c) for c in on]
 
 
 def _same_keys(keys: Sequence[Column], on: Sequence[str]) -> Column:

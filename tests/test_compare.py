@@ -294,3 +294,23 @@ def test_copies_of_a_key_stay(spark):
     names = "concatenated_keys string, hash_value string"
     a, b = (spark.createDataFrame([(str(x[0]), f"{x[1]}{x[2]}") for x in side], names) for side in (left, right))
     assert cmp.matching_pairs(a, b).count() == 2 + 4 + 1
+
+
+@pytest.mark.parametrize("kind", ["bigint", "decimal(20,0)", "decimal(38,18)"])
+def test_whole_numbers_and_doubles_meet_without_rounding(spark, kind):
+    """2^53 and the number after it are one double, but not one key."""
+    wholes = [1, 0, -7, 10, 2**53, 2**53 + 1, 10**17, None]
+    doubles = [1.0, -0.0, -7.0, 10.0, float(2**53), 1e17, 1e-20, 1e25, float("nan"), float("inf"), None]
+    left = spark.createDataFrame([(n, "v") for n in wholes], "k bigint, v string").withColumn("k", F.col("k").cast(kind))
+    right = spark.createDataFrame([(d, "v") for d in doubles], "k double, v string")
+    status = cmp.key_status(left, right, ["k"], ["v"]).groupBy("status").count().collect()
+    assert {r["status"]: r["count"] for r in status} == {cmp.SAME: 7, cmp.LEFT_ONLY: 1, cmp.RIGHT_ONLY: 4}
+    only = cmp.extra_rows(left, right, ["k"]).select(F.col("k").cast("bigint"))
+    assert [tuple(r) for r in only.collect()] == [(2**53 + 1,)]
+    assert cmp.extra_rows(right, left, ["k"]).count() == 4
+
+
+def test_decimals_and_doubles_of_equal_shortest_form_are_equal(spark):
+    left = spark.sql("SELECT * FROM VALUES (CAST(0.1 AS DECIMAL(38,18))), (CAST(0.000000001 AS DECIMAL(38,18))), (CAST(1200 AS DECIMAL(38,18))) AS t(k)")
+    right = spark.createDataFrame([(0.1,), (1e-9,), (1200.0,)], "k double")
+    assert cmp.extra_rows(left, right, ["k"]).count() == 0 == cmp.extra_rows(right, left, ["k"]).count()

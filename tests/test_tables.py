@@ -180,6 +180,14 @@ def test_broadcast_needs_a_size(spark):
     assert skew.fits_broadcast(df, 1000) and not skew.fits_broadcast(df, 10_000_000)
 
 
+def test_long_texts_are_measured_before_a_broadcast(spark, monkeypatch):
+    texts = spark.range(100).select("id", F.repeat(F.lit("ä"), 5_000).alias("text"), F.array(F.lit("x")).alias("list"))
+    assert skew.fits_broadcast(texts, 100)
+    monkeypatch.setattr(skew, "BROADCAST_BYTES", 900_000)  # declared: 13,600 bytes
+    assert not skew.fits_broadcast(texts, 100) and skew.fits_broadcast(texts.drop("text"), 100)
+    assert skew.fits_broadcast(texts.where("false"), 0)
+
+
 # --- search ----------------------------------------------------------------
 
 def test_pages(spark):

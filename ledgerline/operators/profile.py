@@ -1,15 +1,16 @@
 """What the rows say about a table: values per column, and its keys.
 
-:func:`minimal_keys` goes through the lattice of column sets by width. A set that holds a
-key is not minimal and is left out. Of the others one pass without a shuffle makes a sketch
-of distinct values per set; sets far from as many values as rows are left out, as are sets
-whose parts cannot make so many. What is left is decided by exact counts, first on a slice
-of the key space, where a repeated value already refutes, then on all rows.
+:func:`minimal_keys` goes through the lattice of column sets. Two rows that agree refute a
+set and each part of it; they are looked for in a few rows first, then for each set that is
+left in a slice of its own values, which holds all rows of a value. What is left is decided
+over all rows. A part of few repeated rows decides for each set that holds it: rows that
+agree on the set are among those, so one pass over the table serves many sets.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -17,23 +18,30 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql import types as T
 
 from ledgerline.functions.rowtext import value_text
+from ledgerline.session import stage
 
 # Size of a sketch: 2^14 counters, whose estimate is off by 0.8 % (one standard deviation).
 SKETCH_BITS = 14
-# A set whose estimate is under this share of the rows, 12 deviations off, is no key.
-KEY_SHARE = 0.9
-# Sets of columns in one pass of sketches, in one pass over a slice, in one job of exact counts.
-SKETCHES, SLICED, COUNTS = 64, 32, 8
-# One value of so many is in the slice that is counted first.
-SLICES = 64
+# Rows in which repeats are looked for, and the shares of them (one in so many) tried first.
+SLICE_ROWS, SHARES = 1 << 17, (32, 4, 1)
+# Sets of columns in one pass over these rows, in one pass over the table for slices.
+MARKED, SLICED = 64, 16
+# A part of a set decides for it where about so many rows at most have repeated values.
+PART_ROWS = 1 << 20
+# The first argument of the second of two hashes.
+SEED = 14
 # Longer values go through a shuffle as their digest.
 LONG_VALUE = 64
 
 _NESTED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
+def _quoted(column: str) -> str:
+    return "`" + column.replace("`", "``") + "`"
+
+
 def _name(column: str) -> Column:
-    return F.col("`" + column.replace("`", "``") + "`")
+    return F.col(_quoted(column))
 
 
 def _value(field: T.StructField) -> Column:
@@ -107,52 +115,97 @@ def _batches(items: Iterable[Columns], size: int) -> Iterable[list[Columns]]:
         yield batch
 
 
-def _estimates(df: DataFrame, sets: Sequence[Columns]) -> dict[Columns, int]:
-    """Estimated distinct values of each set of columns, without a shuffle of rows."""
-    found = {}
-    for batch in _batches(sets, SKETCHES):
-        row = df.agg(*[_estimate(F.xxhash64(*map(_name, s))).alias(str(i)) for i, s in enumerate(batch)]).first()
-        found.update(zip(batch, row))
+def _parts(columns: Columns) -> Iterable[Columns]:
+    """The sets of columns within a set, itself included."""
+    return (part for size in range(1, len(columns) + 1) for part in itertools.combinations(columns, size))
+
+
+def _hashed(columns: Iterable[str]) -> Column:
+    """128 bits per column."""
+    return F.struct(*[F.struct(F.xxhash64(_name(c)).alias("h"), F.xxhash64(F.lit(SEED), _name(c)).alias("g")).alias(c)
+                      for c in columns]).alias("row")
+
+
+def _hash(columns: Iterable[str]) -> str:
+    return f"xxhash64({', '.join(columns)})"
+
+
+def _mark(number: int, first: Sequence[str], second: Sequence[str]) -> str:
+    """The value of a set of columns as its number and 128 bits."""
+    return f"named_struct('i', {number}, 'h', {_hash(first)}, 'g', {_hash([str(SEED), *second])})"
+
+
+def _repeats(rows: DataFrame, marks: Sequence[str]) -> dict[int, int]:
+    """Rows of values that repeat, by the number of the set; sets without are left out."""
+    cells = rows.select(F.expr(f"explode(array({', '.join(marks)}))").alias("m")).filter("m IS NOT NULL").select("m.*")
+    per_value = cells.groupBy("i", "h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    return {row["i"]: row["n"] for row in per_value.groupBy("i").agg(F.sum("n").alias("n")).collect()}
+
+
+def _refuted(hashed: DataFrame, sets: Iterable[Columns]) -> set[Columns]:
+    """The sets of columns of which rows of :func:`_hashed` repeat a value, with their parts.
+    Wide sets come first, as a repeat of theirs refutes each part."""
+    found: set[Columns] = set()
+    for _, wide in itertools.groupby(sorted(sets, key=len, reverse=True), len):
+        for batch in _batches([s for s in wide if s not in found], MARKED):
+            marks = [_mark(i, [f"row.{_quoted(c)}.h" for c in s], [f"row.{_quoted(c)}.g" for c in s])
+                     for i, s in enumerate(batch)]
+            for i in _repeats(hashed, marks):
+                found.update(_parts(batch[i]))
     return found
 
 
-def _not_refuted(df: DataFrame, sets: Sequence[Columns]) -> list[Columns]:
-    """The sets of columns of which no value repeats within one slice of their values.
-    Equal values are in the same slice, so a repeat there is one of the table. Values are
-    told apart by 128 bits; one pass serves many sets, and sends one row in ``SLICES``."""
-    kept = []
+def _repeated_in_slices(df: DataFrame, sets: Iterable[Columns], slices: int) -> dict[Columns, int]:
+    """Per set of columns the rows that repeat a value, in one of ``slices`` of its values.
+    Equal values are in the same slice, so a repeat there is one of the table. One pass
+    serves many sets, and sends one row in ``slices`` for each."""
+    found = {}
     for batch in _batches(sets, SLICED):
-        marks = F.array(*[
-            F.struct(F.lit(i).alias("i"), F.xxhash64(*map(_name, s)).alias("h"),
-                     F.xxhash64(F.lit(SKETCH_BITS), *map(_name, s)).alias("g")) for i, s in enumerate(batch)
-        ])
-        chosen = F.filter(marks, lambda mark: F.pmod(mark["h"], F.lit(SLICES)) == 0)
-        counted = df.select(F.explode(chosen).alias("m")).groupBy("m.i", "m.h", "m.g").agg(F.count(F.lit(1)).alias("n"))
-        refuted = {row["i"] for row in counted.groupBy("i").agg(F.max("n").alias("most")).filter("most > 1").collect()}
-        kept += [columns for i, columns in enumerate(batch) if i not in refuted]
-    return kept
-
-
-def _without_repeats(df: DataFrame, sets: Sequence[Columns]) -> list[Columns]:
-    """The sets of columns of which no value repeats, by their values in all rows."""
-    kept = []
-    for batch in _batches(sets, COUNTS):
-        most = []
-        for i, columns in enumerate(batch):
-            part = df.select(*[_name(c).alias(f"c{n}") for n, c in enumerate(columns)])
-            counted = part.groupBy(*part.columns).agg(F.count(F.lit(1)).alias("n"))
-            most.append(counted.agg(F.coalesce(F.max("n"), F.lit(0)).alias("most")).select(F.lit(i).alias("i"), "most"))
-        unique = {row["i"] for row in reduce(DataFrame.unionAll, most).collect() if row["most"] <= 1}
-        kept += [columns for i, columns in enumerate(batch) if i in unique]
-    return kept
-
-
-def _may_be_key(columns: Columns, known: Mapping[Columns, int], enough: float) -> bool:
-    """Whether the parts of a set can make as many values as a key has: a part with its
-    column left out makes at most its own number times that of the column."""
-    bounds = [known[rest] * known[(c,)] for i, c in enumerate(columns)
-              if (rest := columns[:i] + columns[i + 1:]) in known]
-    return all(bound >= enough for bound in bounds)
+        quoted = [[*map(_quoted, s)] for s in batch]
+        inside = [f"pmod({_hash(s)}, {slices}) = 0" for s in quoted]
+        marks = [f"if({kept}, {_mark(i, s, s)}, NULL)" for i, (s, kept) in enumerate(zip(quoted, inside))]
+        repeats = _repeats(df.filter(" OR ".join(inside)), marks)
+        found.update((s, repeats.get(i, 0)) for i, s in enumerate(batch))
+    return found
+
+
+def _deciding_parts(sets: Iterable[Columns], few: Mapping[Columns, int]) -> dict[Columns, Columns]:
+    """For each set the part whose repeated rows decide it, out of ``few``, which has the
+    sets too, with about how many rows repeat. The part that most sets hold comes first."""
+    held: dict[Columns, set[Columns]] = defaultdict(set)
+    for columns in sets:
+        for part in _parts(columns):
+            if part in few:
+                held[part].add(columns)
+    chosen = {}
+    while held:
+        part = max(held, key=lambda p: (len(held[p]), -few[p]))
+        decided = held.pop(part)
+        chosen.update(dict.fromkeys(sorted(decided), part))
+        held = {p: left for p, those in held.items() if (left := those - decided)}
+    return chosen
+
+
+def _without_repeats(df: DataFrame, sets: Mapping[Columns, Columns]) -> list[Columns]:
+    """The sets of columns of which no value repeats in all rows, without those that hold
+    another. Each comes with a part of it, whose values are counted as 64 bits: where these
+    differ the values do. Rows in which they repeat are staged, and all sets that hold the
+    part are decided among them."""
+    keys: list[Columns] = []
+    for part in dict.fromkeys(sets.values()):
+        held = [s for s, of in sets.items() if of == part and set(keys).isdisjoint(_parts(s))]
+        if not held:
+            continue
+        value = F.xxhash64(*map(_name, part)).alias("value")
+        counted = df.select(value).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+        repeated = stage(counted.filter("n > 1").select("value"), "repeated-values")
+        if values := repeated.count():
+            few = F.broadcast(repeated) if values <= PART_ROWS else repeated
+            rows = df.select(value, _hashed(sorted({c for s in held for c in s})))
+            refuted = _refuted(stage(rows.join(few, "value", "left_semi").select("row"), "repeated-rows"), held)
+            held = [s for s in held if s not in refuted]
+        keys += held
+    return [s for s in keys if sum(part in set(keys) for part in _parts(s)) == 1]
 
 
 def minimal_key_sets(df: DataFrame, width: int = 3) -> list[Columns]:
@@ -167,16 +220,22 @@ def minimal_key_sets(df: DataFrame, width: int = 3) -> list[Columns]:
         return []
     filled = df.agg(F.count(F.lit(1)), *[F.count(_name(c)) for c in names]).first()
     rows, free = filled[0], [c for c, n in zip(names, filled[1:]) if n == filled[0]]
-    enough, known, keys = rows * KEY_SHARE, {}, []
-    for size in range(1, width + 1):
-        candidates = [s for s in itertools.combinations(free, size)
-                      if not any(set(key) <= set(s) for key in keys)]
-        if size > 1:
-            candidates = [s for s in candidates if _may_be_key(s, known, enough)]
-        known.update(_estimates(df, candidates))
-        likely = [s for s in candidates if known[s] >= enough]
-        keys += _without_repeats(df, _not_refuted(df, likely))
-    return keys
+    sets = [s for size in range(1, width + 1) for s in itertools.combinations(free, size)]
+    if not sets:
+        return []
+    share = SLICE_ROWS / max(rows, SLICE_ROWS)
+    some = df.filter(F.rand(0) < share).select(F.rand(1).alias("place"), _hashed(free))
+    some = stage(some.repartition(df.sparkSession.sparkContext.defaultParallelism), "some-rows")
+    for fewer in SHARES:
+        refuted = _refuted(some.filter(F.col("place") < 1 / fewer), sets)
+        sets = [s for s in sets if s not in refuted]
+    slices = max(-(-rows // SLICE_ROWS), 1)
+    in_slices = _repeated_in_slices(df, sets, slices)
+    refuted = {part for s, n in in_slices.items() if n for part in _parts(s)}
+    likely = [s for s in sets if s not in refuted]
+    few = {s: n * slices for s, n in in_slices.items() if n * slices <= PART_ROWS}
+    found = _without_repeats(df, _deciding_parts(likely, {**few, **dict.fromkeys(likely, 0)}))
+    return sorted(found, key=lambda s: (len(s), [free.index(c) for c in s]))
 
 
 def minimal_keys(df: DataFrame, width: int = 3) -> DataFrame:

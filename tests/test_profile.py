@@ -2,6 +2,8 @@
 
 import itertools
 
+import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 
@@ -50,6 +52,49 @@ def test_the_slice_refutes_before_the_whole_table_is_counted(spark, monkeypatch)
     assert counted == [("w",)]
 
 
+def test_many_sets_are_decided_in_few_passes_over_the_table(spark):
+    # The pair of a and b repeats in some 120 rows, which most other columns tell apart.
+    n, names = 200000, ["a", "b", *[f"c`,.{k}" for k in range(8)]]
+    passed = spark.sparkContext.accumulator(0)
+
+    def mixed(ids, k, values):
+        x = (ids.astype("uint64") + np.uint64(k << 32)) * np.uint64(0x9E3779B97F4A7C15)
+        return ((x ^ (x >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(33)).astype("int64") % values
+
+    def made(batches):
+        for ids in (batch["id"].to_numpy() for batch in batches):
+            passed.add(len(ids))
+            yield pd.DataFrame(dict(zip(names, [ids // 4, mixed(ids, 1, 5000), *[mixed(ids, 2 + k, 60) for k in range(8)]])))
+
+    df = spark.range(n).mapInPandas(made, ", ".join(f"`{c.replace('`', '``')}` long" for c in names))
+    found = profile.minimal_key_sets(df, 3)
+    passes = passed.value / n
+    data = pd.concat(made([pd.DataFrame({"id": np.arange(n)})]))
+    assert data.duplicated(["a", "b"]).any()
+    assert found == [s for s in itertools.combinations(names, 3) if not data.duplicated([*s]).any()] != []
+    assert passes <= 12
+
+
+def test_a_part_that_repeats_in_few_rows_decides_for_all_sets_that_hold_it(spark, monkeypatch):
+    asked = {}
+    real = profile._without_repeats
+    monkeypatch.setattr(profile, "_without_repeats", lambda df, sets: asked.update(sets) or real(df, sets))
+    # The pair of x and y repeats in 10 rows; p, q and r tell all, some and none of these apart.
+    df = spark.range(300000).selectExpr(
+        "id DIV 3 AS x", "IF(id < 15 AND id % 3 = 1, 0, id % 3) AS y", "id % 2 AS p", "IF(id < 6, id % 2, 0) AS q", "0L AS r")
+    assert profile.minimal_key_sets(df, 3) == [("x", "y", "p")]
+    assert profile._deciding_parts(
+        [("x", "y", "p"), ("x", "y", "q")], {("x", "y"): 10, ("x", "y", "p"): 0, ("x", "y", "q"): 0}
+    ) == {("x", "y", "p"): ("x", "y"), ("x", "y", "q"): ("x", "y")}
+    assert asked[("x", "y", "p")] in {("x", "y"), ("x", "y", "p")}
+
+
+@pytest.mark.parametrize("zero", [0.0, -0.0])
+def test_values_that_are_equal_in_groups_are_no_key(spark, zero):
+    df = spark.createDataFrame([(0.0, "a"), (zero, "b"), (float("nan"), "c"), (-float("nan"), "d")], "v double, w string")
+    assert profile.minimal_key_sets(df, 2) == [("w",)]
+
+
 def test_figures_of_columns(spark):
     long = "x" * 100
     data = [(1, long, 0.0, [1]), (1, long, -0.0, [1]), (2, "x", None, None), (None, long + "y", 1.5, [1, 2])]
